@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import bpe_verify, hash_tree, ngram_join, quality_bands
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join}
+QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op3_compression_bands": quality_bands.op3_compression_bands,
+    "op7_hash_tree": hash_tree.op7_hash_tree,
+    "op10_bpe_encode": bpe_verify.op10_bpe_encode,
+}
 SQL = {"op1_ngram_jaccard_join": ngram_join.SQL}
