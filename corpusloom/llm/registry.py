@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_verify, hash_tree, ngram_join, quality_bands
+from . import bpe_verify, fm_decontam, hash_tree, langid, lm_diff, ngram_join, quality_bands
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_compression_bands": quality_bands.op3_compression_bands,
+    "op4_language_id": langid.op4_language_id,
+    "op6_lm_difference": lm_diff.op6_lm_difference,
     "op7_hash_tree": hash_tree.op7_hash_tree,
+    "op9_fm_decontamination": fm_decontam.op9_fm_decontamination,
     "op10_bpe_encode": bpe_verify.op10_bpe_encode,
 }
-SQL = {"op1_ngram_jaccard_join": ngram_join.SQL}
+SQL = {"op1_ngram_jaccard_join": ngram_join.SQL, "op9_fm_decontamination": fm_decontam.SQL}
