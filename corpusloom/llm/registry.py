@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_verify, fm_decontam, hash_tree, langid, lm_diff, ngram_join, quality_bands
+from . import bpe_verify, fm_decontam, hash_tree, langid, license_scan, lm_diff, ngram_join, quality_bands
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op6_lm_difference": lm_diff.op6_lm_difference,
     "op7_hash_tree": hash_tree.op7_hash_tree,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_fm_decontamination": fm_decontam.op9_fm_decontamination,
     "op10_bpe_encode": bpe_verify.op10_bpe_encode,
 }
