@@ -49,8 +49,8 @@ def _spot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BITMAP * FILTER_ROWS))
 
 
-def only_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
-    """The rows of df whose key may be among keys: a Bloom filter with one hash, no shuffle of df.
+def flag_keys(df: DataFrame, key: str, keys: DataFrame, other: str, flag: str) -> DataFrame:
+    """df with a flag: may its key be among keys? A Bloom filter with one hash, no shuffle of df.
 
     The filter has at most 512 rows of 4 kB whatever the input, so it can be broadcast. It lets false positives through;
     what follows has to join on the key itself.
@@ -64,7 +64,12 @@ def only_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame
     octet = F.conv(F.hex(F.substring("_bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
         df.withColumn("_row", (_spot(F.col(key)) / BITMAP).cast("int"))
-        .join(F.broadcast(bits), "_row")
-        .where(F.getbit(octet, F.pmod(spot, F.lit(8))) == 1)
+        .join(F.broadcast(bits), "_row", "left")
+        .withColumn(flag, F.coalesce(F.getbit(octet, F.pmod(spot, F.lit(8))) == 1, F.lit(False)))
         .drop("_row", "_bits")
     )
+
+
+def only_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
+    """The rows of df whose key may be among keys."""
+    return flag_keys(df, key, keys, other, "_may").where("_may").drop("_may")
