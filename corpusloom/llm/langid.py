@@ -140,12 +140,12 @@ def train(docs: DataFrame, eligible, text: str = "text", lang: str = "lang", key
     return Machines(languages, x, np.array([languages.index(r.lang) for r in packs], int))
 
 
-def _predict(model):
+def _predict(model, carried: list[str]):
     def run(batches):
         m: Machines = model.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(2)):
+            for a, b, data, offsets in K.slices(batch.column("_t")):
                 n = b - a
                 cell, at = trigrams(data, offsets)
                 lang, score = np.full(n, len(m.languages)), np.zeros(n)
@@ -156,7 +156,7 @@ def _predict(model):
                         total = np.concatenate([[0], np.cumsum(m.weights[:, j][cell], dtype=np.float64)])
                         margins[:, j] = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, at[1:] - at[:-1]) + m.bias[j]
                     lang[rows], score[rows] = m.predict(margins[rows])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(2)), pa.array(names[lang], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in carried), pa.array(names[lang], pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
 
     return run
 
@@ -165,16 +165,19 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; held-out rows are not learned from.
+def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row; held-out rows are not learned from. With ``carry``, these columns
+    of docs in place of doc_id and held_out.
 
     lang_pred is a learned label, or ``und`` with score 0 where the text is null or has no letter, or nothing could be
     learned. With one language only, that one is predicted. A null id is not held out. Repeated rows are kept; other columns
     are not read. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out(key) & F.col(key).isNotNull(), text, lang, key, per_language))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    first = list(carry) or ["doc_id", "held_out"]
+    rows = docs.select(*([F.col(c) for c in carry] or [F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out")]), F.col(text).cast("string").alias("_t"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_t").dtypes)
+    return rows.mapInArrow(_predict(model, first), f"{schema}, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
