@@ -219,12 +219,13 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
+def digests(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

@@ -175,12 +175,15 @@ class Windows:
         return word[index.locate(rows)], window
 
 
-def _search(blocks):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _search(blocks, carried: list[str]):
+    names_ = [*carried, "n_words", "n_hit", "items", "spans"]
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1), SHARD_BYTES):
+            for a, b, data, offsets in K.slices(batch.column("_t"), SHARD_BYTES):
                 n, low = b - a, K.LOWER[data]
                 starts, ends, doc = K.split_words(low, offsets, K.NOT_ALNUM)
                 hashes = K.word_hashes(low, starts, ends)
@@ -205,14 +208,13 @@ def _search(blocks):
                         spans[d].append({"start": int(point[s] - base), "end": int(point[e] - base)})
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, n),
-                        batch.column(1).slice(a, n),
+                        *(batch.column(c).slice(a, n) for c in carried),
                         pa.array(np.bincount(doc, minlength=n)),
                         pa.array(np.bincount(doc[hit], minlength=n)),
                         pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                        pa.array(spans, schema.field("spans").type),
+                        pa.array(spans, SPANS),
                     ],
-                    schema=schema,
+                    names_,
                 )
 
     return run
@@ -234,17 +236,18 @@ def benchmark_blocks(benchmark: DataFrame, size: int, block_bytes: int = BLOCK_B
     return [*out, sc.broadcast(Windows(block, size))]
 
 
-def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (ids of the items with an occurring window, sorted as strings), spans (merged
-    runs of hit words, in code points of the text, end exclusive): a row for each row of docs.
+def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns ``carry`` of docs and n_words, n_hit, items (ids of the items with an occurring window, sorted as
+    strings), spans (merged runs of hit words, in code points of the text, end exclusive): a row for each row of docs.
 
     Null, empty and wordless texts have no words and no hits; items without words or id have no window. Repeated rows are
     kept; items of one id are one item. Other columns are not read. An empty benchmark hits nothing; an empty docs table
     gives an empty result.
     """
     blocks = benchmark_blocks(benchmark, size, block_bytes)
-    schema = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_search(blocks), schema)
+    rows = docs.select(*carry, F.col("text").cast("string").alias("_t"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_t").dtypes) + ", n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    return rows.mapInArrow(_search(blocks, list(carry)), schema)
 
 
 def without_spans(found: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def without_spans(found: DataFrame) -> DataFrame:
 
 
 def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fm_decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+    found = fm_decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")), carry=("doc_id",))
     return found.select(
         "doc_id",
         "n_words",
