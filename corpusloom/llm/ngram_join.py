@@ -1,16 +1,17 @@
 """Operator 1: Jaccard join of documents over word n-grams, by token-combination prefixes.
 
-Method. A document is its set of distinct 64-bit hashes of k lower-cased words. Tokens are ordered rare class first, then
-frequent class, by hash within each. A similar document lacks at most ``tau`` tokens of a set, so a prefix of tau + 1 rare
-tokens shares a rare token with it. Where the prefix has to go on into the frequent class, that class is dealt into parts
-by hash; each part needs one token more, and pairs of its tokens are indexed instead of single ones: if no rare token is
-shared, more frequent tokens are shared than there are parts, so two of them lie in one part. The number of parts grows with
-the set, by size class, so that there are about ten pairs for a part; a set indexes its own class and the next if a
-partner may be there. Candidates are verified on the words themselves.
-
-Scale. Which tokens are frequent comes from a table of counts of fixed size, over all documents; only one bit for each
-cell is broadcast (512 kB). Equal sets are one node. In a list of documents with a common signature, every document is
-first compared with the least one of it (of each of 32 dealt parts, where the signature is of the frequent class), and the
+Method. A document is its set of distinct 64-bit hashes of k lower-cased words. Tokens are ordered by class: rare, then
+middling, then frequent, by hash within each. A similar document lacks at most ``tau`` tokens of a set, so a prefix of
+tau + 1 tokens below the frequent class shares one with it. Where the prefix has to go on into the frequent class, that
+class is dealt into parts by hash; each part needs one token more, and pairs of its tokens are indexed instead of single
+ones: if no rarer token is shared, more frequent tokens are shared than there are parts, so two of them lie in one part. The
+number of parts grows with the set, by size class, so that there are about ten pairs for a part; a set indexes its own
+class and the next if a partner may be there. What two prefixes share bounds what two sets can share; pairs within that
+bound are verified on the words themselves.
+
+Scale. The classes come from a table of counts of fixed size, over all documents; two bits for each cell are broadcast
+(4 MB). Equal sets are one node. In a list of documents with a common signature, every document is first compared with one
+of them (that with the fewest tokens below the frequent class: of near copies, the one that is most like the others), and the
 links found make components; only documents of the same list that are then in different components are compared pair by
 pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,59 +27,21 @@ from pyspark.sql.window import Window as W
 from . import _kernels as K
 from ._components import components
 from ._scratch import Scratch, only_keys
+from ._tables import count_table
 
 CELL_BITS = 24  # of the table of counts
-BLOCK = 1 << 14
-DEAL = 32  # parts of a list of the frequent class
 
 
 def _cell(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> K.U64(64 - bits)).astype(np.int64)
 
 
-def _packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    """Counts as compressed bytes, one for a cell where they fit and else eight."""
-    pack = zstandard.ZstdCompressor(level=1)
-    body = [pack.compress(x.astype("u1" if x.max() < 256 else "<i8").tobytes()) for x in blocks.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(body, pa.binary())], ["block", "counts"])
-
-
-def _unpacked(body: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(body)
-    return np.frombuffer(raw, "u1" if len(raw) == BLOCK else "<i8").astype(np.int64)
-
-
-def _count_cells(k: int, bits: int):
-    def run(batches):
-        counts = np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            for _, _, data, offsets in K.slices(batch.column(0)):
-                np.add.at(counts, _cell(np.concatenate(K.shingle_sets(data, offsets, k)), bits), 1)
-        yield _packed({b: x for b, x in enumerate(counts.reshape(-1, BLOCK)) if x.any()})
-
-    return run
-
-
-def _sum_cells(batches):
-    have: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            have[b] = have.get(b, 0) + _unpacked(body)
-    yield _packed(have)
-
-
-def frequent_cells(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
-    """One bit for each cell: does it count far more tokens than the mean? Exact counts over all documents.
-
-    What a task sends is one compressed table of fixed size; what the driver gets is their sum.
-    """
-    schema = "block int, counts binary"
-    parts = docs.select(text).mapInArrow(_count_cells(k, bits), schema).repartition(24, "block").mapInArrow(_sum_cells, schema)
-    counts = np.zeros(((1 << bits) // BLOCK, BLOCK), np.int64)
-    for row in parts.collect():
-        counts[row.block] = _unpacked(row.counts)
-    counts = counts.ravel()
-    return np.packbits(counts > max(16, 4 * counts.mean()))
+def cell_classes(docs: DataFrame, text: str, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each cell: is it above what chance adds to a rare token's cell, and is it far above the mean?"""
+    of = lambda batch: (_cell(np.concatenate(K.shingle_sets(data, offsets, k)), bits) for _, _, data, offsets in K.slices(batch.column(0)))
+    counts = count_table(docs.select(text), 1 << bits, of)
+    mean = counts.mean()
+    return np.packbits(counts > 3 + mean + 2.5 * np.sqrt(mean)), np.packbits(counts > 16 + 2 * mean)
 
 
 def size_class(n: int) -> int:
@@ -91,18 +53,19 @@ def _need(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of single rare tokens, and of pairs of frequent ones, that any set of the wanted similarity shares one of.
+def signatures(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of single tokens below the frequent class, and of pairs of frequent ones: sets of the wanted similarity share
+    one of them.
 
-    tokens: sorted and distinct; frequent: a boolean for each. Sets of one or two tokens are left out if frequent only: at
-    75 percent or more they are similar to equal sets alone.
+    tokens: sorted and distinct; level: 0, 1 or 2 (frequent) for each. Sets of one or two tokens are left out if frequent
+    only: at 67 percent or more they are similar to equal sets alone.
     """
     n = len(tokens)
     need = _need(n, percent)
-    rare = tokens[~frequent]
+    rare = np.concatenate([tokens[level == 0], tokens[level == 1]])
     if len(rare) >= need:
         return rare[:need], np.zeros(0, np.uint64)
-    often, pairs = tokens[frequent], []
+    often, pairs = tokens[level == 2], []
     for c in {size_class(n), size_class(100 * n // percent)}:
         parts = max(1, (1 << c) // 32)
         part = (often * K.U64(0x9E3779B97F4A7C15) >> K.U64(33)) % K.U64(parts)
@@ -122,25 +85,27 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 
 
 def _index(k: int, percent: int, cells: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("pure", pa.bool_()), ("rare", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("meta", pa.int64()), ("rare", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
 
     def run(batches):
-        hot = np.unpackbits(bits.value).astype(bool)
+        level = np.unpackbits(bits.value[0]) + np.unpackbits(bits.value[1])
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a)
-                n, h1, h2, pure, rare, often = [], [], [], [], [], []
+                n, h1, h2, meta, rare, often = [], [], [], [], [], []
                 for tokens in K.shingle_sets(data, offsets, k):
-                    r, o = signatures(tokens, hot[_cell(tokens, cells)], percent)
+                    of = level[_cell(tokens, cells)]
+                    r, o = signatures(tokens, of, percent)
                     n.append(len(tokens))
                     with np.errstate(over="ignore"):
                         h1.append(K.mix(tokens, 11).sum(dtype=np.uint64))
                         h2.append(K.mix(tokens, 13).sum(dtype=np.uint64))
-                    pure.append(len(tokens) > 0 and len(r) == _need(len(tokens), percent))
+                    whole = len(tokens) > 0 and len(r) == _need(len(tokens), percent)
+                    meta.append(len(tokens) << 32 | int((of == 2).sum()) << 1 | int(whole))
                     rare.append(r.view(np.int64))
                     often.append(o.view(np.int64))
                 lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v))) for v in (rare, often)]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(pure, pa.bool_()), *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(meta, pa.int64()), *lists], schema=schema)
 
     return run
 
@@ -176,20 +141,32 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     )
 
 
+#: Of ``meta``: tokens of a set, frequent ones among them, and whether its prefix stays below the frequent class.
+_N, _F, _PURE = "shiftright({0}, 32)", "(shiftright({0}, 1) & 2147483647)", "(({0} & 1) = 1)"
+
+
+def _near(x: str, y: str, percent: int, often: str) -> str:
+    """SQL: may two sets be similar, by their sizes and, where ``often`` holds, without a common rarer token?"""
+    n = [_N.format(c) for c in (x, y)]
+    f = [_F.format(c) for c in (x, y)]
+    return f"100 * least({n[0]}, {n[1]}) >= {percent} * greatest({n[0]}, {n[1]}) and (not ({often}) or {100 + percent} * least({f[0]}, {f[1]}) >= {percent} * ({n[0]} + {n[1]}))"
+
+
 def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
     """The distinct pairs (a, b) that can be similar, from a row for each signature that they share.
 
-    Sizes have to be near. Where a prefix is of rare tokens only, it shows all of what it shares with another prefix that
-    does not end before it; so what two sets share is at most that and the tokens behind the prefix.
+    A prefix below the frequent class shows all of what it shares with another prefix that does not end before it; so what
+    two sets share is at most that and the tokens behind the prefix. Where both go on into the frequent class, they show
+    all rarer tokens; so it is at most what they share of these, and the frequent tokens of one.
     """
-    both = F.abs("sa") + F.abs("sb")
-    behind = F.greatest(*[F.when(F.col(c) > 0, F.ceil(F.lit(percent) * F.abs(c) / 100) - 1) for c in ("sa", "sb")])
-    need = F.ceil(F.lit(percent) * both / F.lit(100 + percent)) - behind
+    x, y = "ma", "mb"
+    behind = [f"if({_PURE.format(c)}, ceil({percent} * {_N.format(c)} / 100) - 1, null)" for c in (x, y)]
+    rest = f"coalesce(greatest({behind[0]}, {behind[1]}), least({_F.format(x)}, {_F.format(y)}))"
+    need = f"ceil({percent} * ({_N.format(x)} + {_N.format(y)}) / {100 + percent})"
     return (
-        pairs.where(f"100 * least(abs(sa), abs(sb)) >= {percent} * greatest(abs(sa), abs(sb))")
-        .groupBy("a", "b", "sa", "sb")
-        .agg(F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).alias("shared"))
-        .where(behind.isNull() | (F.col("shared") >= need * share))
+        pairs.groupBy("a", "b", "ma", "mb")
+        .agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("shared"))
+        .where(f"shared >= {share}D * ({need} - {rest})")
         .select("a", "b")
         .distinct()
     )
@@ -208,42 +185,39 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
-    bits = spark.sparkContext.broadcast(frequent_cells(docs, "text", k, cell_bits))
-    rows = scratch.keep(docs.mapInArrow(_index(k, percent, cell_bits, bits), "doc_id long, n long, h1 long, h2 long, pure boolean, rare array<long>, often array<long>"))
+    bits = spark.sparkContext.broadcast(cell_classes(docs, "text", k, cell_bits))
+    rows = scratch.keep(docs.mapInArrow(_index(k, percent, cell_bits, bits), "doc_id long, n long, h1 long, h2 long, meta long, rare array<long>, often array<long>"))
     sets = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_set_rows")))
     # the signatures of each set, once; a set of one row needs no join
     nodes = rows.where("n > 0 and doc_id is not null").join(sets.select("h1", "h2", F.col("node").alias("doc_id")).withColumn("here", F.lit(1)), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    # s: the size, negative where the prefix holds all rare tokens and frequent ones; part: 0 for single rare tokens
-    nodes = nodes.withColumn("s", F.when(F.col("pure"), F.col("n")).otherwise(-F.col("n")))
-    posts = nodes.select("doc_id", "s", F.explode("rare").alias("sig"), F.lit(0).alias("part")).union(
-        nodes.select("doc_id", "s", F.explode("often").alias("sig"), (F.pmod(F.xxhash64("doc_id"), F.lit(DEAL)) + 1).cast("int").alias("part"))
-    )
-    w = W.partitionBy("sig", "part")
-    posts = posts.withColumn("p", F.min(F.struct("doc_id", "s")).over(w)).withColumn("m", F.max("doc_id").over(w))
-    # a list of one document is of no use, but a dealt part of one may be
-    posts = scratch.keep(posts.where("part > 0 or m <> p.doc_id").select("sig", "part", "doc_id", "s", F.col("p.doc_id").alias("pivot"), F.col("p.s").alias("ps")))
-    heads = posts.where("part > 0 and doc_id = pivot").select("sig", "part", "doc_id", "s").withColumn("p", F.min(F.struct("doc_id", "s")).over(W.partitionBy("sig")))
-    heads = heads.select("sig", "part", "doc_id", "s", F.col("p.doc_id").alias("pivot"), F.col("p.s").alias("ps"))
-    stars = posts.union(heads).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("ps").alias("sa"), F.col("doc_id").alias("b"), F.col("s").alias("sb"), "part")
+    posts = nodes.select("doc_id", "meta", F.explode("rare").alias("sig"), F.lit(False).alias("often")).union(nodes.select("doc_id", "meta", F.explode("often"), F.lit(True)))
+    # the middle of a list: fewest tokens below the frequent class, then the least id
+    middle = F.min(F.struct(F.expr(f"{_N.format('meta')} - {_F.format('meta')}").alias("r"), "doc_id", "meta"))
+    # lists of rarer tokens are short; of frequent pairs, partial minima are made before the shuffle
+    w = W.partitionBy("sig")
+    rare = posts.where("not often").withColumn("p", middle.over(w)).withColumn("x", F.min("doc_id").over(w)).withColumn("y", F.max("doc_id").over(w)).where("x <> y")
+    often = posts.where("often")
+    lists = often.groupBy("sig").agg(middle.alias("p"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+    cols = ["sig", "often", "doc_id", "meta", F.col("p.doc_id").alias("pivot"), F.col("p.meta").alias("pm")]
+    posts = scratch.keep(rare.select(*cols).union(often.join(lists, "sig").select(*cols)))
+    stars = posts.where("doc_id <> pivot").where(_near("meta", "pm", percent, "often"))
+    least = F.expr("doc_id < pivot")
+    stars = stars.select(*[F.when(least if first else ~least, F.col(one)).otherwise(F.col(other)).alias(name) for name, one, other, first in (("a", "doc_id", "pivot", True), ("ma", "meta", "pm", True), ("b", "doc_id", "pivot", False), ("mb", "meta", "pm", False))], "often")
     # a star sees some of what two documents share, so half of what they have to share is asked for; the rest is for later
     stars = scratch.keep(_possible(stars, percent, 0.5))
     links = scratch.keep(_links(stars, docs, k, percent))
     label = scratch.keep(components(scratch, links, "a", "b"))
     # lists whose documents are not all in one component yet
-    left = posts.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "part", "doc_id", "s", F.coalesce("label", "doc_id").alias("label"))
+    left = posts.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "often", "doc_id", "meta", F.coalesce("label", "doc_id").alias("label"))
     open_ = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
     left = scratch.keep(left.join(open_, "sig", "left_semi"))
-    x, y = (left.select("sig", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "s", "label", "part")]) for s in "xy")
-    more = (
-        x.join(y, "sig")
-        .where("doc_idx < doc_idy and labelx <> labely")
-        .where(f"100 * least(abs(sx), abs(sy)) >= {percent} * greatest(abs(sx), abs(sy))")
-        .select(F.col("doc_idx").alias("a"), F.col("sx").alias("sa"), F.col("doc_idy").alias("b"), F.col("sy").alias("sb"), F.col("partx").alias("part"))
-    )
+    x, y = (left.select("sig", "often", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label")]) for s in "ab")
+    more = x.join(y.drop("often"), "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "often"))
+    more = more.select(F.col("doc_id_a").alias("a"), F.col("meta_a").alias("ma"), F.col("doc_id_b").alias("b"), F.col("meta_b").alias("mb"), "often")
     more = scratch.keep(_possible(more, percent, 1.0).join(stars, ["a", "b"], "left_anti"))
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))
-    out = rows.drop("rare", "often", "pure").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
+    out = rows.drop("rare", "often", "meta").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "doc_id").alias("component_id"), F.coalesce("n_set_rows", F.lit(1).cast("long")).alias("n_set_rows")))
     scratch.drop(rows, sets, posts, stars, links, left, more, again, label)
     bits.unpersist()

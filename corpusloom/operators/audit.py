@@ -26,29 +26,32 @@ def kind(ref: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<string>")
-def expand_braces(refs: pd.Series) -> pd.Series:
-    """All references that groups in braces stand for; groups may be nested."""
-
-    def expand(s: str) -> list[str]:
-        depth, start, cuts = 0, -1, []
-        for i, c in enumerate(s):
-            if c == "{":
-                depth += 1
-                if depth == 1:
-                    start, cuts = i, [i]
-            elif c == "," and depth == 1:
+def expanded(s: str) -> list[str]:
+    """All strings that groups in braces stand for; groups may be nested."""
+    depth, start, cuts = 0, -1, []
+    for i, c in enumerate(s):
+        if c == "{":
+            depth += 1
+            if depth == 1:
+                start, cuts = i, [i]
+        elif c == "," and depth == 1:
+            cuts.append(i)
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
                 cuts.append(i)
-            elif c == "}" and depth:
-                depth -= 1
-                if depth == 0:
-                    cuts.append(i)
-                    tails = expand(s[i + 1 :])
-                    inner = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in expand(s[a + 1 : b])]
-                    return [s[:start] + x + t for x in inner for t in tails]
-        return [s]
-
-    return refs.map(lambda s: None if s is None else expand(s))
+                tails = expanded(s[i + 1 :])
+                inner = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in expanded(s[a + 1 : b])]
+                return [s[:start] + x + t for x in inner for t in tails]
+    return [s]
+
+
+def expand_braces(refs: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda s: None if s is None else expanded(s))
+
+    return run(refs)
 
 
 def glob_pattern(ref: Column) -> Column:
