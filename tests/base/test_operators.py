@@ -287,3 +287,22 @@ def test_stream_equals_batch(spark, tmp_path):
             more.write.mode("append").parquet(src)
         ingest.drain(ingest.token_counts(ingest.new_files(spark, src, docs.schema)), out, check)
     assert rows(spark.read.parquet(out)) == rows(ingest.token_counts(docs))
+
+
+def test_contracts(spark):
+    from corpusloom.operators import contracts as C
+
+    a = {"id": "x-1", "messages": [{"role": "user", "content": "q"}], "expected_tool_calls": [{"call_id": "1", "name": "f", "arguments": {"b": 1, "a": 2}}], "metadata": {"split": "dev", "created_at_pos": 3, "task_type": "t"}}
+    b = json.loads(json.dumps(a)) | {"id": "y-9", "metadata": {"split": "test", "created_at_pos": 8, "task_type": "t"}}
+    c = a | {"messages": []}
+    got = [tuple(r) for r in spark.createDataFrame([(json.dumps(x),) for x in (a, b, c)] + [("{",)], "j string").select(C.content_signature(F.col("j")), C.comparable_signature(F.col("j"))).collect()]
+    assert got[0] == got[1] and got[0][0] != got[2][0] and got[0][1] != got[2][1] and got[3] == (None, None)
+    steps = spark.createDataFrame([(1, 0.5, 1.0), (1, 0.1, -1.0), (2, 1.5, 0.5), (2, 0.0, 0.1), (3, 0.5, 1.0), (3, 0.5, -1.0)], "step_id int, reward double, advantage double")
+    assert rows(C.run_violations(steps)) == [(2, "advantage_mean"), (2, "reward_bounds"), (3, "no_variance")]
+    assert C.settings_differ({"a": 1.0, "b": 2, "c": "x"}, {"a": 1.0 + 1e-12, "b": 3, "d": 1}) == ["b", "c", "d"]
+    arts = spark.createDataFrame([("m", "c1", 1, 5, "done"), ("n", "c9", 1, 4, "done")], "artifact string, commit string, seed int, steps int, status string")
+    want = spark.createDataFrame([("m", 1, 5, "done"), ("n", 1, 5, "done"), ("o", 1, 5, "done")], "artifact string, seed int, steps int, status string")
+    assert rows(C.provenance_violations(arts, want, ["c1"])) == [("n", "commit"), ("n", "steps"), ("o", "missing")]
+    made = samples.generate(spark, 60)
+    assert C.guarded(made)[1].count() == 0
+    assert rows(C.set_violations(made.select(F.col("sample_id").alias("id"), "task_type", F.lit("synthetic").alias("source")), ["no_tool", "other"])) == [("other", "coverage")]
