@@ -218,7 +218,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))
     out = rows.drop("rare", "often", "meta").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
-    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "doc_id").alias("component_id"), F.coalesce("n_set_rows", F.lit(1).cast("long")).alias("n_set_rows")))
+    known = F.col("doc_id").isNotNull()
+    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("label", "node", "doc_id")).alias("component_id"), F.when(known & F.col("n_set_rows").isNotNull(), F.col("n_set_rows")).otherwise(1).alias("n_set_rows")))
     scratch.drop(rows, sets, posts, stars, links, left, more, again, label)
     bits.unpersist()
     return out
