@@ -84,15 +84,24 @@ def signatures(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.
     return rare, np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
 
 
+BUCKETS, LANE, MOST = 9, 20, (1 << 17) - 1
+
+
+def sketch(often: np.ndarray) -> tuple[int, ...]:
+    """How many of the frequent tokens fall into each of nine buckets, in three words of three lanes."""
+    counts = np.minimum(np.bincount(((often >> K.U64(20)) % K.U64(BUCKETS)).astype(np.int64), minlength=BUCKETS), MOST).tolist()
+    return tuple(sum(c << LANE * i for i, c in enumerate(counts[j : j + 3])) for j in (0, 3, 6))
+
+
 def _index(k: int, percent: int, cells: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("meta", pa.int64()), ("rare", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("meta", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()), ("rare", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
 
     def run(batches):
         level = np.unpackbits(bits.value[0]) + np.unpackbits(bits.value[1])
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a)
-                n, h1, h2, meta, rare, often = [], [], [], [], [], []
+                n, h1, h2, meta, bits_, rare, often = [], [], [], [], [], [], []
                 for tokens in K.shingle_sets(data, offsets, k):
                     of = level[_cell(tokens, cells)]
                     r, o = signatures(tokens, of, percent)
@@ -101,11 +110,12 @@ def _index(k: int, percent: int, cells: int, bits):
                         h1.append(K.mix(tokens, 11).sum(dtype=np.uint64))
                         h2.append(K.mix(tokens, 13).sum(dtype=np.uint64))
                     whole = len(tokens) > 0 and len(r) == _need(len(tokens), percent)
+                    bits_.append(sketch(tokens[of == 2]))
                     meta.append(len(tokens) << 32 | int((of == 2).sum()) << 1 | int(whole))
                     rare.append(r.view(np.int64))
                     often.append(o.view(np.int64))
                 lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v))) for v in (rare, often)]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(meta, pa.int64()), *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(meta, pa.int64()), *(pa.array([x[i] for x in bits_], pa.int64()) for i in range(3)), *lists], schema=schema)
 
     return run
 
@@ -152,6 +162,20 @@ def _near(x: str, y: str, percent: int, often: str) -> str:
     return f"100 * least({n[0]}, {n[1]}) >= {percent} * greatest({n[0]}, {n[1]}) and (not ({often}) or {100 + percent} * least({f[0]}, {f[1]}) >= {percent} * ({n[0]} + {n[1]}))"
 
 
+def _sharing(percent: int) -> str:
+    """SQL on rows a and b of phase two: may two sets without a common rarer token be similar?
+
+    They share at most the frequent tokens of a, less what a has more of than b in each bucket. All lanes of a word are
+    subtracted at once: with a bit on top of each, that stays where a has as many as b or more.
+    """
+    top, unit = (sum(1 << LANE * i + k for i in range(3)) for k in (LANE - 1, 0))
+    d = [f"((s{j}_a | {top}L) - s{j}_b)" for j in (1, 2, 3)]
+    more = "(" + " + ".join(f"({x} & ((shiftright({x}, {LANE - 1}) & {unit}L) * {(1 << LANE - 1) - 1}))" for x in d) + ")"
+    lanes = " + ".join(f"(shiftright({more}, {LANE * i}) & {(1 << LANE) - 1})" for i in range(3))
+    n = [_N.format(f"meta_{c}") for c in "ab"]
+    return f"{100 + percent} * ({_F.format('meta_a')} - ({lanes})) >= {percent} * ({n[0]} + {n[1]}) or greatest({n[0]}, {n[1]}) > {MOST}"
+
+
 def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
     """The distinct pairs (a, b) that can be similar, from a row for each signature that they share.
 
@@ -186,7 +210,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
     bits = spark.sparkContext.broadcast(cell_classes(docs, "text", k, cell_bits))
-    rows = scratch.keep(docs.mapInArrow(_index(k, percent, cell_bits, bits), "doc_id long, n long, h1 long, h2 long, meta long, rare array<long>, often array<long>"))
+    rows = scratch.keep(docs.mapInArrow(_index(k, percent, cell_bits, bits), "doc_id long, n long, h1 long, h2 long, meta long, s1 long, s2 long, s3 long, rare array<long>, often array<long>"))
     sets = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_set_rows")))
     # the signatures of each set, once; a set of one row needs no join
     nodes = rows.where("n > 0 and doc_id is not null").join(sets.select("h1", "h2", F.col("node").alias("doc_id")).withColumn("here", F.lit(1)), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
@@ -208,16 +232,17 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     links = scratch.keep(_links(stars, docs, k, percent))
     label = scratch.keep(components(scratch, links, "a", "b"))
     # lists whose documents are not all in one component yet
-    left = posts.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "often", "doc_id", "meta", F.coalesce("label", "doc_id").alias("label"))
+    about = rows.where("n > 0 and doc_id is not null").select("doc_id", "meta", "s1", "s2", "s3").distinct().join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    left = posts.join(about, ["doc_id", "meta"]).select("sig", "often", "doc_id", "meta", "s1", "s2", "s3", F.coalesce("label", "doc_id").alias("label"))
     open_ = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
     left = scratch.keep(left.join(open_, "sig", "left_semi"))
-    x, y = (left.select("sig", "often", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label")]) for s in "ab")
-    more = x.join(y.drop("often"), "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "often"))
+    x, y = (left.select("sig", "often", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label", "s1", "s2", "s3")]) for s in "ab")
+    more = x.join(y.drop("often"), "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "often")).where(f"not often or ({_sharing(percent)})")
     more = more.select(F.col("doc_id_a").alias("a"), F.col("meta_a").alias("ma"), F.col("doc_id_b").alias("b"), F.col("meta_b").alias("mb"), "often")
     more = scratch.keep(_possible(more, percent, 1.0).join(stars, ["a", "b"], "left_anti"))
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))
-    out = rows.drop("rare", "often", "meta").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
+    out = rows.drop("rare", "often", "meta", "s1", "s2", "s3").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
     known = F.col("doc_id").isNotNull()
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("label", "node", "doc_id")).alias("component_id"), F.when(known & F.col("n_set_rows").isNotNull(), F.col("n_set_rows")).otherwise(1).alias("n_set_rows")))
     scratch.drop(rows, sets, posts, stars, links, left, more, again, label)
