@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import flag_keys, only_keys
+from ._scratch import Scratch, flag_keys, only_keys
 
 LONG = 40  # words
 SPARSE = 4  # one line in so many ends a chunk
@@ -40,8 +40,12 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
-    """A row for each chunk that can be a passage: doc_id, _k, begin, end, body."""
-    rows = _chunked(docs).select("doc_id", "_k", "_l", "_w", F.explode("_c").alias("c"))
+    """A row for each chunk that can be a passage: doc_id, _k, begin, end, body.
+
+    The outer form of explode, though no text is without a chunk: for the other one the optimiser makes a filter of all that
+    the chunks are computed from, once more for each mention.
+    """
+    rows = _chunked(docs).select("doc_id", "_k", "_l", "_w", F.explode_outer("_c").alias("c"))
     rows = rows.where("c.end - c.begin > 1 or _w[c.begin]").select("doc_id", "_k", "c.begin", "c.end", F.expr("array_join(slice(_l, c.begin + 1, c.end - c.begin), '\\n')").alias("body"))
     return rows.where(F.col("body").rlike("[^\\x20\\x09-\\x0D]"))
 
@@ -50,10 +54,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(_k, gone): the chunks to remove from each text that has any, as an array of (begin, end)."""
     hashes = _bodies(docs).select(F.xxhash64("body").alias("hash")).groupBy("hash").count().where("count > 1")
     some = only_keys(_bodies(docs).withColumn("hash", F.xxhash64("body")), "hash", hashes, "hash")
-    some = some.withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "begin"))
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    some = scratch.keep(some.withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "begin")))
     first = some.groupBy("hash", "body").agg(F.min("at").alias("first"))
     gone = some.join(first, ["hash", "body"]).where("not (at <=> first)")
-    return gone.groupBy("_k").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
+    out = scratch.keep(gone.groupBy("_k").agg(F.collect_set(F.struct("begin", "end")).alias("gone")))
+    scratch.drop(some)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
