@@ -226,3 +226,20 @@ def test_kernels_split_like_regex():
                 part[d].append(data[s:e].tobytes().decode())
             out += part
         assert out == [[w for w in re.split("[\x20\x09-\x0d]+", t or "") if w] for t in texts]
+
+
+def test_bucket_bound_is_a_bound(spark):
+    """The lanes' arithmetic against sets: never less than what two sets share."""
+    import numpy as np
+
+    rng = random.Random(12)
+    rows, wants = [], []
+    for i in range(400):
+        pool = rng.sample(range(1, 1 << 62), 160)
+        a, b = (set(rng.sample(pool, rng.randrange(1, 160))) for _ in range(2))
+        meta = [len(s) << 32 | len(s) << 1 for s in (a, b)]
+        rows.append((i, *meta, *(x for s in (a, b) for x in ngram_join.sketch(np.array(sorted(s), np.uint64)))))
+        wants.append(100 * len(a & b) >= 75 * len(a | b))
+    names = ["i", "meta_a", "meta_b", *(f"s{j}_{c}" for c in "ab" for j in (1, 2, 3))]
+    kept = {r.i for r in spark.createDataFrame(rows, names).where(ngram_join._sharing(75)).collect()}
+    assert {i for i, w in enumerate(wants) if w} <= kept and len(kept) < 400
