@@ -30,7 +30,7 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> list[list[list
 
 
 def draw(key: str, name: str, weight: float) -> str:
-    """SQL of a child's draw; the same text is valid in Spark and, with md5 and a hex cast, elsewhere."""
+    """SQL of a child's draw."""
     return f"-ln((cast(conv(left(md5(concat(cast({key} as string), ':{name}')), {DIGITS}), 16, 10) as double) + 0.5) / {16**DIGITS}D) / {weight}D"
 
 
@@ -43,13 +43,18 @@ def _least(key: str, children: list[tuple[str, float, str]]) -> str:
     return f"CASE array_min(array({draws})).i {cases} END"
 
 
-def shard_of(key: str, shards: int, weights: dict[int, float] | None = None) -> Column:
+def placement(key: str, shards: int, weights: dict[int, float] | None = None) -> str:
+    """SQL of the shard of a key."""
     total = lambda racks: sum(w for rack in racks for _, w in rack)
     regions = []
     for i, racks in enumerate(tree(shards, weights)):
         inner = [(f"r{i}k{j}", total([rack]), _least(key, [(f"s{s}", w, str(s)) for s, w in rack])) for j, rack in enumerate(racks)]
         regions.append((f"r{i}", total(racks), _least(key, inner)))
-    return F.expr(_least(key, regions)).cast("int")
+    return _least(key, regions)
+
+
+def shard_of(key: str, shards: int, weights: dict[int, float] | None = None) -> Column:
+    return F.expr(placement(key, shards, weights)).cast("int")
 
 
 def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -65,7 +70,7 @@ def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     rows = rows.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = rows.withColumn("shard", shard_of("_k", shards)).withColumn("grown_shard", shard_of("_k", shards + 1))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(BLOCKS)).cast("int")).drop("_k")
+    rows = rows.withColumn("_b", F.expr(f"cast(conv(left(md5(concat(_k, ':b')), 4), 16, 10) as int) % {BLOCKS}")).drop("_k")
     counts = rows.groupBy("shard", "_b").count()
     before = counts.withColumn("_o", F.sum("count").over(W.partitionBy("shard").orderBy("_b")) - F.col("count")).drop("count")
     inner = F.row_number().over(W.partitionBy("shard", "_b").orderBy("doc_id", "size", "text_crc32")) - 1
@@ -76,3 +81,23 @@ def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key:
 
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql(expression: str) -> str:
+    """A placement in the oracle's dialect."""
+    import re
+
+    out = re.sub(r"cast\(conv\((left\(md5\(concat\(.*?, '.*?'\)\), \d+\)), 16, 10\) as double\)", r"('0x' || \1)::BIGINT::DOUBLE", expression)
+    out = re.sub(r"named_struct\('d', (.*?D), 'i', (\d+)\)", r"{'d': \1, 'i': \2}", out)
+    out = out.replace("array_min(array(", "list_min(list_value(").replace(")).i", ")).i")
+    return re.sub(r"(?<=[\d.])D\b", "::DOUBLE", out).replace(" as string)", " as varchar)")
+
+
+SQL = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+a AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS s FROM documents),
+b AS (SELECT *, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM a),
+c AS (SELECT doc_id, CAST(strlen(s) + 8 AS BIGINT) AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c & 255, x) AS BIGINT) + 1])), 4294967295) AS text_crc32,
+  CAST({_sql(placement("k", 24))} AS INTEGER) AS shard, CAST({_sql(placement("k", 25))} AS INTEGER) AS grown_shard, ('0x' || left(md5(k || ':b'), 4))::BIGINT % {BLOCKS} AS b FROM b, tab)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM c
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_fm_decontamination": fm_decontam.op9_fm_decontamination,
     "op10_bpe_encode": bpe_verify.op10_bpe_encode,
 }
-SQL = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_line_dedup": line_dedup.SQL, "op9_fm_decontamination": fm_decontam.SQL}
+SQL = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_line_dedup": line_dedup.SQL, "op7_hash_tree": hash_tree.SQL, "op9_fm_decontamination": fm_decontam.SQL}
