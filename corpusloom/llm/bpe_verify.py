@@ -11,8 +11,10 @@ the words that it has seen, up to a fixed number, and starts anew beyond it, so
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from . import _kernels as K
 
 KEPT_WORDS = 400_000
+LONG_WORD = 300  # bytes
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 END = "</w>"
 
@@ -78,34 +81,55 @@ class Model:
             raw = b"".join(byte[x] for x in (text[: -len(END)] if end else text))
             if self.merged(raw, end) == [i]:
                 (self.final if end else self.inside)[raw] = i
-        self.longest = max(map(len, [*self.inside, *self.final]))
+        #: by its first three bytes, how long a token can be
+        self.reach: dict[bytes, int] = {}
+        for raw in [*self.inside, *self.final]:
+            self.reach[raw[:3]] = max(self.reach.get(raw[:3], 2), len(raw))
 
     def merged(self, raw: bytes, end: bool = True) -> list[int]:
         """Exact merging: the adjacent pair of least rank first, leftmost of equals."""
         out = [int(self.first[b]) for b in raw]
         if end and out:
             out[-1] = int(self.last[raw[-1]])
-        while len(out) > 1:
-            best = min(((self.merges.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(out, out[1:], strict=False))), default=None)
-            if best[0] == 1 << 60:
-                break
-            pair = out[best[1]], out[best[1] + 1]
-            whole, made, i = self.merges[pair][1], [], 0
-            while i < len(out):
-                if i + 1 < len(out) and (out[i], out[i + 1]) == pair:
-                    made.append(whole)
-                    i += 2
-                else:
-                    made.append(out[i])
-                    i += 1
-            out = made
+        if len(out) > LONG_WORD:
+            return self._merged_long(out)
+        get, none = self.merges.get, (1 << 60, 0)
+        found = [get(p, none) for p in zip(out, out[1:])]
+        ranks = [x[0] for x in found]
+        while ranks and (best := min(ranks)) < 1 << 60:
+            i = ranks.index(best)
+            out[i : i + 2] = [found[i][1]]
+            del ranks[i], found[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(ranks):
+                    found[j] = get((out[j], out[j + 1]), none)
+                    ranks[j] = found[j][0]
         return out
 
+    def _merged_long(self, out: list[int]) -> list[int]:
+        """The same with a heap of pairs and links to neighbours, for words of any length."""
+        n = len(out)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(self.merges[p][0], i, *p) for i, p in enumerate(zip(out, out[1:])) if p in self.merges]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if out[i] != a or j < 0 or out[j] != b:
+                continue
+            out[i], out[j], after[i] = self.merges[a, b][1], -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (p := (out[k], out[after[k]])) in self.merges:
+                    heapq.heappush(heap, (self.merges[p][0], k, *p))
+        return [t for t in out if t >= 0]
+
     def greedy(self, raw: bytes) -> list[int]:
         out, i, n = [], 0, len(raw)
-        inside, final = self.inside, self.final
+        inside, final, reach = self.inside, self.final, self.reach
         while i < n:
-            end = min(n, i + self.longest)
+            end = min(n, i + reach.get(raw[i : i + 3], 2))
             while True:
                 piece = raw[i:end]
                 t = final.get(piece) if end == n else inside.get(piece)
@@ -176,10 +200,10 @@ class _Coder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, and where each text's begin and end."""
         words = [self.cut(x or "") for x in texts]
-        seen = set().union(*words) - self.index.keys()
+        seen = set(chain.from_iterable(words)) - self.index.keys()
         if len(self.index) + len(seen) > KEPT_WORDS:
             self.clear()
-            seen = set().union(*words) - self.index.keys()
+            seen = set(chain.from_iterable(words)) - self.index.keys()
         if seen:
             new = sorted(seen)
             coded = self.model.encode_words([x.encode() for x in new])
@@ -187,7 +211,7 @@ class _Coder:
             sizes = np.array([len(x) for x in coded])
             self.flat = np.concatenate([self.flat, np.fromiter((t for x in coded for t in x), np.int32, int(sizes.sum()))])
             self.ends = np.concatenate([self.ends, self.ends[-1:].sum() + np.cumsum(sizes)])
-        which = np.fromiter((i for x in words for i in map(self.index.__getitem__, x)), np.int64, sum(map(len, words)))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         begins = np.concatenate([[0], self.ends[:-1]])
         sizes = (self.ends - begins)[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
