@@ -25,6 +25,14 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows, where the session has Spark's default: ten thousand texts, or pairs of texts, at once
+    take a worker's and an executor's memory many times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a frame and returns its re-read; ``drop`` removes it."""
 

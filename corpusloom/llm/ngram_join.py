@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from . import _kernels as K
 from ._components import components
-from ._scratch import Scratch, only_keys
+from ._scratch import Scratch, only_keys, small_batches
 from ._tables import count_table
 
 CELL_BITS = 24  # of the table of counts
@@ -204,6 +204,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     node. A null doc_id keeps its row, with a null component_id. An empty table gives an empty result.
     n_set_rows: number of rows with just this set (1 for a set of no shingles).
     """
+    small_batches(docs.sparkSession)
     if percent < 67:
         raise ValueError("the index is complete for similarities of 67 percent or more")
     spark: SparkSession = docs.sparkSession
