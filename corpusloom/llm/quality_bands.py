@@ -2,8 +2,9 @@
 
 Method. The zstandard ratio (compressed / raw bytes) of the whole text, and of fixed chunks of it, has to lie in a band
 that depends on the length: below it text is repetitive, above it incompressible. Short texts carry the frame's fixed cost
-and have wider bands. A text is rejected if its own ratio is out of its band, or those of more than a quarter of its full
-chunks. Word counts and repeated windows are counted on word hashes, per slice of documents. No shuffle.
+and have wider bands. The upper limits lie between clean text and random letters and digits (six bits a character, as in
+base64), which can be told apart from about 128 bytes on. A text is rejected if its own ratio is out of its band, or those
+of chunks that make up more than a quarter of its bytes; the last, shorter chunk has the band of its own length. Word counts and repeated windows are counted on word hashes, per slice of documents. No shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from ._scratch import small_batches
 LEVEL = 3
 CHUNK = 4096
 #: (from so many bytes, least ratio, greatest ratio)
-BANDS = ((0, 0.0, 99.0), (64, 0.45, 1.30), (128, 0.40, 1.08), (256, 0.36, 0.95), (512, 0.32, 0.88), (1024, 0.28, 0.82), (4096, 0.25, 0.76), (16384, 0.22, 0.74))
-CHUNK_BAND = (0.25, 0.76)
+BANDS = ((0, 0.0, 99.0), (64, 0.45, 1.30), (128, 0.40, 0.94), (192, 0.40, 0.88), (256, 0.36, 0.83), (384, 0.36, 0.79), (512, 0.32, 0.75), (768, 0.32, 0.72), (1024, 0.28, 0.70), (2048, 0.28, 0.68), (4096, 0.25, 0.67), (16384, 0.22, 0.66))
 BAD_CHUNKS = 0.25
 
 SYMBOL = np.zeros(256, bool)
@@ -29,15 +29,23 @@ SYMBOL[[*b"#*$%&|<>"]] = True
 FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("ratio", "double"), ("bad_chunks", "double")]
 
 
+def _in_band(raw: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, bool]:
+    ratio = len(pack.compress(raw)) / len(raw)
+    _, least, most = next(b for b in reversed(BANDS) if len(raw) >= b[0])
+    return ratio, least <= ratio <= most
+
+
 def verdict(raw: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole (0 for an empty one), share of full chunks out of their band, and whether both are in bounds."""
+    """Ratio of the whole (0 for an empty one), share of bytes in chunks out of their band, and whether both are in bounds.
+
+    Texts shorter than a chunk have none.
+    """
     if not raw:
         return 0.0, 0.0, True
-    ratio = len(pack.compress(raw)) / len(raw)
-    _, least, most = next(b for b in reversed(BANDS) if len(raw) >= b[0])
-    chunks = [len(pack.compress(raw[i : i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
-    bad = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunks) / max(1, len(chunks))
-    return ratio, bad, least <= ratio <= most and bad <= BAD_CHUNKS
+    ratio, fine = _in_band(raw, pack)
+    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) >= CHUNK else []
+    bad = sum(len(x) for x in chunks if not _in_band(x, pack)[1]) / len(raw)
+    return ratio, bad, fine and bad <= BAD_CHUNKS
 
 
 def _repeat_words(doc: np.ndarray, hashes: np.ndarray, n: int, k: int = 8) -> np.ndarray:

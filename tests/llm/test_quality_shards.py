@@ -79,3 +79,20 @@ def test_weights_move_only_their_subtree(spark):
     docs = spark.range(3000)
     out = docs.select(hash_tree.shard_of("id", 24).alias("a"), hash_tree.shard_of("id", 24, {5: 3.0}).alias("b")).where("a <> b").collect()
     assert out and all(r.b // 8 == 0 for r in out)
+
+
+def test_incompressible_text_is_rejected():
+    import random
+    import string
+
+    pack, rng = zstandard.ZstdCompressor(level=3), random.Random(5)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.printable[:94]):
+        for n in (300, 700, 1000, 3000, 5000, 10_000, 60_000):
+            words = " ".join("".join(rng.choices(alphabet, k=rng.randrange(4, 12))) for _ in range(n // 4))[:n]
+            lines = "\n".join("".join(rng.choices(alphabet, k=76)) for _ in range(n // 76 + 1))[:n]
+            assert not quality_bands.verdict(words.encode(), pack)[2] and not quality_bands.verdict(lines.encode(), pack)[2], (n, alphabet)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(3000)).encode()
+    for n in (700, 3000, 5000):
+        assert quality_bands.verdict(prose[:n], pack)[2]
+    assert quality_bands.verdict(prose[:4096] + words.encode()[:900], pack)[1:] == (900 / 4996, True)
+    assert not quality_bands.verdict(prose[:4096] + words.encode()[:2000], pack)[2]
