@@ -1,14 +1,17 @@
 """Operator 6: language-model scoring by cross-entropy difference.
 
 Method. Two word bigram models, of a target text collection and of the background (the documents themselves), share one
-vocabulary: the WORDS most frequent words of both, classes by hash for all other words, and a boundary. Each is smoothed
-towards its unigrams, p(w|h) = (c(h,w) + PRIOR p(w)) / (c(h) + PRIOR), so both are proper distributions over the same
-symbols. A document's score is the mean over its tokens of target loss minus background loss (nats): the lower, the more it
-is like the target.
-
-Scale. All words of all documents are counted. Words are counted by hash with one shuffle of a task's distinct words; pairs
-go into tables of 2048 x 2048 counts, a compressed one from each task. The two tables of losses (16 MB each, whatever the
-input) are broadcast; scoring has no shuffle.
+vocabulary: every word of both, told apart by 64-bit hashes, a boundary in front of a text, and a symbol for words that
+neither has. Each is smoothed towards its unigrams, p(w|h) = (c(h,w) + PRIOR p(w)) / (c(h) + PRIOR), so both are proper
+distributions over the same symbols (SYMBOLS at least). A document's score is the mean over its tokens of target loss minus
+background loss (nats): the lower, the more it is like the target.
+
+Scale. All words and pairs of all documents are counted, and none is folded into another: what is gathered grows with the
+input. Words are counted with one shuffle of a task's distinct words. Pairs of the SYMBOLS - 1 most frequent words are
+counted in a table of 2048 x 2048, a compressed one from each task; both tables of losses (16 MB each) and the counts of
+KNOWN words at most are broadcast. All other pairs are rows by the hash of the pair, whose count is that of its group; one
+of them has a word beyond the SYMBOLS - 1 first, so none has more than a 2,047th of all tokens. Words beyond the KNOWN ones
+are joined to their counts. Sums by document are made behind a second shuffle.
 """
 
 from __future__ import annotations
@@ -17,105 +20,221 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import _kernels as K
-from ._scratch import small_batches
+from ._scratch import Scratch, small_batches
 from ._tables import count_table
 
 SYMBOLS = 2048
-WORDS = 1535
-CLASSES = 512  # of other words; the last symbol is the boundary
+KNOWN = 1 << 19  # words whose counts are broadcast
 PRIOR = 50.0
+BOUNDARY = K.U64(0x6C6D5F646966662E)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word and of what is in front of it, and its document; the first of a document follows the boundary."""
     low = K.LOWER[data]
     starts, ends, doc = K.split_words(low, offsets, K.NOT_ALNUM)
-    return K.word_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64), doc
+    words = K.word_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    before = np.full(len(words), BOUNDARY)
+    before[1:] = np.where(doc[1:] == doc[:-1], words[:-1], BOUNDARY)
+    return before, words, doc
+
+
+def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.mix(before * K._MULT[0] + words * K._MULT[1], 2).view(np.int64)
 
 
 def _count_words(batches):
-    keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    """word, n (how often it comes), heads (how often something follows it)."""
+    keys, counts, waiting = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), []
 
     def settle():
         nonlocal keys, counts
         all_ = np.concatenate([keys, *(k for k, _ in waiting)])
         n = np.concatenate([counts, *(c for _, c in waiting)])
         keys, back = np.unique(all_, return_inverse=True)
-        counts = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+        counts = np.stack([np.bincount(back, weights=n[:, j], minlength=len(keys)).astype(np.int64) for j in (0, 1)], 1)
         waiting.clear()
 
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(counts[:, j])) for j in (0, 1))], ["word", "n", "heads"])
+
     for batch in batches:
         for _, _, data, offsets in K.slices(batch.column(0)):
-            waiting.append(np.unique(_words(data, offsets)[0], return_counts=True))
-            if len(waiting) >= 16:
+            before, words, _ = _tokens(data, offsets)
+            found, n = np.unique(words, return_counts=True)
+            waiting.append((found, np.stack([n, n], 1)))
+            first = np.flatnonzero(before == BOUNDARY)
+            if len(first):  # nothing follows the last word of a document
+                last = np.append(words[first[1:] - 1], words[-1:])
+                none = np.zeros(len(first), np.int64)
+                waiting.append((last, np.stack([none, none - 1], 1)))
+                waiting.append((np.array([BOUNDARY]), np.array([[0, len(first)]])))
+            if len(waiting) >= 48:
                 settle()
                 if len(keys) > 1_000_000:  # bounds memory; the sums are made behind the shuffle
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
+                    yield out()
                     keys, counts = keys[:0], counts[:0]
     settle()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
+    yield out()
 
 
-class Vocabulary:
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words)
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        out = WORDS + (hashes % K.U64(CLASSES)).astype(np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            out = np.where(self.words[at] == hashes, at, out)
-        return out
-
-    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """history * SYMBOLS + word for each word, and its document; a document's first word follows the boundary."""
-        hashes, doc = _words(data, offsets)
-        symbol = self.symbols(hashes)
-        before = np.full(len(symbol), SYMBOLS - 1)
-        before[1:] = np.where(doc[1:] == doc[:-1], symbol[:-1], SYMBOLS - 1)
-        return before * SYMBOLS + symbol, doc
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-ln p(w|h) for each pair, from counts of pairs."""
+def losses(counts: np.ndarray, unigram: np.ndarray | None = None, heads: np.ndarray | None = None) -> np.ndarray:
+    """-ln p(w|h) for each pair of a table of counts. unigram: p(w), heads: c(h); from the table if it holds all pairs."""
     c = counts.reshape(SYMBOLS, SYMBOLS).astype(np.float64)
-    unigram = c.sum(0) + 1.0
-    unigram /= unigram.sum()
-    return -np.log((c + PRIOR * unigram) / (c.sum(1, keepdims=True) + PRIOR)).astype(np.float32).ravel()
-
-
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    rows = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return Vocabulary(np.array([r.word for r in rows], np.int64).view(np.uint64))
+    if unigram is None:
+        unigram = c.sum(0) + 1.0
+        unigram /= unigram.sum()
+    heads = c.sum(1) if heads is None else heads
+    return -np.log((c + PRIOR * unigram) / (heads[:, None] + PRIOR)).astype(np.float32).ravel()
 
 
-def lm_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+class Vocabulary:
+    """Counts of the known words, and the place of the most frequent ones in the tables."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, symbols: int):
+        """words: hashes; counts: a row (n, heads of the target, n, heads of the background) for each."""
+        order = np.argsort(words)
+        self.words, counts = words[order], counts[order]
+        self.unigram = (counts[:, [0, 2]] + 1.0) / (totals + symbols)
+        self.heads = counts[:, [1, 3]].astype(float)
+        n = np.where(self.words == BOUNDARY, -1, counts[:, 0] + counts[:, 2])
+        top = np.lexsort((self.words, -n))[: SYMBOLS - 1]
+        top = top[n[top] >= 0]
+        self.symbol = np.full(len(self.words) + 1, -1, np.int64)  # the last one is for unknown words
+        self.symbol[top] = np.arange(len(top))
+        self.symbol[:-1][self.words == BOUNDARY] = SYMBOLS - 1
+        self.rest = (np.full((2, SYMBOLS), 1.0 / symbols), np.zeros((2, SYMBOLS)))
+        for j in (0, 1):
+            for table, values in zip(self.rest, (self.unigram, self.heads), strict=True):
+                table[j][self.symbol[:-1][self.symbol[:-1] >= 0]] = values[self.symbol[:-1] >= 0, j]
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each word, len(words) if it is not known."""
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        return np.where(self.words[at] == hashes, at, len(self.words)) if len(self.words) else at
+
+    def cells(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Place in the tables for each pair, -1 if it has none."""
+        a, b = self.symbol[before], self.symbol[words]
+        return np.where((a >= 0) & (b >= 0), a * SYMBOLS + b, -1)
+
+    def look(self, data: np.ndarray, offsets: np.ndarray):
+        """Hashes and places of what is in front and of the word, the cell, and the document of each token."""
+        before, words, doc = _tokens(data, offsets)
+        at = self.places(words)
+        front = np.full(len(at), self.places(np.array([BOUNDARY]))[0])
+        front[1:] = np.where(before[1:] == BOUNDARY, front[1:], at[:-1])
+        return before, words, front, at, self.cells(front, at), doc
+
+
+def vocabulary(words: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, np.ndarray, int]:
+    """The known words, tokens of target and background, and the number of symbols."""
+    nt, nb, n = words.agg(F.sum("nt"), F.sum("nb"), F.count("*")).first()
+    totals, symbols = np.array([nt or 0, nb or 0]), max(SYMBOLS, n)
+    least, taken = 1 << 62, 0
+    for r in words.groupBy((F.col("nt") + F.col("nb")).alias("n")).count().orderBy(F.desc("n")).collect():
+        taken += r["count"]
+        if taken > known:
+            break
+        least = r.n
+    rows = words.where((F.col("nt") + F.col("nb") >= least) | (F.col("word") == int(BOUNDARY))).toArrow()
+    counts = np.stack([rows[c].to_numpy() for c in ("nt", "ht", "nb", "hb")], 1).astype(np.int64)
+    return Vocabulary(rows["word"].to_numpy().astype(np.int64).view(np.uint64), counts, totals, symbols), totals, symbols
+
+
+def lm_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text: str = "text", key: str = "doc_id", known: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (mean nats a token), score (their difference) for every row of docs.
 
     target, background (docs if not given): the collections, with a column ``text``. Null, empty and wordless texts have no
     tokens and null losses, and add nothing to a model; an empty collection gives its model the uniform distribution.
     Repeated rows are kept and count each time; other columns are not read. An empty docs table gives an empty result.
+    ``known`` bounds what is broadcast and sets the cost only.
     """
     small_batches(docs.sparkSession)
     one, two = (d.select(F.col(text).cast("string").alias("text")) for d in (target, docs if background is None else background))
-    vocab = vocabulary(one.union(two))
-    of = lambda batch: (vocab.pairs(data, offsets)[0] for _, _, data, offsets in K.slices(batch.column(0)))
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((vocab, *(losses(count_table(d, SYMBOLS * SYMBOLS, of)) for d in (one, two))))
+    none = F.lit(0).cast("long")
+    count = lambda d: d.mapInArrow(_count_words, "word long, n long, heads long")
+    both = count(one).select("word", F.col("n").alias("nt"), F.col("heads").alias("ht"), none.alias("nb"), none.alias("hb"))
+    both = both.union(count(two).select("word", none, none, "n", "heads")).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("nt", "ht", "nb", "hb")])
+    words = Scratch(docs.sparkSession, "lm-diff").keep(both)
+    vocab, totals, symbols = vocabulary(words, known)
+
+    def cells(batch):
+        for _, _, data, offsets in K.slices(batch.column(0)):
+            cell = vocab.look(data, offsets)[4]
+            yield cell[cell >= 0]
+
+    tables = [losses(count_table(d, SYMBOLS * SYMBOLS, cells), *(x[j] for x in vocab.rest)) for j, d in enumerate((one, two))]
+    model = docs.sparkSession.sparkContext.broadcast((vocab, tables))
 
-    def score(batches):
-        words, *tables = model.value
+    def heads(batches):
+        """A row for each document, with the sums over pairs in the tables and over known words in front of other pairs."""
+        v, dense = model.value
+        front_loss = np.log(np.vstack([v.heads, [[1 - PRIOR] * 2]]) + PRIOR)  # 0 for unknown words
+        for batch in batches:
+            for a, b, data, offsets in K.slices(batch.column(2)):
+                _, _, front, _, cell, doc = v.look(data, offsets)
+                sums = [np.bincount(doc, weights=np.where(cell >= 0, t[cell], front_loss[front, j]), minlength=b - a) for j, t in enumerate(dense)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.bincount(doc, minlength=b - a)), *map(pa.array, sums)], ["k", "doc_id", "n", "lt", "lb"])
+
+    def pairs(batches):
+        """Pairs outside the tables whose word is known, with its smoothing terms."""
+        v, _ = model.value
+        prior = (PRIOR * v.unigram).astype(np.float32)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a, b, data, offsets in K.slices(batch.column(2)):
+                before, found, _, at, cell, doc = v.look(data, offsets)
+                mine = np.flatnonzero((cell < 0) & (at < len(v.words)))
+                yield pa.RecordBatch.from_arrays([pa.array(_pair(before[mine], found[mine])), pa.array(keys[a:b][doc[mine]]), *(pa.array(prior[at[mine], j]) for j in (0, 1))], ["pair", "k", "ut", "ub"])
+
+    def rare(batches):
+        """Unknown words with their pair, and unknown words in front without one."""
+        v, _ = model.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a, b, data, offsets in K.slices(batch.column(2)):
+                before, found, front, at, _, doc = v.look(data, offsets)
+                x, y = np.flatnonzero(at == len(v.words)), np.flatnonzero(front == len(v.words))
+                pair = np.concatenate([_pair(before[x], found[x]), np.zeros(len(y), np.int64)])
+                cols = [np.concatenate([found[x], before[y]]).view(np.int64), keys[a:b][doc[np.concatenate([x, y])]]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(pair, mask=np.arange(len(pair)) >= len(x))], ["word", "k", "pair"])
+
+    def counted(batches):
+        """Pairs outside the tables, of a collection that is not scored."""
+        v, _ = model.value
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1)):
-                pairs, doc = words.pairs(data, offsets)
-                n = np.bincount(doc, minlength=b - a)
-                mean = [np.bincount(doc, weights=t[pairs], minlength=b - a) / np.maximum(1, n) for t in tables]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *(pa.array(x, mask=none) for x in (*mean, mean[0] - mean[1]))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            for _, _, data, offsets in K.slices(batch.column(0)):
+                before, found, _, _, cell, _ = v.look(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(_pair(before[cell < 0], found[cell < 0]))], ["pair"])
+
+    body = F.col(text).cast("string")
+    rows = docs.select(F.xxhash64(F.col(key).cast("long"), body).alias("k"), F.col(key).cast("long").alias("doc_id"), body.alias("text"))
+    # role: 1 counts for the target, 2 for the background, 4 is scored
+    model_row = lambda d, role: d.mapInArrow(counted, "pair long").select("pair", F.lit(None).cast("long").alias("k"), F.lit(0).cast("float").alias("ut"), F.lit(0).cast("float").alias("ub"), F.lit(role).cast("byte").alias("role"))
+    role = F.lit(6 if background is None else 4).cast("byte").alias("role")
+    joined = rows.mapInArrow(rare, "word long, k long, pair long").join(words, "word", "left").na.fill(0, ["nt", "ht", "nb", "hb"])
+    term = lambda c, total: (PRIOR * (F.col(c) + 1.0) / float(total + symbols)).cast("float")
+    asked = rows.mapInArrow(pairs, "pair long, k long, ut float, ub float").select("*", role)
+    asked = asked.union(joined.where("pair is not null").select("pair", "k", term("nt", totals[0]), term("nb", totals[1]), role))
+    asked = asked.union(model_row(one, 1))
+    if background is not None:
+        asked = asked.union(model_row(two, 2))
+    group = W.partitionBy("pair")
+    asked = asked.select("k", "ut", "ub", "role", F.sum(F.expr("role & 1").cast("long")).over(group).alias("ct"), F.sum(F.expr("(role & 2) / 2").cast("long")).over(group).alias("cb")).where("(role & 4) > 0")
+    parts = rows.mapInArrow(heads, "k long, doc_id long, n long, lt double, lb double").select("*", F.lit(1).cast("long").alias("copies"))
+    null = F.lit(None).cast("long")
+    parts = parts.union(asked.select("k", null, none, -F.log(F.col("ct") + F.col("ut").cast("double")), -F.log(F.col("cb") + F.col("ub").cast("double")), none))
+    parts = parts.union(joined.where("pair is null").select("k", null, none, F.log(F.col("ht") + PRIOR), F.log(F.col("hb") + PRIOR), none))
+    sums = parts.groupBy("k").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "lt", "lb", "copies")])
+    mean = [F.when(F.col("n") > 0, F.col(c) / F.col("n")).alias(name) for c, name in (("lt", "loss_target"), ("lb", "loss_background"))]
+    out = sums.select("doc_id", F.expr("n div copies").alias("n_tokens"), *mean, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def op6_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

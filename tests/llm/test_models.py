@@ -94,6 +94,43 @@ def test_model_against_brute_force(spark):
             assert r.score == pytest.approx(r.loss_target - r.loss_background)
 
 
+@pytest.mark.parametrize("known,apart", [(1 << 19, False), (2500, True), (100, False)])
+def test_every_word_has_its_own_counts(spark, known, apart):
+    """More words than the tables have; nearly all of them rare."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda: " ".join(words[int(5000 * rng.random() ** 2)] for _ in range(rng.randrange(1, 60)))
+    docs, talk, back = [text() for _ in range(250)] + [None, ""], [text() for _ in range(120)], [text() for _ in range(200)]
+    docs += [docs[3], " ".join(rng.choices(words, k=30) + ["never", "seen"])]
+    ids = [*range(len(docs) - 2), 3, None]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    got = lm_diff.lm_difference(spark.createDataFrame(list(zip(ids, docs)), "doc_id long, text string"), frame(talk), frame(back) if apart else None, known=known).collect()
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in got)
+    split = lambda t: ["<s>", *(t or "").split()]
+    sides = [talk, back if apart else docs]
+    symbols = len({w for side in sides for t in side for w in split(t)} | {"<s>"})
+    assert symbols > lm_diff.SYMBOLS
+
+    def model(texts):
+        pairs = Counter(p for t in texts for p in zip(split(t), split(t)[1:]))
+        heads, one = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            heads[a] += n
+            one[b] += n
+        total = sum(one.values()) + symbols
+        return lambda t: sum(-math.log((pairs[p] + lm_diff.PRIOR * (one[p[1]] + 1) / total) / (heads[p[0]] + lm_diff.PRIOR)) for p in zip(split(t), split(t)[1:])) / (len(split(t)) - 1)
+
+    target, background = map(model, sides)
+    by = dict(zip(ids, docs))
+    for r in got:
+        t = by[r.doc_id]
+        assert r.n_tokens == len(split(t)) - 1
+        if t:
+            assert r.loss_target == pytest.approx(target(t), abs=1e-5) and r.loss_background == pytest.approx(background(t), abs=1e-5)
+        else:
+            assert r.score is None
+
+
 def test_losses_are_distributions():
     import numpy as np
 
