@@ -58,3 +58,14 @@ def test_model(spark):
 def test_held_out_snippets(spark):
     model = P._trained(spark)
     assert all(0.5 <= t <= 0.95 for t in model.thresholds)
+
+
+def test_long_keys_are_found_whole(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = "".join(rng.choices(letters + "0123456789+/", k=600))
+    late = "".join(rng.choices(letters, k=70)) + "".join(rng.choices(letters + "0123456789", k=50))
+    docs = spark.createDataFrame([(i, f'say token = "{k}" and') for i, k in enumerate((key, late))], "doc_id long, text string")
+    rows = P.find_personal_data(docs)
+    assert [[(s.kind, s.start, s.end) for s in r.spans] for r in rows.orderBy("doc_id").collect()] == [[("secret", 13, 13 + len(k))] for k in (key, late)]
+    assert {r.text for r in P.redact(rows).collect()} == {'say token = "[secret]" and'}
