@@ -124,6 +124,8 @@ def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int
     best = (0, 0, 0)
     row: dict[int, tuple[int, int, int]] = {}  # end so far -> (matched, -span, first)
     for i, t in enumerate(template.tolist()):
+        if i + shift - BAND >= len(words):
+            break  # the text ends here; what was matched so far counts
         new, run = {}, (0, 0, -1)
         for j in range(i + shift - BAND, i + shift + BAND + 1):
             if not 0 <= j < len(words):
@@ -146,17 +148,21 @@ def scan(index: Index, words: np.ndarray, at: np.ndarray, rows: np.ndarray, cove
     shift = at - index.place[rows]
     found = []
     order = np.lexsort((shift, index.template[rows]))
-    last = (-1, 0)
+    last, done = (-1, 0), (-1, 0)  # template and shift of the last alignment; template and end of the last match
     for i in order.tolist():
         t, s = int(index.template[rows[i]]), int(shift[i])
-        if last[0] == t and s - last[1] <= BAND // 2:
+        beyond = done[0] == t and bool(at[i] >= done[1])  # a fingerprint behind that match: another copy may follow it closely
+        near = last[0] == t and s - last[1] <= BAND // 2
+        if near and not beyond:
             continue
         last = (t, s)
         template = index.words[t]
         low, high = max(0, s - BAND), min(len(words), s + len(template) + BAND)
-        n, first, end = align(template, words[low:high].tolist(), s - low)
-        if n >= coverage * len(template):
-            found.append((t, n, first + low, end + low))
+        for low in [low] * (not near) + [max(low, done[1])] * beyond:
+            n, first, end = align(template, words[low:high].tolist(), s - low)
+            if n >= coverage * len(template):
+                found.append((t, n, first + low, end + low))
+                done = (t, end + low)
     kept: list[tuple[int, int, int, int]] = []
     for f in sorted(found, key=lambda f: (-f[1], f[3] - f[2], f[2], f[0])):
         if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):

@@ -243,3 +243,16 @@ def test_bucket_bound_is_a_bound(spark):
     names = ["i", "meta_a", "meta_b", *(f"s{j}_{c}" for c in "ab" for j in (1, 2, 3))]
     kept = {r.i for r in spark.createDataFrame(rows, names).where(ngram_join._sharing(75)).collect()}
     assert {i for i, w in enumerate(wants) if w} <= kept and len(kept) < 400
+
+
+def test_licenses_cut_off_or_back_to_back(spark):
+    rows = []
+    for name in ("MIT", "Apache-2.0", "BSD-2-Clause"):
+        words = license_scan.TEMPLATES[name][1 if name != "BSD-2-Clause" else 0].split()
+        rows.append((len(rows), "prose here " + " ".join(words[: int(0.85 * len(words))]), [name]))
+    for name, text in (("MIT", license_scan.TEMPLATES["MIT"][0]), ("CC-BY-NC-4.0", license_scan.TEMPLATES["CC-BY-NC-4.0"][0]), ("Apache-2.0", license_scan.TEMPLATES["Apache-2.0"][0])):
+        for n in (2, 3):
+            rows.append((len(rows), " ".join([text] * n), [name] * n))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.license_scan(docs).collect()}
+    assert got == {i: names for i, _, names in rows}
