@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so do documents of which only white space is left."""
-    found = line_dedup.dedup_lines(docs)
+    """Repeated chunks of lines and repeated passages go; so do documents of which only white space is left."""
+    found = line_dedup.dedup_lines(docs, passages=True)
     return _counted(found.where((F.col("n_removed_chunks") == 0) | _has_words()))
 
 

@@ -5,6 +5,11 @@ that boundaries depend on what stands near them and come back after an insertion
 more) is always a chunk of its own. Of the chunks that come more than once in all documents, those of two lines or more and
 the long ones are compared by their bytes; all but the first occurrence are removed (least doc_id, then text, then place).
 
+With ``passages`` every repeated run of two lines or more with over PASSAGE words is found too, whatever its neighbours:
+from each line that is not blank, the shortest such run forwards and the shortest backwards are candidates as well. A
+repeated run holds the forward one of its first line, the backward one of its last line, and those between cover the rest.
+The query op2_line_dedup and its SQL are without it.
+
 Scale. First only 64-bit hashes of chunks are shuffled and counted, with partial sums. A filter of fixed size (2 MB) made of
 the repeated ones picks the chunks whose text is shuffled for the comparison; a hot chunk is one row for each task in the
 aggregation, and in the join the side that repeats can be split at will. Texts of documents are shuffled only where
@@ -20,6 +25,8 @@ from ._scratch import Scratch, flag_keys, only_keys
 
 LONG = 40  # words
 SPARSE = 4  # one line in so many ends a chunk
+PASSAGE = 50  # words that a run of lines has more than
+_B = 256
 
 _STEPS = (
     # lines and their hashes (28 bits, so that sums stay in 64 bits), and which are long
@@ -39,6 +46,30 @@ def _chunked(docs: DataFrame) -> DataFrame:
     return df
 
 
+_RUNS = (
+    # lines that are not blank, their words, sums of words by blocks and up to each line
+    {"_i": "filter(transform(_l, (x, i) -> if(rlike(x, '[^\\\\x20\\\\x09-\\\\x0D]'), i, -1)), i -> i >= 0)"},
+    {"_q": "transform(_i, i -> size(filter(split(_l[i], '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')))", "_m": "size(_i)"},
+    {"_s": f"transform(sequence(0, _m div {_B}), b -> aggregate(slice(_q, 1, b * {_B}), 0, (a, x) -> a + x))"},
+    {"_p": f"transform(sequence(0, _m), i -> _s[i div {_B}] + aggregate(slice(_q, i div {_B} * {_B} + 1, i % {_B}), 0, (a, x) -> a + x))"},
+    # places (among lines that are not blank) of each run's first line and end; each line has a word, which bounds a run
+    {
+        "_f": f"transform(sequence(0, _m), i -> struct(i as a, i + greatest(2, 1 + size(filter(slice(_p, i + 2, {PASSAGE + 1}), x -> x - _p[i] <= {PASSAGE}))) as z))",
+        "_g": f"transform(sequence(0, _m), i -> struct(i - greatest(2, 1 + size(filter(slice(_p, greatest(i - {PASSAGE}, 1), least(i, {PASSAGE + 1})), x -> _p[i] - x <= {PASSAGE}))) as a, i as z))",
+    },
+    {"_x": "transform(filter(array_distinct(concat(_f, _g)), x -> x.a >= 0 and x.z <= _m), x -> named_struct('begin', _i[x.a], 'end', _i[x.z - 1] + 1))"},
+)
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """A row for each shortest run of lines that can be a passage: doc_id, _k, begin, end, body."""
+    df = _chunked(docs).select("doc_id", "_k", "_l")
+    for step in _RUNS:
+        df = df.withColumns({k: F.expr(v) for k, v in step.items()})
+    rows = df.select("doc_id", "_k", "_l", F.explode_outer("_x").alias("c")).where("c is not null")
+    return rows.select("doc_id", "_k", "c.begin", "c.end", F.expr("array_join(slice(_l, c.begin + 1, c.end - c.begin), '\\n')").alias("body"))
+
+
 def _bodies(docs: DataFrame) -> DataFrame:
     """A row for each chunk that can be a passage: doc_id, _k, begin, end, body.
 
@@ -50,37 +81,45 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("body").rlike("[^\\x20\\x09-\\x0D]"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, passages: bool = False) -> DataFrame:
     """(_k, gone): the chunks to remove from each text that has any, as an array of (begin, end)."""
-    hashes = _bodies(docs).select(F.xxhash64("body").alias("hash")).groupBy("hash").count().where("count > 1")
-    some = only_keys(_bodies(docs).withColumn("hash", F.xxhash64("body")), "hash", hashes, "hash")
+    bodies = _bodies(docs).union(_runs(docs)) if passages else _bodies(docs)
+    hashes = bodies.select(F.xxhash64("body").alias("hash")).groupBy("hash").count().where("count > 1")
+    some = only_keys(bodies.withColumn("hash", F.xxhash64("body")), "hash", hashes, "hash")
     scratch = Scratch(docs.sparkSession, "line-dedup")
     some = scratch.keep(some.withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "begin")))
     first = some.groupBy("hash", "body").agg(F.min("at").alias("first"))
     gone = some.join(first, ["hash", "body"]).where("not (at <=> first)")
+    if passages:  # runs may overlap; where one overlaps the first of its kind, that stays whole
+        gone = gone.withColumn("begin", F.expr("if(at._k = first._k and begin < first.begin + end - begin, first.begin + end - begin, begin)")).where("begin < end")
     out = scratch.keep(gone.groupBy("_k").agg(F.collect_set(F.struct("begin", "end")).alias("gone")))
     scratch.drop(some)
     return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """The rows of docs with new text (without the removed chunks) and the columns n_lines, n_removed_lines, n_removed_chunks.
 
     docs needs doc_id and text; its other columns stay (those that have the new columns' names are replaced). Null texts
     stay null and have no lines; an empty text has one line. Blank chunks are never removed. Rows of one doc_id and text are
     the same occurrence: they lose the same chunks. Null ids come last. If every line goes, the text is empty. An empty
-    table gives an empty result.
+    table gives an empty result. With ``passages``, n_removed_chunks counts the runs of removed lines.
     """
     new = ["n_lines", "n_removed_lines", "n_removed_chunks"]
     docs = docs.drop(*new)
     names = docs.columns
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    gone = repeated_chunks(docs.select("doc_id", "text"))
-    rows = flag_keys(_chunked(docs).select(*names, "_k", "_l", "_c"), "_k", gone, "_k", "_some")
+    gone = repeated_chunks(docs.select("doc_id", "text"), passages)
+    rows = flag_keys(_chunked(docs).select(*names, "_k", "_l", "_n", "_c"), "_k", gone, "_k", "_some")
     hit = rows.where("_some").join(gone, "_k", "left").withColumn("gone", F.expr("coalesce(gone, array())"))
     clean = rows.where("not _some").withColumn("gone", F.expr("cast(array() as array<struct<begin: int, end: int>>)"))
     kept = F.expr("filter(_c, x -> not array_contains(gone, x))")
     out = hit.select(*clean.columns).unionByName(clean).withColumn("_r", kept).withColumn("_some", F.expr("size(gone) > 0"))
+    if passages:
+        # the removed lines, and as chunks of which nothing is removed the others
+        out = out.withColumn("_d", F.expr("array_sort(array_distinct(flatten(transform(gone, x -> sequence(x.begin, x.end - 1)))))"))
+        out = out.withColumn("_r", F.expr("if(_some, transform(array_except(sequence(0, _n - 1), _d), i -> named_struct('begin', i, 'end', i + 1)), _c)"))
+        out = out.withColumn("gone", F.expr("zip_with(filter(_d, (x, i) -> i = 0 or _d[i - 1] < x - 1), filter(_d, (x, i) -> i = size(_d) - 1 or _d[i + 1] > x + 1), (a, b) -> named_struct('begin', a, 'end', b + 1))"))
     return out.select(
         *[F.expr("if(_some, array_join(transform(_r, x -> array_join(slice(_l, x.begin + 1, x.end - x.begin), '\\n')), '\\n'), text)").alias(c) if c == "text" else F.col(c) for c in names],
         F.expr("if(text is null, 0L, cast(size(_l) as bigint))").alias("n_lines"),

@@ -256,3 +256,30 @@ def test_licenses_cut_off_or_back_to_back(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.license_scan(docs).collect()}
     assert got == {i: names for i, _, names in rows}
+
+
+def test_repeated_passages_of_short_lines(spark):
+    rng = random.Random(14)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for n in (2, 3, 4, 6, 8, 10):
+        for _ in range(6):
+            passage = [line(52 // n + 1) for _ in range(n)]
+            if n > 3:
+                passage[2:2] = [""]
+            for copy in (0, 1):
+                head, tail = ([line(rng.randrange(1, 12)) for _ in range(5)] for _ in range(2))
+                want[len(rows)] = "\n".join(head + (passage if not copy else []) + tail)
+                rows.append((len(rows), "\n".join(head + passage + tail)))
+    twice = [line(30) for _ in range(2)]
+    want[900], want[901] = "\n".join(twice), "\n".join([*twice, "end"])
+    rows += [(900, want[900]), (901, "\n".join([line(9)] * 3 + ["end"]))]
+    want[901] = rows[-1][1]
+    rows.append((902, "\n".join([*twice, *twice, "x"])))
+    want[902] = "x"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, passages=True).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert got[1].n_removed_lines == 2 and got[1].n_removed_chunks == 1 and got[902].n_removed_lines == 4
+    same = spark.createDataFrame([(1, "\n".join(["q w"] * 3000))], "doc_id long, text string")
+    assert line_dedup.dedup_lines(same, passages=True).first().n_lines == 3000
