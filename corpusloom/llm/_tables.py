@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from ._kernels import tidy
+
 BLOCK = 1 << 14
 SCHEMA = "block int, counts binary"
 
@@ -45,9 +47,11 @@ def count_table(df: DataFrame, cells: int, of: Callable[[pa.RecordBatch], Iterat
         for batch in batches:
             for found in of(batch):
                 np.add.at(counts, found, 1)
-        yield packed({b: x for b, x in enumerate(counts.reshape(-1, BLOCK)) if x.any()})
+        blocks = counts.reshape(-1, BLOCK)
+        for i in range(0, len(blocks), 64):
+            yield packed({b: blocks[b] for b in range(i, min(i + 64, len(blocks))) if blocks[b].any()})
 
     out = np.zeros((cells // BLOCK, BLOCK), np.int64)
-    for row in df.mapInArrow(run, SCHEMA).repartition(24, "block").mapInArrow(_sum, SCHEMA).collect():
+    for row in df.mapInArrow(tidy(run), SCHEMA).repartition(24, "block").mapInArrow(tidy(_sum), SCHEMA).collect():
         out[row.block] = unpacked(row.counts)
     return out.ravel()

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._scratch import small_batches
 
 KEPT_WORDS = 400_000
 LONG_WORD = 300  # bytes
@@ -228,7 +227,6 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
     special tokens in a text become these tokens. Repeated rows and null keys are kept; other columns are not read. An empty
     table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(path))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

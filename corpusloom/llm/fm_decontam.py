@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._scratch import small_batches
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
@@ -245,7 +244,6 @@ def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, bloc
     kept; items of one id are one item. Other columns are not read. An empty benchmark hits nothing; an empty docs table
     gives an empty result.
     """
-    small_batches(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, size, block_bytes)
     rows = docs.select(*carry, F.col("text").cast("string").alias("_t"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_t").dtypes) + ", n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"

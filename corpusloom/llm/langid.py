@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._scratch import small_batches
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -174,7 +173,6 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: st
     learned. With one language only, that one is predicted. A null id is not held out. Repeated rows are kept; other columns
     are not read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out(key) & F.col(key).isNotNull(), text, lang, key, per_language))
     first = list(carry) or ["doc_id", "held_out"]
     rows = docs.select(*([F.col(c) for c in carry] or [F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out")]), F.col(text).cast("string").alias("_t"))

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._scratch import small_batches
 
 GRAM, WINDOW = 3, 3
 BAND = 12  # words by which a match may shift
@@ -179,7 +178,6 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     Null, empty and wordless texts have no matches. Repeated rows and null keys are kept; other columns are not read. An
     empty table gives an empty result. Templates need GRAM words at least; shorter ones are never found.
     """
-    small_batches(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
 
     def run(batches):

@@ -7,13 +7,19 @@ class is dealt into parts by hash; each part needs one token more, and pairs of
 ones: if no rarer token is shared, more frequent tokens are shared than there are parts, so two of them lie in one part. The
 number of parts grows with the set, by size class, so that there are about ten pairs for a part; a set indexes its own
 class and the next if a partner may be there. What two prefixes share bounds what two sets can share; pairs within that
-bound are verified on the words themselves.
-
-Scale. The classes come from a table of counts of fixed size, over all documents; two bits for each cell are broadcast
-(4 MB). Equal sets are one node. In a list of documents with a common signature, every document is first compared with one
+bound are verified on their whole sets of shingles, made anew from the texts. Shingles are told apart by 64-bit hashes, and
+equal sets by two sums of them.
+
+Scale. The classes come first from a table of counts of fixed size, over all documents; two bits for each cell are broadcast
+(4 MB). Where the corpus outgrows that table, tokens that it calls rare may still have long lists: a token that more than
+HEAVY documents index is then frequent too, known by key. Documents that index such tokens are indexed anew without them,
+until no document indexes one, so that every document knows the class of each token that it indexes. Any classes give
+complete results; they set the cost. Equal sets are one node. In a list of documents with a common signature, every document is first compared with one
 of them (that with the fewest tokens below the frequent class: of near copies, the one that is most like the others), and the
 links found make components; only documents of the same list that are then in different components are compared pair by
-pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost.
+pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost. Links
+inside a component are not all made, so links are not counted. Hot keys (a set that many rows have, a list or a document
+with many pairs) are found by their counts and dealt out over several tasks.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ from pyspark.sql.window import Window as W
 
 from . import _kernels as K
 from ._components import components
-from ._scratch import Scratch, only_keys, small_batches
+from ._scratch import Scratch, hot_counts, hot_values, only_keys, small_batches, spread_join
 from ._tables import count_table
 
 CELL_BITS = 24  # of the table of counts
+HEAVY = 256  # documents that may index a token by itself
 
 
 def _cell(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -93,31 +100,37 @@ def sketch(often: np.ndarray) -> tuple[int, ...]:
     return tuple(sum(c << LANE * i for i, c in enumerate(counts[j : j + 3])) for j in (0, 3, 6))
 
 
+ROW = "doc_id long, n long, h1 long, h2 long, meta long, s1 long, s2 long, s3 long, rare array<long>, often array<long>"
+
+
 def _index(k: int, percent: int, cells: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("meta", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()), ("rare", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
+    """Sizes, sums of hashes, classes and signatures of texts. A third column: tokens known to be frequent by key."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "meta", "s1", "s2", "s3")), *((c, pa.list_(pa.int64())) for c in ("rare", "often"))])
 
     def run(batches):
-        level = np.unpackbits(bits.value[0]) + np.unpackbits(bits.value[1])
+        level = np.unpackbits(bits.value[0])
+        level += np.unpackbits(bits.value[1])
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
-                ids = batch.column(0).slice(a, b - a)
-                n, h1, h2, meta, bits_, rare, often = [], [], [], [], [], [], []
-                for tokens in K.shingle_sets(data, offsets, k):
+                heavy = batch.column(2).slice(a, b - a).to_pylist() if batch.num_columns > 2 else [None] * (b - a)
+                fixed, rare, often = [], [], []
+                for tokens, known in zip(K.shingle_sets(data, offsets, k), heavy, strict=True):
                     of = level[_cell(tokens, cells)]
+                    if known:
+                        of[np.isin(tokens, np.array(known, np.int64).view(np.uint64))] = 2
                     r, o = signatures(tokens, of, percent)
-                    n.append(len(tokens))
                     with np.errstate(over="ignore"):
-                        h1.append(K.mix(tokens, 11).sum(dtype=np.uint64))
-                        h2.append(K.mix(tokens, 13).sum(dtype=np.uint64))
+                        sums = [K.mix(tokens, salt).sum(dtype=np.uint64).astype(np.uint64).view(np.int64) for salt in (11, 13)]
                     whole = len(tokens) > 0 and len(r) == _need(len(tokens), percent)
-                    bits_.append(sketch(tokens[of == 2]))
-                    meta.append(len(tokens) << 32 | int((of == 2).sum()) << 1 | int(whole))
+                    meta = len(tokens) << 32 | int((of == 2).sum()) << 1 | int(whole)
+                    fixed.append((len(tokens), *map(int, sums), meta, *sketch(tokens[of == 2])))
                     rare.append(r.view(np.int64))
                     often.append(o.view(np.int64))
                 lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v))) for v in (rare, often)]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(meta, pa.int64()), *(pa.array([x[i] for x in bits_], pa.int64()) for i in range(3)), *lists], schema=schema)
+                numbers = np.array(fixed, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(np.ascontiguousarray(numbers[:, j])) for j in range(7)), *lists], schema=schema)
 
-    return run
+    return K.tidy(run)
 
 
 def _verify(k: int, percent: int):
@@ -137,18 +150,17 @@ def _verify(k: int, percent: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([cols["a"].filter(mask), cols["b"].filter(mask)], ["a", "b"])
 
-    return run
+    return K.tidy(run)
 
 
 def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar. Texts travel for the documents in pairs only."""
-    texts = only_keys(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("x")), "x")
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-        .mapInArrow(_verify(k, percent), "a long, b long")
-    )
+    """Those of the pairs (a, b) whose texts are similar. Texts travel for the documents in pairs only; that of a document
+    with very many pairs goes to several tasks."""
+    texts = only_keys(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x")
+    right, left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    found = spread_join(pairs, right, ["b"], "b", hot_values(pairs, "b"), F.col("a"))
+    found = spread_join(found, left, ["a"], "a", hot_values(pairs, "a"), F.col("b"))
+    return found.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
 
 
 #: Of ``meta``: tokens of a set, frequent ones among them, and whether its prefix stays below the frequent class.
@@ -196,35 +208,76 @@ def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
     )
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits: int = CELL_BITS) -> DataFrame:
+def _posts(scratch: Scratch, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each document and signature that another document has too, with the middle of the signature's list and the
+    number of documents in it: the signatures of each set, once."""
+    known = rows.where("n > 0 and doc_id is not null")
+    nodes = known.join(sets.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
+    # the middle of a list: fewest tokens below the frequent class, then the least id
+    middle = F.min(F.struct(F.expr(f"{_N.format('meta')} - {_F.format('meta')}").alias("r"), "doc_id", "meta"))
+    # lists of rarer tokens are short, or will be; of frequent pairs, partial minima are made before the shuffle
+    w = W.partitionBy("sig")
+    rare = nodes.select("doc_id", "meta", F.explode("rare").alias("sig"), F.lit(False).alias("often"))
+    rare = rare.withColumn("p", middle.over(w)).withColumn("x", F.min("doc_id").over(w)).withColumn("y", F.max("doc_id").over(w)).withColumn("docs", F.count("*").over(w)).where("x <> y")
+    often = nodes.select("doc_id", "meta", F.explode("often").alias("sig"), F.lit(True).alias("often"))
+    lists = scratch.keep(often.groupBy("sig").agg(middle.alias("p"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("docs")).where("x <> y"))
+    cols = ["sig", "often", "doc_id", "meta", F.col("p.doc_id").alias("pivot"), F.col("p.meta").alias("pm"), "docs"]
+    often = spread_join(often, lists, ["sig"], "sig", hot_counts(lists, "sig", "docs"), F.col("doc_id"))
+    out = scratch.keep(rare.select(*cols).union(often.select(*cols)))
+    scratch.drop(lists)
+    return out
+
+
+def _settled(scratch: Scratch, docs: DataFrame, rows: DataFrame, sets: DataFrame, index, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """rows and posts in which no document indexes by itself a token that more than ``heavy`` documents did."""
+    all_heavy = learned = None
+    while True:
+        posts = _posts(scratch, rows, sets)
+        single = posts.where("not often")
+        now = single.where(F.col("docs") > heavy).select("sig").distinct()
+        new = now if all_heavy is None else now.union(all_heavy).distinct()
+        if all_heavy is None and now.isEmpty():
+            return rows, posts
+        all_heavy = scratch.keep(new)
+        found = single.join(all_heavy, "sig", "left_semi").groupBy("doc_id").agg(F.collect_set("sig").alias("known"))
+        # a document that indexes one only because no list of two is left with it would not be seen above
+        lone = rows.where("n > 0 and doc_id is not null").select("doc_id", F.explode("rare").alias("sig")).join(all_heavy, "sig", "left_semi")
+        found = found.union(lone.groupBy("doc_id").agg(F.collect_set("sig")))
+        if learned is not None:
+            found = found.union(learned)
+        before = 0 if learned is None else learned.agg(F.sum(F.size("known"))).first()[0]
+        learned = scratch.keep(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known")))
+        if learned.agg(F.sum(F.size("known"))).first()[0] == before:
+            return rows, posts
+        again = only_keys(docs, "doc_id", learned, "doc_id").join(learned, "doc_id").select("doc_id", "text", "known").mapInArrow(index, ROW)
+        changed = rows.join(learned, "doc_id", "left_anti").unionByName(again)
+        old, rows = rows, scratch.keep(changed)
+        scratch.drop(old, posts)
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits: int = CELL_BITS, heavy: int = HEAVY) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id that links reach), n_set_rows.
 
     docs needs doc_id and text; other columns are not read, whatever their names. Null and empty texts, and texts of white
     space, have no shingles and link with nothing, not even each other. Repeated rows stay rows; rows of one doc_id are one
     node. A null doc_id keeps its row, with a null component_id. An empty table gives an empty result.
-    n_set_rows: number of rows with just this set (1 for a set of no shingles).
+    n_set_rows: number of rows with just this set (1 for a set of no shingles). cell_bits and heavy set the cost only.
     """
-    small_batches(docs.sparkSession)
     if percent < 67:
         raise ValueError("the index is complete for similarities of 67 percent or more")
+    with small_batches(docs.sparkSession):
+        return _join(docs, k, percent, cell_bits, heavy)
+
+
+def _join(docs: DataFrame, k: int, percent: int, cell_bits: int, heavy: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "ngram-join")
     bits = spark.sparkContext.broadcast(cell_classes(docs, "text", k, cell_bits))
-    rows = scratch.keep(docs.mapInArrow(_index(k, percent, cell_bits, bits), "doc_id long, n long, h1 long, h2 long, meta long, s1 long, s2 long, s3 long, rare array<long>, often array<long>"))
+    index = _index(k, percent, cell_bits, bits)
+    rows = scratch.keep(docs.mapInArrow(index, ROW))
     sets = scratch.keep(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_set_rows")))
-    # the signatures of each set, once; a set of one row needs no join
-    nodes = rows.where("n > 0 and doc_id is not null").join(sets.select("h1", "h2", F.col("node").alias("doc_id")).withColumn("here", F.lit(1)), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    posts = nodes.select("doc_id", "meta", F.explode("rare").alias("sig"), F.lit(False).alias("often")).union(nodes.select("doc_id", "meta", F.explode("often"), F.lit(True)))
-    # the middle of a list: fewest tokens below the frequent class, then the least id
-    middle = F.min(F.struct(F.expr(f"{_N.format('meta')} - {_F.format('meta')}").alias("r"), "doc_id", "meta"))
-    # lists of rarer tokens are short; of frequent pairs, partial minima are made before the shuffle
-    w = W.partitionBy("sig")
-    rare = posts.where("not often").withColumn("p", middle.over(w)).withColumn("x", F.min("doc_id").over(w)).withColumn("y", F.max("doc_id").over(w)).where("x <> y")
-    often = posts.where("often")
-    lists = often.groupBy("sig").agg(middle.alias("p"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    cols = ["sig", "often", "doc_id", "meta", F.col("p.doc_id").alias("pivot"), F.col("p.meta").alias("pm")]
-    posts = scratch.keep(rare.select(*cols).union(often.join(lists, "sig").select(*cols)))
+    rows, posts = _settled(scratch, docs, rows, sets, index, heavy)
     stars = posts.where("doc_id <> pivot").where(_near("meta", "pm", percent, "often"))
     least = F.expr("doc_id < pivot")
     stars = stars.select(*[F.when(least if first else ~least, F.col(one)).otherwise(F.col(other)).alias(name) for name, one, other, first in (("a", "doc_id", "pivot", True), ("ma", "meta", "pm", True), ("b", "doc_id", "pivot", False), ("mb", "meta", "pm", False))], "often")
@@ -243,10 +296,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, cell_bits
     more = scratch.keep(_possible(more, percent, 1.0).join(stars, ["a", "b"], "left_anti"))
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))
-    out = rows.drop("rare", "often", "meta", "s1", "s2", "s3").join(sets, ["h1", "h2", "n"], "left").join(label.withColumnRenamed("id", "node"), "node", "left")
+    found = scratch.keep(sets.join(label.withColumnRenamed("id", "node"), "node", "left"))
+    out = spread_join(rows.select("doc_id", "n", "h1", "h2"), found, ["h1", "h2", "n"], "h1", hot_counts(found, "h1", "n_set_rows"), F.coalesce(F.col("doc_id"), F.lit(0)), "left")
     known = F.col("doc_id").isNotNull()
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("label", "node", "doc_id")).alias("component_id"), F.when(known & F.col("n_set_rows").isNotNull(), F.col("n_set_rows")).otherwise(1).alias("n_set_rows")))
-    scratch.drop(rows, sets, posts, stars, links, left, more, again, label)
+    scratch.drop(rows, sets, posts, stars, links, left, more, again, label, found)
     bits.unpersist()
     return out
 

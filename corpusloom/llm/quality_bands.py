@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._scratch import small_batches
 
 LEVEL = 3
 CHUNK = 4096
@@ -98,7 +97,6 @@ def quality_bands(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Null, empty and white-space texts have no words: base_failed, not kept. Texts of under 64 bytes have no band. Repeated
     rows and null keys are kept as they are; other columns are not read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(_measure, schema)
 

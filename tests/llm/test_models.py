@@ -26,6 +26,43 @@ def made(n=60, seed=4):
     return rows
 
 
+def brute_losses(talk, docs, split, back):
+    """The two mean losses of a document's words. back: None if the documents are the background, each without itself."""
+    pairs = [Counter(p for t in side for p in zip(split(t), split(t)[1:])) for side in (talk, docs if back is None else back)]
+    heads = [Counter(), Counter()]
+    one = [Counter(), Counter()]
+    for j in (0, 1):
+        for (a, b), n in pairs[j].items():
+            heads[j][a] += n
+            one[j][b] += n
+    totals = [sum(x.values()) for x in one]
+    symbols = max(lm_diff.SYMBOLS, len({*one[0], *one[1], "<s>"}))
+    scale = [min(1.0, (min(totals) or max(totals)) / max(1, n)) for n in totals]
+
+    def loss(w):
+        mine, fronts, out = Counter(zip(w, w[1:])), Counter(w[:-1]), []
+        for j in (0, 1):
+            own = j == 1 and back is None
+            total = 0.0
+            for (a, b), m in mine.items():
+                c, h = pairs[j][a, b] - own * m, heads[j][a] - own * fronts[a]
+                prior = lm_diff.PRIOR * (scale[j] * one[j][b] + 1) / (scale[j] * totals[j] + symbols)
+                total -= m * math.log((scale[j] * c + prior) / (scale[j] * h + lm_diff.PRIOR))
+            out.append(total / (len(w) - 1))
+        return out
+
+    return loss
+
+
+def check_losses(r, w, loss):
+    assert r.n_tokens == len(w) - 1
+    if len(w) == 1:
+        assert r.score is None
+    else:
+        assert [r.loss_target, r.loss_background] == pytest.approx(loss(w), abs=1e-6)
+        assert r.score == pytest.approx(r.loss_target - r.loss_background)
+
+
 def test_languages(spark):
     rows = made() + [(900, None, "en"), (901, "", None), (902, "123 — €", "fr"), (903, "ÉEAU OI ELLE", None), (None, "sch ei ung", "de"), (1, "sch ei ung", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
@@ -70,28 +107,11 @@ def test_model_against_brute_force(spark):
     talk = [(" ".join(rng.choices(words[10:], k=20)).upper(),) for _ in range(25)] + [(None,)]
     got = lm_diff.lm_difference(spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(talk, "text string")).collect()
 
-    def model(texts):
-        pairs = Counter()
-        for t in texts:
-            w = ["<s>", *re.findall("[a-z0-9]+", (t or "").lower())]
-            pairs.update(zip(w, w[1:]))
-        heads, one = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            heads[a] += n
-            one[b] += n
-        total = sum(one.values()) + lm_diff.SYMBOLS
-        p = lambda a, b: (pairs[a, b] + lm_diff.PRIOR * (one[b] + 1) / total) / (heads[a] + lm_diff.PRIOR)
-        return lambda w: sum(-math.log(p(a, b)) for a, b in zip(["<s>", *w], w)) / len(w)
-
-    target, background = model([t for (t,) in talk]), model([t for _, t, _ in docs])
+    split = lambda t: ["<s>", *re.findall("[a-z0-9]+", (t or "").lower())]
+    by = {i: t for i, t, _ in docs}
+    loss = brute_losses([t for (t,) in talk], list(by.values()), split, None)
     for r in got:
-        w = re.findall("[a-z0-9]+", (dict((i, t) for i, t, _ in docs)[r.doc_id] or "").lower())
-        assert r.n_tokens == len(w)
-        if not w:
-            assert r.score is None
-        else:
-            assert r.loss_target == pytest.approx(target(w), abs=1e-5) and r.loss_background == pytest.approx(background(w), abs=1e-5)
-            assert r.score == pytest.approx(r.loss_target - r.loss_background)
+        check_losses(r, split(by[r.doc_id]), loss)
 
 
 @pytest.mark.parametrize("known,apart", [(1 << 19, False), (2500, True), (100, False)])
@@ -104,39 +124,35 @@ def test_every_word_has_its_own_counts(spark, known, apart):
     docs += [docs[3], " ".join(rng.choices(words, k=30) + ["never", "seen"])]
     ids = [*range(len(docs) - 2), 3, None]
     frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
-    got = lm_diff.lm_difference(spark.createDataFrame(list(zip(ids, docs)), "doc_id long, text string"), frame(talk), frame(back) if apart else None, known=known).collect()
+    got = lm_diff.lm_difference(spark.createDataFrame(list(zip(ids, docs)), "doc_id long, text string"), frame(talk), frame(back) if apart else None, known=known, per_bucket=700).collect()
     assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in got)
     split = lambda t: ["<s>", *(t or "").split()]
-    sides = [talk, back if apart else docs]
-    symbols = len({w for side in sides for t in side for w in split(t)} | {"<s>"})
-    assert symbols > lm_diff.SYMBOLS
-
-    def model(texts):
-        pairs = Counter(p for t in texts for p in zip(split(t), split(t)[1:]))
-        heads, one = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            heads[a] += n
-            one[b] += n
-        total = sum(one.values()) + symbols
-        return lambda t: sum(-math.log((pairs[p] + lm_diff.PRIOR * (one[p[1]] + 1) / total) / (heads[p[0]] + lm_diff.PRIOR)) for p in zip(split(t), split(t)[1:])) / (len(split(t)) - 1)
-
-    target, background = map(model, sides)
+    loss = brute_losses(talk, docs, split, back if apart else None)
     by = dict(zip(ids, docs))
     for r in got:
-        t = by[r.doc_id]
-        assert r.n_tokens == len(split(t)) - 1
-        if t:
-            assert r.loss_target == pytest.approx(target(t), abs=1e-5) and r.loss_background == pytest.approx(background(t), abs=1e-5)
-        else:
-            assert r.score is None
+        check_losses(r, split(by[r.doc_id]), loss)
+
+
+def test_copies_elsewhere_are_scored_apart(spark):
+    """Each text is scored without itself, so one that comes twice is known to the background and one that comes once is not."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(900)], k=60)) for _ in range(40)]
+    docs = [(i, t) for i, t in enumerate([*texts, *texts[:10]])]
+    got = {r.doc_id: r.score for r in lm_diff.lm_difference(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("v1 v2 v3",)] * 300, "text string")).collect()}
+    twice = [got[i] for i in [*range(10), *range(40, 50)]]
+    assert min(twice) > max(got[i] for i in range(10, 40))
 
 
-def test_losses_are_distributions():
+def test_smoothing_is_a_distribution():
+    """Over all symbols the smoothing terms sum up to PRIOR, so that p(w|h) sums up to one."""
     import numpy as np
 
-    counts = np.random.default_rng(0).integers(0, 3, lm_diff.SYMBOLS**2)
-    p = np.exp(-lm_diff.losses(counts).astype(float).reshape(lm_diff.SYMBOLS, -1)).sum(1)
-    assert abs(p - 1).max() < 1e-3
+    rng = np.random.default_rng(0)
+    words, counts, totals = rng.integers(1, 1 << 60, 500).astype(np.uint64), rng.integers(0, 9, (500, 4)), np.array([4000, 90000])
+    counts[:, [0, 2]] = totals / 500
+    v = lm_diff.Vocabulary(words, counts, totals, 3000, True)
+    assert v.scale.tolist() == [1.0, pytest.approx(4000 / 90000)]
+    assert v.prior.sum(0) + (3000 - 500) * v.floor == pytest.approx(lm_diff.PRIOR)
 
 
 def test_empty_collections(spark):

@@ -57,12 +57,13 @@ def near_texts(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("bits", [24, 14])
-def test_join_is_complete(spark, bits):
-    """With 2 ** 14 cells nearly all tokens count as frequent, so pairs of tokens are what finds the links."""
+@pytest.mark.parametrize("bits, heavy", [(24, 256), (14, 256), (24, 3)])
+def test_join_is_complete(spark, bits, heavy):
+    """With 2 ** 14 cells nearly all tokens count as frequent, so pairs of tokens are what finds the links. With ``heavy`` 3
+    tokens are found to be frequent by key, round after round."""
     texts = near_texts()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs, cell_bits=bits).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs, cell_bits=bits, heavy=heavy).collect())
     assert got == components(texts)
 
 
@@ -112,6 +113,8 @@ def test_line_dedup_against_sql(spark, tmp_path):
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(1, 12)) + (block if i % 3 == 0 else []) + rng.choices(lines, k=2)), "c") for i in range(120)]
     rows += [(5, rows[5][1], "c"), (None, rows[6][1], None), (200, None, "x"), (201, "", "y"), (202, "\n\n\n", "y"), (203, "a\n" * 3000, "z"), (204, "a\n" * 3000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    for c in ("gone", "_k", "_l", "_n", "_carried", "_salt", "hash", "a.b"):  # names that the operator uses itself
+        docs = docs.withColumn(c, F.lit("mine"))
     docs.write.parquet(str(tmp_path / "d"))
     out = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     got = sorted((tuple(r) for r in out.collect()), key=str)
@@ -119,6 +122,7 @@ def test_line_dedup_against_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     assert got == sorted(con.execute(line_dedup.SQL).fetchall(), key=str)
     assert sum(r[3] for r in got) > 30
+    assert {tuple(r) for r in line_dedup.dedup_lines(docs).select("gone", "_k", "_n", "_carried", "`a.b`").collect()} == {("mine",) * 5}
     assert line_dedup.dedup_lines(docs.where(F.lit(False))).count() == 0
 
 
