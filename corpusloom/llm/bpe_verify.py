@@ -5,6 +5,9 @@ proposes tokens. A row of tokens is the encoding if and only if every token is i
 stay apart when their bytes are encoded together; that is tested for all neighbours of all new words at once, by walking
 the merges that made both sides back. Only words that fail are merged exactly, by rank. Decoding joins token strings.
 
+Letters, numbers and lower case are those of the library's own Unicode tables: the driver asks it once about every code
+point, and texts with a code point from the first doubtful one on are cut by a pattern that spells the differences out.
+
 The model's tables come from the file, on the driver, and are broadcast: their size is that of the vocabulary. A task keeps
 the words that it has seen, up to a fixed number, and starts anew beyond it, so memory is bounded. There is no shuffle.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 LONG_WORD = 300  # bytes
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 END = "</w>"
@@ -38,6 +42,65 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _ranges(points: set[int]) -> str:
+    """A class body for a pattern, of code points."""
+    out, ordered = [], sorted(points)
+    for i, c in enumerate(ordered):
+        if i and ordered[i - 1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+class Tables:
+    """Where the library's Unicode tables differ from those of this Python: asked about every code point, on the driver."""
+
+    def __init__(self, words: str):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        split = pre_tokenizers.Split(Regex(words), "removed", invert=True)
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        # three classes by this Python; runs of one class are asked about at once, and one by one where the answer differs
+        letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+        space = regex.compile(f"[{_SPACE}]")
+        mine = {c: "L" if letter.match(x) else "N" if number.match(x) else "S" if space.match(x) else "O" for c in points for x in (chr(c),)}
+        runs: list[list[int]] = []
+        for c in points:
+            if mine[c] in "NS" or not runs or mine[runs[-1][-1]] != mine[c] or len(runs[-1]) >= 256 or runs[-1][-1] != c - 1:
+                runs.append([c])
+            else:
+                runs[-1].append(c)
+        theirs = dict(mine)
+        for run in runs:
+            text = "".join(map(chr, run))
+            kind = mine[run[0]]
+            if kind in "LO" and [x for x, _ in split.pre_tokenize_str(text)] == [text] and (kind == "O") == (len(split.pre_tokenize_str("!" + text)) == 1):
+                continue
+            for c in run:
+                if not split.pre_tokenize_str(chr(c)):
+                    theirs[c] = "S"
+                elif len(split.pre_tokenize_str("a" + chr(c))) == 1:
+                    theirs[c] = "L"
+                else:
+                    theirs[c] = "O" if len(split.pre_tokenize_str("!" + chr(c))) == 1 else "N"
+        change = {k: {c for c in points if theirs[c] != mine[c] and mine[c] == k} for k in "LNSO"}
+        to = {k: {c for c in points if theirs[c] != mine[c] and theirs[c] == k} for k in "LNSO"}
+        low = normalizers.Lowercase().normalize_str("\x01".join(map(chr, points))).split("\x01")
+        del low[1]  # U+0001 itself gave two empty ones
+        self.lower = {c: x for c, x in zip(points, low) if c != 1 and x != chr(c).lower() and chr(c) != "Σ"}
+        doubtful = {*self.lower, *(c for c in points if theirs[c] != mine[c])}
+        self.first_byte = chr(min(doubtful)).encode()[0] if doubtful else 256
+        for k, base in (("L", r"\p{L}"), ("N", r"\p{N}")):
+            less, more = _ranges(change[k]), _ranges(to[k])
+            words = words.replace(f"[{base}]", f"[@{base}" + (f"--[{less}]" if less else "") + (f"||[{more}]" if more else "") + "]")
+        spaces = f"[{_SPACE}{_ranges(to['S'])}]"
+        spaces = f"[{spaces}--[{_ranges(change['S'])}]]" if change["S"] else spaces
+        classes = {k: regex.search(r"\[@(.*?\]?)\](?=\+?\||\|)", words[words.index("[@" + base) :]).group(1) for k, base in (("L", r"\p{L}"), ("N", r"\p{N}"))}
+        words = words.replace("[@", "[")
+        self.words = "(?V1)" + words.replace(r"[^\s\p{L}\p{N}]", f"(?:(?!{spaces}|[{classes['L']}]|[{classes['N']}])(?s:.))")
+
+
 class Model:
     """Tables of a tokenizers file of the kind: NFC, lower case, words, byte letters, BPE with a word end."""
 
@@ -50,6 +113,7 @@ class Model:
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = words.replace(r"\s", _SPACE)
+        self.tables = Tables(words)
         ids: dict[str, int] = bpe["vocab"]
         self.n = 1 + max([*ids.values(), *self.specials.values()])
         self.strings = [""] * self.n
@@ -181,6 +245,7 @@ class _Coder:
     def __init__(self, model: Model):
         self.model = model
         self.find = regex.compile(model.words).findall
+        self.find_exactly = regex.compile(model.tables.words).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, model.specials)) + ")") if model.specials else None
         self.clear()
 
@@ -189,17 +254,24 @@ class _Coder:
         self.flat = np.array(list(self.model.specials.values()), np.int32)
         self.ends = np.arange(1, len(self.flat) + 1)
 
-    def cut(self, text: str) -> list[str]:
+    def _words(self, text: str, doubtful: bool) -> list[str]:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if doubtful:
+            return self.find_exactly(text.translate(self.model.tables.lower).lower())
+        return self.find(text.lower())
+
+    def cut(self, text: str, doubtful: bool = True) -> list[str]:
         if self.special is None or not any(x in text for x in self.model.specials):
-            return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return self._words(text, doubtful)
         out = []
         for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            out += [part] if i % 2 else self._words(part, doubtful)
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts, and where each text's begin and end."""
-        words = [self.cut(x or "") for x in texts]
+    def encode(self, texts: list[str | None], doubtful: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and where each text's begin and end. doubtful: may a text have a code point about which
+        the library's tables and this Python's differ?"""
+        words = [self.cut(x or "", d) for x, d in zip(texts, doubtful, strict=True)]
         seen = set(chain.from_iterable(words)) - self.index.keys()
         if len(self.index) + len(seen) > KEPT_WORDS:
             self.clear()
@@ -219,6 +291,11 @@ class _Coder:
         return ids, total[np.concatenate([[0], np.cumsum([len(x) for x in words])])]
 
 
+@lru_cache(maxsize=2)
+def model_of(path: str) -> Model:
+    return Model(path)
+
+
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids (array of int) and decoded (string) for every row: what the tokenizers library gives for the file at
     path with add_special_tokens=False, and for its decode with skip_special_tokens=False.
@@ -227,20 +304,21 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
     special tokens in a text become these tokens. Repeated rows and null keys are kept; other columns are not read. An empty
     table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model(path))
+    model = docs.sparkSession.sparkContext.broadcast(model_of(path))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
         coder = _Coder(model.value)
         strings = pa.array(model.value.strings)
         for batch in batches:
-            for a, b, _, _ in K.slices(batch.column(1), 1 << 20):
-                ids, at = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
+            for a, b, data, offsets in K.slices(batch.column(1), 1 << 20):
+                late = np.concatenate([[0], np.cumsum(data >= coder.model.tables.first_byte)])
+                ids, at = coder.encode(batch.column(1).slice(a, b - a).to_pylist(), (late[offsets[1:]] > late[offsets[:-1]]).tolist())
                 at, ids = pa.array(at, pa.int32()), pa.array(ids, pa.int32())
                 decoded = pc.binary_join(pa.ListArray.from_arrays(at, strings.take(ids)), " ")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(at, ids), decoded], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(K.tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame, *more: str) -> DataFrame:

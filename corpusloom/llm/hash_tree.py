@@ -1,19 +1,20 @@
 """Operator 7: sharding by a hierarchical weighted hash tree.
 
-Method. Shards are leaves of a tree of regions, racks and shards. From the root on, each child draws -ln(u) / weight for the
-document, u being a hash of the document's id and the child's name in (0, 1), and the least draw wins; a child's weight is
-the sum of its leaves'. Changing a weight changes only this child's draw (and those of its ancestors), so documents move
-only into or out of subtrees whose weights change. A tree for n shards is filled region by region, and a region whose last
-place is taken is never changed again; the 25th shard opens a region of its own, so one more shard takes documents only
-into itself.
-
-All is native: nine hashes for a document before any shuffle. Only ids, sizes and checksums are shuffled, for the slots;
-these are numbered within (shard, block of ids) and get the block's offset added, so no task sees a whole shard.
+Method. Shards are leaves of a tree of regions, racks and shards. From the root down, each child of the node reached draws
+-ln(u) / weight for the document, u being a hash of the document's id and the child's name in (0, 1), and the least draw wins;
+a child's weight is the sum of its leaves'. Changing a weight changes only this child's draw (and those of its ancestors), so
+documents move only into or out of subtrees whose weights change. A tree is laid out for ``planned`` shards, in regions of
+eight; each shard beyond is a region of its own, so it draws against whole regions and takes documents only into itself, at
+any count. The grown shard is that of the same tree with one more such region.
+
+All is native: the draws of a node's children are a literal array, one projection for each level, before any shuffle. Only
+ids, sizes and checksums are shuffled, for the slots; these are numbered within (shard, block of ids) and get the block's
+offset added, so no task sees a whole shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,54 +23,70 @@ BLOCKS = 64
 DIGITS = 12  # hex digits of a draw
 
 
-def tree(shards: int, weights: dict[int, float] | None = None) -> list[list[list[tuple[int, float]]]]:
-    """Regions of racks of (shard, weight), for shards 0 to shards - 1."""
+Tree = list[list[list[tuple[int, float]]]]
+
+
+def tree(shards: int, weights: dict[int, float] | None = None, planned: int | None = None) -> Tree:
+    """Regions of racks of (shard, weight), for shards 0 to shards - 1, laid out for ``planned`` ones (or all)."""
     leaves = [(s, float((weights or {}).get(s, 1.0))) for s in range(shards)]
-    regions = [leaves[i : i + REGION] for i in range(0, shards, REGION)]
+    planned = min(shards, shards if planned is None else planned)
+    regions = [leaves[i : min(i + REGION, planned)] for i in range(0, planned, REGION)] + [[leaf] for leaf in leaves[planned:]]
     return [[r[i : i + RACK] for i in range(0, len(r), RACK)] for r in regions]
 
 
-def draw(key: str, name: str, weight: float) -> str:
-    """SQL of a child's draw."""
-    return f"-ln((cast(conv(left(md5(concat(cast({key} as string), ':{name}')), {DIGITS}), 16, 10) as double) + 0.5) / {16**DIGITS}D) / {weight}D"
+def _weight(racks: list[list[tuple[int, float]]]) -> float:
+    return sum(w for rack in racks for _, w in rack)
+
 
+def _levels(t: Tree) -> tuple[list, list, list]:
+    """(name, weight, number) of the regions, of each region's racks, and of each rack's shards (racks numbered through)."""
+    regions = [(f"r{i}", _weight(racks), i) for i, racks in enumerate(t)]
+    racks, shards = [], []
+    for i, r in enumerate(t):
+        racks.append([(f"r{i}k{j}", _weight([rack]), len(shards) + j) for j, rack in enumerate(r)])
+        shards += [[(f"s{s}", w, s) for s, w in rack] for rack in r]
+    return regions, racks, shards
 
-def _least(key: str, children: list[tuple[str, float, str]]) -> str:
-    """SQL of the value of the child with the least draw; ties go to the first child."""
-    if len(children) == 1:
-        return children[0][2]
-    draws = ", ".join(f"named_struct('d', {draw(key, name, w)}, 'i', {i})" for i, (name, w, _) in enumerate(children))
-    cases = " ".join(f"WHEN {i} THEN {value}" for i, (_, _, value) in enumerate(children))
-    return f"CASE array_min(array({draws})).i {cases} END"
 
+def _draws(children: str, key: str) -> str:
+    """SQL of the least (draw, number) among children, an array of (name, weight, number); ties go to the first number."""
+    d = f"-ln((cast(conv(left(md5(concat(cast({key} as string), ':', x.name)), {DIGITS}), 16, 10) as double) + 0.5) / {16**DIGITS}D) / x.weight"
+    return f"array_min(transform({children}, x -> named_struct('d', {d}, 'i', x.number)))"
 
-def placement(key: str, shards: int, weights: dict[int, float] | None = None) -> str:
-    """SQL of the shard of a key."""
-    total = lambda racks: sum(w for rack in racks for _, w in rack)
-    regions = []
-    for i, racks in enumerate(tree(shards, weights)):
-        inner = [(f"r{i}k{j}", total([rack]), _least(key, [(f"s{s}", w, str(s)) for s, w in rack])) for j, rack in enumerate(racks)]
-        regions.append((f"r{i}", total(racks), _least(key, inner)))
-    return _least(key, regions)
 
+def _literal(children: list[tuple[str, float, int]]) -> str:
+    return "array(" + ", ".join(f"named_struct('name', '{n}', 'weight', {w!r}D, 'number', {i})" for n, w, i in children) + ")"
 
-def shard_of(key: str, shards: int, weights: dict[int, float] | None = None) -> Column:
-    return F.expr(placement(key, shards, weights)).cast("int")
 
+def placed(df: DataFrame, key: str, name: str, t: Tree, grown: str | None = None) -> DataFrame:
+    """df with the shard of each key, and with ``grown`` that of the tree with one more shard, a region of its own."""
+    regions, racks, shards = _levels(t)
+    nested = lambda levels: "array(" + ", ".join(map(_literal, levels)) + ")"
+    df = df.withColumn("_region", F.expr(_draws(_literal(regions), key)))
+    df = df.withColumn("_rack", F.expr(_draws(f"element_at({nested(racks)}, _region.i + 1)", key)))
+    df = df.withColumn(name, F.expr(_draws(f"element_at({nested(shards)}, _rack.i + 1)", key) + ".i"))
+    if grown:
+        new = 1 + max(s for r in t for rack in r for s, _ in rack)
+        more = _draws(_literal([(f"r{len(t)}", 1.0, len(t))]), key)
+        df = df.withColumn("_more", F.expr(more)).withColumn(grown, F.expr(f"if(_more.d < _region.d, {new}, {name})")).drop("_more")
+    return df.drop("_region", "_rack")
 
-def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", planned: int | None = None, weights: dict[int, float] | None = None) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 8), text_crc32, law ('key'), shard, slot (gapless from 0 in each shard), grown_shard
     (the shard if there were one more).
 
     Null texts have size 8 and the checksum of no bytes. A null id is hashed as the word null. Repeated rows go to one
-    shard and get slots of their own. Other columns are not read. An empty table gives an empty result.
+    shard and get slots of their own. Other columns are not read. An empty table gives an empty result. ``planned``: the
+    number of shards that the tree was laid out for; with it given, ids and the shard count decide, and growing by one moves
+    rows only into the new shard, again and again.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     rows = rows.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = rows.withColumn("shard", shard_of("_k", shards)).withColumn("grown_shard", shard_of("_k", shards + 1))
+    rows = placed(rows, "_k", "shard", tree(shards, weights, planned), "grown_shard")
     rows = rows.withColumn("_b", F.expr(f"cast(conv(left(md5(concat(_k, ':b')), 4), 16, 10) as int) % {BLOCKS}")).drop("_k")
     counts = rows.groupBy("shard", "_b").count()
     before = counts.withColumn("_o", F.sum("count").over(W.partitionBy("shard").orderBy("_b")) - F.col("count")).drop("count")
@@ -83,21 +100,25 @@ def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _sql(expression: str) -> str:
-    """A placement in the oracle's dialect."""
-    import re
+def _sql(children: str) -> str:
+    """The least draw among children, in the oracle's dialect."""
+    d = f"-ln((('0x' || left(md5(k || ':' || x.name), {DIGITS}))::BIGINT::DOUBLE + 0.5) / {16**DIGITS}::DOUBLE) / x.weight"
+    return f"list_min(list_transform({children}, lambda x: {{'d': {d}, 'i': x.number}}))"
+
 
-    out = re.sub(r"cast\(conv\((left\(md5\(concat\(.*?, '.*?'\)\), \d+\)), 16, 10\) as double\)", r"('0x' || \1)::BIGINT::DOUBLE", expression)
-    out = re.sub(r"named_struct\('d', (.*?D), 'i', (\d+)\)", r"{'d': \1, 'i': \2}", out)
-    out = out.replace("array_min(array(", "list_min(list_value(").replace(")).i", ")).i")
-    return re.sub(r"(?<=[\d.])D\b", "::DOUBLE", out).replace(" as string)", " as varchar)")
+def _list(children: list[tuple[str, float, int]]) -> str:
+    return "[" + ", ".join(f"{{'name': '{n}', 'weight': {w!r}::DOUBLE, 'number': {i}}}" for n, w, i in children) + "]"
 
 
+_REGIONS, _RACKS, _SHARDS = _levels(tree(24))
 SQL = f"""
 WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
 a AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS s FROM documents),
 b AS (SELECT *, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM a),
 c AS (SELECT doc_id, CAST(strlen(s) + 8 AS BIGINT) AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c & 255, x) AS BIGINT) + 1])), 4294967295) AS text_crc32,
-  CAST({_sql(placement("k", 24))} AS INTEGER) AS shard, CAST({_sql(placement("k", 25))} AS INTEGER) AS grown_shard, ('0x' || left(md5(k || ':b'), 4))::BIGINT % {BLOCKS} AS b FROM b, tab)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM c
+  k, ('0x' || left(md5(k || ':b'), 4))::BIGINT % {BLOCKS} AS b, {_sql(_list(_REGIONS))} AS region, {_sql(_list([("r3", 1.0, 3)]))} AS more FROM b, tab),
+d AS (SELECT *, {_sql("[" + ", ".join(map(_list, _RACKS)) + "][region.i + 1]")} AS rack FROM c),
+e AS (SELECT *, CAST({_sql("[" + ", ".join(map(_list, _SHARDS)) + "][rack.i + 1]")}.i AS INTEGER) AS shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  CASE WHEN more.d < region.d THEN 24 ELSE shard END AS grown_shard FROM e
 """

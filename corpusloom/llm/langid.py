@@ -4,9 +4,11 @@ Method. A text is the mean of its byte trigrams' weights (letters in lower case,
 machines first tell language families apart, one against the rest; then, within the predicted family, one machine for every
 two languages votes, and the language with the most votes (then the greatest sum of margins) wins.
 
-Training. On at most PER_LANGUAGE labelled rows of each language, drawn by a hash of doc_id over all rows; what comes to the
-driver are trigram counts of fixed length. The squared hinge is minimised on the driver. The weights (a table of DIM rows)
-are broadcast. Prediction has no shuffle, and lang, source and doc_id are not among its inputs.
+Training. On at most PER_LANGUAGE labelled rows of each language: those with the least hashes of doc_id and text, over all
+rows, so the sample does not depend on how rows are dealt out. What comes to the driver are trigram counts of fixed length.
+All labels are learned, however rare. The squared hinge is minimised on the driver, where the sample's size is labels times
+PER_LANGUAGE. The weights (a table of DIM rows) are broadcast. Prediction has no shuffle, and lang, source and doc_id are not
+among its inputs.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import _kernels as K
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 600  # bound of the training sample
-LANGUAGES = 64  # most frequent ones that are learned
 #: Families of well-known languages. Any other language is a family of its own.
 FAMILIES = {
     **dict.fromkeys(("da", "de", "en", "is", "nl", "no", "sv"), "germanic"),
@@ -39,13 +41,17 @@ _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all byte trigrams within documents, and where each document's begin and end. A text of one or two bytes is
-    filled up with spaces; runs of non-letters count as they stand."""
+    """Cells of all byte trigrams within documents, and where each document's begin and end. Two spaces follow each text;
+    runs of non-letters count as they stand."""
     x = _FOLD[data]
     if len(x) > 1:  # upper-case Latin-1 letters in UTF-8
         x[1:][(x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] < 0x9F) & (x[1:] != 0x97)] += 0x20
-    x = np.concatenate([x, np.full(2, 0x20, np.uint8)]).astype(np.uint32)
-    code = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+    ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1  # behind a text there are spaces, not the next one
+    second = np.append(x[1:], np.uint8(0x20))[: len(x)]
+    second[ends] = 0x20
+    third = np.append(second[1:], np.uint8(0x20))[: len(x)]
+    third[ends] = 0x20
+    code = x.astype(np.uint32) << 16 | second.astype(np.uint32) << 8 | third
     cell = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - DIM_BITS)).astype(np.int64)
     return cell, offsets
 
@@ -126,13 +132,17 @@ def _counts(batches):
 
 def train(docs: DataFrame, eligible, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Machines:
     """Learns from a bounded sample of the eligible rows with a label and a text."""
-    rows = docs.where(eligible).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)).alias("u")).where("t is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = docs.where(eligible).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text).cast("string")).alias("u")).where("t is not null and lang is not null")
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Machines([], np.zeros((0, DIM)), np.zeros(0, int))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1_000_000, 1_000_000 * per_language // r["count"] + 1))) for r in sizes])
-    sample = rows.where(F.col("u") < share).limit(2 * per_language * len(sizes))
-    packs = sample.select("lang", "t").mapInArrow(_counts, "lang string, counts binary").collect()
+    # about twice as many as wanted by a bound on the hash, so that few rows are sorted; then the first of these
+    bound = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (2.0 * per_language + 50) / r["count"]))])
+    share = (F.col("u").cast("double") + 2.0**63) / 2.0**64
+    first = F.row_number().over(W.partitionBy("lang").orderBy("u", "t"))
+    sample = rows.where(share <= F.element_at(bound, F.col("lang"))).withColumn("r", first).where(F.col("r") <= per_language)
+    packs = sample.select("lang", "t").mapInArrow(K.tidy(_counts), "lang string, counts binary").collect()
+    packs.sort(key=lambda r: (r.lang, r.counts))
     open_ = zstandard.ZstdDecompressor()
     languages = sorted(r["lang"] for r in sizes)
     x = np.array([np.frombuffer(open_.decompress(r.counts), "<u4") for r in packs], np.float32).reshape(-1, DIM)
@@ -158,7 +168,7 @@ def _predict(model, carried: list[str]):
                     lang[rows], score[rows] = m.predict(margins[rows])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in carried), pa.array(names[lang], pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
 
-    return run
+    return K.tidy(run)
 
 
 def held_out(key: str = "doc_id"):

@@ -202,7 +202,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(MATCH))], ["doc_id", "matches"])
 
     schema = "doc_id long, matches array<struct<license: string, coverage: double, start: long, end: long>>"
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(K.tidy(run), schema)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def quality_bands(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rows and null keys are kept as they are; other columns are not read. An empty table gives an empty result.
     """
     schema = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(_measure, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(K.tidy(_measure), schema)
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

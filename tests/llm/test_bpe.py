@@ -11,12 +11,12 @@ def both():
     tokenizer = Tokenizer.from_file(B.tokenizer_path())
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, B.Model(B.tokenizer_path())
+    return tokenizer, B.model_of(B.tokenizer_path())
 
 
 def check(both, texts):
     tokenizer, model = both
-    ids, at = B._Coder(model).encode(texts)
+    ids, at = B._Coder(model).encode(texts, [any(c >= model.tables.first_byte for c in (x or "").encode()) for x in texts])
     for i, text in enumerate(texts):
         want = tokenizer.encode(text or "", add_special_tokens=False)
         got = ids[at[i] : at[i + 1]].tolist()
@@ -53,3 +53,15 @@ def test_frames(spark):
     out = B.digests(B.bpe_encode(docs, B.tokenizer_path())).orderBy("n_tokens").collect()
     assert [r.n_tokens for r in out] == [0, 2, 2]
     assert B.bpe_encode(docs.where(F.lit(False)), B.tokenizer_path()).count() == 0
+
+
+def test_every_code_point(both):
+    """Letters, numbers, spaces and lower case are the library's, whatever this Python's Unicode version."""
+    tokenizer, model = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    coder = B._Coder(model)
+    for i in range(0, len(points), 64_000):
+        texts = [" ".join(f"a{chr(c)}1 !{chr(c)}" for c in points[j : j + 64]) for j in range(i, min(i + 64_000, len(points)), 64)]
+        ids, at = coder.encode(texts, [any(x >= model.tables.first_byte for x in t.encode()) for t in texts])
+        for k, want in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert want.ids == ids[at[k] : at[k + 1]].tolist(), hex(points[i + 64 * k])

@@ -79,6 +79,40 @@ def test_languages(spark):
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_any_number_of_labels(spark):
+    """Seventy invented languages of one family each, and rare ones as well as frequent ones, are all learned."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sets = [rng.sample(letters, 4) for _ in range(70)]
+    rows = [(len(sets) * j + i, " ".join("".join(rng.choices(sets[i], k=5)) for _ in range(40)), f"x{i}") for j in range(5) for i in range(70)]
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(set(got.values())) >= 68
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.9 * len(rows)
+
+
+def test_prediction_against_brute_force(spark):
+    """The machines applied to one text at a time, in plain Python."""
+    import numpy as np
+
+    docs = spark.createDataFrame(made(30), "doc_id long, text string, lang string")
+    m = langid.train(docs, ~langid.held_out())
+    for r in langid.language_id(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        raw = r.text.lower().encode()
+        raw = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in raw) + b"  "
+        cells = [((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.DIM_BITS) for a, b, c in zip(raw, raw[1:], raw[2:])]
+        margin = m.weights[cells].astype(float).mean(0) + m.bias
+        f = int(np.argmax(margin[: len(m.families)]))
+        votes = {x: [0.0, 9.0] for x in m.members[f]}
+        for j, (g, a, b) in enumerate(m.pairs):
+            if g == f:
+                v = margin[len(m.families) + j]
+                votes[a] = [votes[a][0] + (v > 0) + 1e-3 * math.tanh(v), min(votes[a][1], v)]
+                votes[b] = [votes[b][0] + (v <= 0) - 1e-3 * math.tanh(v), min(votes[b][1], -v)]
+        best = max(sorted(votes), key=lambda x: votes[x][0])
+        assert r.lang_pred == m.languages[best]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-3 * min(margin[f], votes[best][1]))), abs=1e-4)
+
+
 def test_labels_do_not_leak(spark):
     """Labels of held-out rows change nothing."""
     docs = spark.createDataFrame(made(20), "doc_id long, text string, lang string")

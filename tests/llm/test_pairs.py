@@ -150,7 +150,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, tmp_path):
     rng = random.Random(1)
     vocab = ["ab", "cd", "é", "f1", "gh"]
     prose = lambda n, v=vocab: " ".join(rng.choices(v, k=n))
@@ -166,6 +166,13 @@ def test_decontamination(spark):
         found = fm_decontam.fm_decontaminate(docs, bench, block_bytes=limit)
         got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in found.collect()}
         assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    stored = fm_decontam.index_shards(docs, str(tmp_path / "index"))  # made without the benchmark, searched for two
+    for wanted in (items, items[:2]):
+        some = spark.createDataFrame(wanted, "item_id long, text string")
+        got_ = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in fm_decontam.search_shards(stored, some).collect()}
+        assert got_ == {i: brute_hits(t, wanted) for i, t in enumerate(texts)}
+    odd = docs.withColumn("row", F.lit("mine")).withColumn("a.b", F.lit(1))
+    assert fm_decontam.fm_decontaminate(odd, bench, carry=("doc_id", "row", "a.b", "items")).columns == ["doc_id", "row", "a.b", *fm_decontam.NEW]
     clean = fm_decontam.without_spans(found)
     assert {r.doc_id: r.text for r in clean.where("n_hit = 0").collect()} == {i: t for i, t in enumerate(texts) if got[i][1] == 0}
     assert clean.where("doc_id = 3").first().text == ""
@@ -180,7 +187,7 @@ def test_fm_index_counts():
 
     rng = np.random.default_rng(2)
     text = np.concatenate([rng.integers(1, 4, 300), [0], rng.integers(1, 4, 5), [0], np.ones(80, int), [0]])
-    index = fm_decontam.FMIndex(text, 4)
+    index = fm_decontam.FMIndex.of(text, 4)
     for k in (1, 2, 3, 7):
         pats = rng.integers(1, 4, (40, k))
         low, high = index.search(pats, np.full(40, k))

@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter
 
+import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from corpusloom.llm import hash_tree, quality_bands
 
@@ -76,11 +78,36 @@ def test_draws_match_python(spark):
 
 
 def test_weights_move_only_their_subtree(spark):
-    docs = spark.range(3000)
-    out = docs.select(hash_tree.shard_of("id", 24).alias("a"), hash_tree.shard_of("id", 24, {5: 3.0}).alias("b")).where("a <> b").collect()
+    docs = spark.range(3000).withColumn("id", F.col("id").cast("string"))
+    out = hash_tree.placed(hash_tree.placed(docs, "id", "a", hash_tree.tree(24)), "id", "b", hash_tree.tree(24, {5: 3.0})).where("a <> b").collect()
     assert out and all(r.b // 8 == 0 for r in out)
 
 
+@pytest.mark.parametrize("planned", [1, 10, 24])
+def test_growth_takes_rows_only_into_the_new_shard(spark, planned):
+    """From any number of shards on, again and again, with ids and the shard count alone deciding."""
+    docs = spark.range(1500).withColumn("id", F.col("id").cast("string"))
+    for n in range(planned, planned + 5):
+        docs = hash_tree.placed(docs, "id", f"s{n}", hash_tree.tree(n, planned=planned), f"g{n}")
+    rows = docs.collect()
+    for n in range(planned, planned + 5):
+        moved = [r for r in rows if r[f"g{n}"] != r[f"s{n}"]]
+        assert moved and all(r[f"g{n}"] == n for r in moved)
+        assert len(moved) == pytest.approx(1500 / (n + 1), rel=0.5)
+        if n + 1 < planned + 5:
+            assert all(r[f"g{n}"] == r[f"s{n + 1}"] for r in rows)
+
+
+def test_tree_against_sql(spark, tmp_path):
+    import duckdb
+
+    frame(spark).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = sorted(map(str, map(tuple, hash_tree.hash_tree_shards(frame(spark)).collect())))
+    assert got == sorted(map(str, con.execute(hash_tree.SQL).fetchall()))
+
+
 def test_incompressible_text_is_rejected():
     import random
     import string
