@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _kernels as K
 
@@ -308,7 +309,7 @@ def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, bloc
     blocks = benchmark_blocks(benchmark, size, block_bytes)
     names = [c for c in carry if c not in NEW]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_search(blocks), f"row {rows.schema['row'].dataType.simpleString()}, {FOUND}")
+    found = rows.mapInArrow(_search(blocks), StructType([rows.schema["row"], *StructType.fromDDL(FOUND).fields]))
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *NEW)
 
 
