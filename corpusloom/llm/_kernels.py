@@ -32,7 +32,7 @@ _MULT = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * U64(2) + U64(1)
 _BASE, _powers = 0x9E3779B97F4A7C15 | 1, {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system. A worker lives on after its task, and would hold the most that it ever used."""
     pa.default_memory_pool().release_unused()
     try:
@@ -49,7 +49,7 @@ def tidy(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             _powers.clear()
-            _give_back()
+            give_back()
 
     return tidied
 

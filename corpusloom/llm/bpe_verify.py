@@ -18,7 +18,7 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -60,36 +60,32 @@ class Tables:
         from tokenizers import Regex, normalizers, pre_tokenizers
 
         split = pre_tokenizers.Split(Regex(words), "removed", invert=True)
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        # three classes by this Python; runs of one class are asked about at once, and one by one where the answer differs
-        letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-        space = regex.compile(f"[{_SPACE}]")
-        mine = {c: "L" if letter.match(x) else "N" if number.match(x) else "S" if space.match(x) else "O" for c in points for x in (chr(c),)}
-        runs: list[list[int]] = []
-        for c in points:
-            if mine[c] in "NS" or not runs or mine[runs[-1][-1]] != mine[c] or len(runs[-1]) >= 256 or runs[-1][-1] != c - 1:
-                runs.append([c])
-            else:
-                runs[-1].append(c)
-        theirs = dict(mine)
-        for run in runs:
-            text = "".join(map(chr, run))
-            kind = mine[run[0]]
-            if kind in "LO" and [x for x, _ in split.pre_tokenize_str(text)] == [text] and (kind == "O") == (len(split.pre_tokenize_str("!" + text)) == 1):
+        pieces = lambda text: [x for x, _ in split.pre_tokenize_str(text)]
+        change: dict[str, set[int]] = {k: set() for k in "LNSO"}
+        to: dict[str, set[int]] = {k: set() for k in "LNSO"}
+        self.lower: dict[int, str] = {}
+        patterns = [("L", regex.compile(r"\p{L}")), ("N", regex.compile(r"\p{N}")), ("S", regex.compile(f"[{_SPACE}]"))]
+        for begin in range(0, 0x110000, 4096):  # a few thousand at a time
+            points = [c for c in range(begin, begin + 4096) if not 0xD800 <= c < 0xE000]
+            if not points:
                 continue
-            for c in run:
-                if not split.pre_tokenize_str(chr(c)):
-                    theirs[c] = "S"
-                elif len(split.pre_tokenize_str("a" + chr(c))) == 1:
-                    theirs[c] = "L"
-                else:
-                    theirs[c] = "O" if len(split.pre_tokenize_str("!" + chr(c))) == 1 else "N"
-        change = {k: {c for c in points if theirs[c] != mine[c] and mine[c] == k} for k in "LNSO"}
-        to = {k: {c for c in points if theirs[c] != mine[c] and theirs[c] == k} for k in "LNSO"}
-        low = normalizers.Lowercase().normalize_str("\x01".join(map(chr, points))).split("\x01")
-        del low[1]  # U+0001 itself gave two empty ones
-        self.lower = {c: x for c, x in zip(points, low) if c != 1 and x != chr(c).lower() and chr(c) != "Σ"}
-        doubtful = {*self.lower, *(c for c in points if theirs[c] != mine[c])}
+            mine = [next((k for k, p in patterns if p.match(chr(c))), "O") for c in points]
+            # runs of one class are asked about at once, and one by one where the answer differs
+            for kind, run in groupby(zip(mine, points), key=lambda x: x[0]):
+                run = [c for _, c in run]
+                text = "".join(map(chr, run))
+                if kind in "LO" and pieces(text) == [text] and (kind == "O") == (len(pieces("!" + text)) == 1):
+                    continue
+                for c in run:
+                    x = chr(c)
+                    found = "S" if not pieces(x) else "L" if len(pieces("a" + x)) == 1 else "O" if len(pieces("!" + x)) == 1 else "N"
+                    if found != kind:
+                        change[kind].add(c)
+                        to[found].add(c)
+            rest = [c for c in points if c != 1]
+            low = normalizers.Lowercase().normalize_str("\x01".join(map(chr, rest))).split("\x01")
+            self.lower |= {c: x for c, x in zip(rest, low, strict=True) if x != chr(c).lower() and chr(c) != "Σ"}
+        doubtful = {*self.lower, *chain.from_iterable(to.values())}
         self.first_byte = chr(min(doubtful)).encode()[0] if doubtful else 256
         for k, base in (("L", r"\p{L}"), ("N", r"\p{N}")):
             less, more = _ranges(change[k]), _ranges(to[k])

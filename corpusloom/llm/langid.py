@@ -68,19 +68,20 @@ class Machines:
     """Weights of all machines: columns of families first, then of pairs of languages within families."""
 
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-3):
+        """x: shares of trigrams, a row for each example (scaled in place); y: the example's language."""
         self.languages = languages
         self.families = sorted({FAMILIES.get(v, v) for v in languages})
         family = np.array([self.families.index(FAMILIES.get(v, v)) for v in languages])
         self.members = [[i for i in range(len(languages)) if family[i] == f] for f in range(len(self.families))]
         self.pairs = [(f, a, b) for f, m in enumerate(self.members) for i, a in enumerate(m) for b in m[i + 1 :]]
         scale = 1 / np.sqrt(x.mean(0) + 1e-5) if len(x) else np.ones(DIM)
-        z = (x * scale).astype(np.float32)
+        z = np.multiply(x, scale, out=x, casting="same_kind") if len(x) else x
         columns = [(np.where(family[y] == f, 1.0, -1.0), np.ones(len(y), bool)) for f in range(len(self.families))]
         columns += [(np.where(y == a, 1.0, -1.0), (y == a) | (y == b)) for _, a, b in self.pairs]
         self.bias, weights = np.zeros(len(columns)), np.zeros((DIM, len(columns)))
         for j, (t, use) in enumerate(columns):
             if len(set(t[use])) == 2:
-                weights[:, j], self.bias[j] = _train(z[use], t[use].astype(np.float32), rounds, penalty)
+                weights[:, j], self.bias[j] = _train(z if use.all() else z[use], t[use].astype(np.float32), rounds, penalty)
         self.weights = (weights * scale[:, None]).astype(np.float32)
 
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +106,20 @@ class Machines:
 
 
 def _train(x: np.ndarray, t: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Squared hinge and a quadratic penalty, by accelerated gradient steps; both sides weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Squared hinge and a quadratic penalty, by accelerated gradient steps; both sides weigh the same. The last number of a
+    vector is for the bias."""
     c = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum()).astype(np.float32)
-    v = np.random.default_rng(0).standard_normal(x.shape[1]).astype(np.float32)
+    forth = lambda v: x @ v[:-1] + v[-1]
+    back = lambda r: np.append(x.T @ r, r.sum())
+    v = np.random.default_rng(0).standard_normal(x.shape[1] + 1).astype(np.float32)
     for _ in range(20):  # greatest curvature, by power iteration
-        v = x.T @ (c * (x @ v))
+        v = back(c * forth(v))
         v /= np.linalg.norm(v)
-    step = 1 / (2.2 * np.linalg.norm(x.T @ (c * (x @ v))) + penalty)
-    w = u = np.zeros(x.shape[1], np.float32)
+    step = 1 / (2.2 * np.linalg.norm(back(c * forth(v))) + penalty)
+    w = u = np.zeros(x.shape[1] + 1, np.float32)
     for i in range(rounds):
-        slack = np.maximum(0, 1 - t * (x @ u))
-        new = u - step * (penalty * u - 2 * (x.T @ (c * t * slack)))
+        slack = np.maximum(0, 1 - t * forth(u))
+        new = u - step * (penalty * u - 2 * back(c * t * slack))
         u, w = new + i / (i + 3) * (new - w), new
     return w[:-1], float(w[-1])
 
@@ -145,8 +148,10 @@ def train(docs: DataFrame, eligible, text: str = "text", lang: str = "lang", key
     packs.sort(key=lambda r: (r.lang, r.counts))
     open_ = zstandard.ZstdDecompressor()
     languages = sorted(r["lang"] for r in sizes)
-    x = np.array([np.frombuffer(open_.decompress(r.counts), "<u4") for r in packs], np.float32).reshape(-1, DIM)
-    x /= np.maximum(1, x.sum(1, keepdims=True))
+    x = np.empty((len(packs), DIM), np.float32)
+    for i, r in enumerate(packs):
+        x[i] = np.frombuffer(open_.decompress(r.counts), "<u4")
+        x[i] /= max(1, x[i].sum())
     return Machines(languages, x, np.array([languages.index(r.lang) for r in packs], int))
 
 
@@ -184,6 +189,7 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: st
     are not read. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out(key) & F.col(key).isNotNull(), text, lang, key, per_language))
+    K.give_back()  # the sample's
     first = list(carry) or ["doc_id", "held_out"]
     rows = docs.select(*([F.col(c) for c in carry] or [F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out")]), F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_t").dtypes)
