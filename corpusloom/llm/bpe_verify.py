@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 LONG_WORD = 300  # bytes
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 END = "</w>"
@@ -307,7 +307,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
         coder = _Coder(model.value)
         strings = pa.array(model.value.strings)
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1), 1 << 20):
+            for a, b, data, offsets in K.slices(batch.column(1)):
                 late = np.concatenate([[0], np.cumsum(data >= coder.model.tables.first_byte)])
                 ids, at = coder.encode(batch.column(1).slice(a, b - a).to_pylist(), (late[offsets[1:]] > late[offsets[:-1]]).tolist())
                 at, ids = pa.array(at, pa.int32()), pa.array(ids, pa.int32())

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from . import _kernels as K
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8  # every so many-th position of the text is kept
 
