@@ -26,9 +26,11 @@ def binary_reward(layers: tuple[str, ...] = LAYERS) -> Column:
     return F.when((F.size(applied) > 0) & ~F.exists(applied, lambda x: ~x), 1.0).otherwise(0.0)
 
 
-def dominant_reward(binary: Column, first: Column) -> Column:
-    """Which of four channels explains a reward best."""
-    return F.when(binary == 1, "execution_correct").when(first == "parse_success", "parse").when(first.isin("schema_valid", "tool_name_correct", "argument_value_correct", "call_plan_matches"), "plan").otherwise("outcome")
+def dominant_reward(parse_success: Column, first: Column) -> Column:
+    """Which of four channels a reward comes from. A transcript whose parse layer is not true, also where it is null, is the
+    parser's; then the first failure decides: none, that of the answer, or any other."""
+    parsed = F.coalesce(parse_success, F.lit(False))
+    return F.when(~parsed, "parse_success").when(first == "final_answer_correct", "final_answer_correct").when(first.isNull(), "execution_correct").otherwise("argument_correct")
 
 
 def graded(df: DataFrame, layers: tuple[str, ...] = LAYERS) -> DataFrame:

@@ -10,11 +10,11 @@ from ..functions.numeric import seeded
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
-    """df with split: of each stratum, in seeded order, 15 percent test, 15 percent dev (rounded half up), the rest train."""
+    """df with split: of each stratum, in seeded order, 15 percent test, 15 percent dev (rounded half to even), the rest train."""
     w = W.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), key)
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     ranked = df.withColumn("_r", F.row_number().over(w)).join(sizes, stratum)
-    share = F.floor((F.col("_n") * 15 + 50) / 100)
+    share = F.expr("_n * 15 div 100 + if(_n * 15 % 100 > 50 or (_n * 15 % 100 = 50 and _n * 15 div 100 % 2 = 1), 1, 0)")
     return ranked.withColumn("split", F.when(F.col("_r") <= share, "test").when(F.col("_r") <= 2 * share, "dev").otherwise("train")).drop("_r", "_n")
 
 

@@ -208,7 +208,7 @@ def grade_transcript(sample: dict, transcript: dict) -> dict[str, bool | None]:
     """The eight layers of one transcript: true, false, or None where a layer does not apply."""
     wanted, calls = sample.get("expected_tool_calls") or [], transcript.get("tool_calls", _MISSING)
     answer, target = transcript.get("final_answer"), sample.get("expected_answer")
-    last = None if target is None else target in (answer if isinstance(answer, str) else "")
+    last = None if target is None else str(target) in (answer if isinstance(answer, str) else "")
     out: dict[str, bool | None] = dict.fromkeys(("parse_success", "schema_valid", "tool_name_correct", "argument_value_correct", "call_plan_matches", "execution_success", "result_grounded"))
     out["final_answer_correct"] = last
     out["parse_success"] = isinstance(calls, list) and all(isinstance(c, dict) for c in calls)
@@ -227,8 +227,10 @@ def grade_transcript(sample: dict, transcript: dict) -> dict[str, bool | None]:
             valid = False if valid else None
             break
     out["schema_valid"] = valid
-    text = lambda c: (str(c.get("name")), json.dumps(c.get("arguments"), sort_keys=True))
-    out["tool_name_correct"] = sorted(str(c.get("name")) for c in calls) == sorted(str(c.get("name")) for c in wanted)
+    # the kind in front keeps what is no name apart from a name that reads the same
+    name = lambda c: (type(c.get("name")).__name__, str(c.get("name")))
+    text = lambda c: (name(c), json.dumps(c.get("arguments"), sort_keys=True))
+    out["tool_name_correct"] = sorted(map(name, calls)) == sorted(map(name, wanted))
     out["argument_value_correct"] = sorted(map(text, calls)) == sorted(map(text, wanted))
     out["call_plan_matches"] = _plan_fits(wanted, calls)
     out["execution_success"] = (None if wanted else True) if not calls else all(c.get("execution_outcome") == "success" for c in calls)
@@ -252,13 +254,39 @@ def _plan_fits(wanted: list[dict], calls: list[dict]) -> bool:
     return True
 
 
+def _object(text: str | None) -> dict:
+    """A JSON object; an empty one for null, broken JSON or another kind of value."""
+    try:
+        value = json.loads(text) if text else {}
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
+def rollout_rewards(samples: DataFrame, rollouts: DataFrame, key: str = "sample_id", index: str = "rollout_index") -> DataFrame:
+    """key, rollout index, the eight layers, first failure and both rewards of every rollout of a sample.
+
+    rollouts: key, index, transcript (JSON). A rollout of no sample has no row.
+    """
+    from .grade import graded
+
+    tagged = rollouts.select(F.struct(key, index).alias("_id"), key, "transcript")
+    wanted = samples.join(tagged.select("_id", key), key).select("_id", "sample")
+    return graded(grade_frames(wanted, tagged.select("_id", "transcript"), "_id")).select("_id.*", "*").drop("_id")
+
+
+def as_transcript(row: DataFrame, calls: str = "extracted_calls", answer: str = "generated") -> DataFrame:
+    """Rows of an evaluation with the names that grading reads: tool_calls and final_answer. A null stays null."""
+    return row.withColumnsRenamed({calls: "tool_calls", answer: "final_answer"})
+
+
 def grade_frames(samples: DataFrame, transcripts: DataFrame, key: str = "sample_id") -> DataFrame:
     """key and eight nullable layers. samples: key, sample (JSON); transcripts: key, transcript (JSON)."""
     from .grade import LAYERS
 
     @F.pandas_udf("struct<" + ", ".join(f"{x}: boolean" for x in LAYERS) + ">")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [grade_transcript(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)]
+        rows = [grade_transcript(_object(x), _object(y)) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame(rows, columns=list(LAYERS)).astype("object")
 
     both = samples.join(transcripts, key)

@@ -79,7 +79,7 @@ def hash_split_counts(spark, sf_dir):
     return docs.groupBy("split").agg(F.count("*").alias("n"))
 
 
-_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format('doc_id')}, doc_id) AS r, (count(*) OVER (PARTITION BY lang) * 15 + 50) // 100 AS s FROM documents)"
+_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format('doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) * 15 // 100 + CASE WHEN count(*) OVER (PARTITION BY lang) * 15 % 100 > 50 OR (count(*) OVER (PARTITION BY lang) * 15 % 100 = 50 AND count(*) OVER (PARTITION BY lang) * 15 // 100 % 2 = 1) THEN 1 ELSE 0 END AS s FROM documents)"
 _STRATIFIED = f"SELECT doc_id, lang, text, CASE WHEN r <= s THEN 'test' WHEN r <= 2 * s THEN 'dev' ELSE 'train' END AS split FROM {_RANKED}"
 
 

@@ -184,9 +184,9 @@ def parse_success_rate(spark, sf_dir):
     return grade.parse_rate(_grades(spark, sf_dir), "event_type").select("event_type", F.round("parse_rate", 6).alias("parse_rate"))
 
 
-@query(f"SELECT event_id, CASE WHEN reward_binary = 1 THEN 'execution_correct' WHEN first_failure = 'parse_success' THEN 'parse' WHEN first_failure IN ('schema_valid', 'tool_name_correct', 'argument_value_correct', 'call_plan_matches') THEN 'plan' ELSE 'outcome' END AS channel FROM ({_GRADED})")
+@query(f"SELECT event_id, CASE WHEN parse_success IS DISTINCT FROM true THEN 'parse_success' WHEN first_failure = 'final_answer_correct' THEN 'final_answer_correct' WHEN first_failure IS NULL THEN 'execution_correct' ELSE 'argument_correct' END AS channel FROM ({_GRADED})")
 def dominant_reward(spark, sf_dir):
-    return _grades(spark, sf_dir).select("event_id", grade.dominant_reward(F.col("reward_binary"), F.col("first_failure")).alias("channel"))
+    return _grades(spark, sf_dir).select("event_id", grade.dominant_reward(F.col("parse_success"), F.col("first_failure")).alias("channel"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -306,3 +306,31 @@ def test_contracts(spark):
     made = samples.generate(spark, 60)
     assert C.guarded(made)[1].count() == 0
     assert rows(C.set_violations(made.select(F.col("sample_id").alias("id"), "task_type", F.lit("synthetic").alias("source")), ["no_tool", "other"])) == [("other", "coverage")]
+
+
+def test_reward_channels(spark):
+    from corpusloom.operators import grade
+
+    rows = [(True, None), (True, "final_answer_correct"), (True, "result_grounded"), (True, "schema_valid"), (False, "parse_success"), (None, None), (False, None)]
+    out = spark.createDataFrame(rows, "parse_success boolean, first string").select(grade.dominant_reward(F.col("parse_success"), F.col("first")).alias("c")).collect()
+    assert [r.c for r in out] == ["execution_correct", "final_answer_correct", "argument_correct", "argument_correct", "parse_success", "parse_success", "parse_success"]
+
+
+def test_grades_of_odd_input(spark):
+    from corpusloom.operators import tools
+
+    call = lambda name: {"name": name, "arguments": {}}
+    graded = lambda wanted, got: tools.grade_transcript({"expected_tool_calls": [call(wanted)]}, {"tool_calls": [call(got)]})["tool_name_correct"]
+    assert graded("a", "a") and not graded("None", None) and not graded("5", 5)
+    assert tools.grade_transcript({"expected_answer": 5}, {"tool_calls": [], "final_answer": "it is 5"})["final_answer_correct"] is True
+    samples = spark.createDataFrame([("s", '{"expected_answer": "x"}'), ("t", None)], "sample_id string, sample string")
+    rollouts = spark.createDataFrame([("s", 0, '{"tool_calls": [], "final_answer": "x"}'), ("s", 1, "{broken"), ("t", 0, None), ("u", 0, "{}")], "sample_id string, rollout_index int, transcript string")
+    got = {(r.sample_id, r.rollout_index): (r.first_failure, r.reward_binary) for r in tools.rollout_rewards(samples, rollouts).collect()}
+    assert got == {("s", 0): (None, 1.0), ("s", 1): ("parse_success", 0.0), ("t", 0): ("parse_success", 0.0)}
+
+
+def test_split_sizes_round_half_to_even(spark):
+    from corpusloom.operators import splits
+
+    out = splits.stratified_split(spark.range(30).withColumn("c", F.lit("x")), "id", "c", 1).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in out} == {"test": 4, "dev": 4, "train": 22}
