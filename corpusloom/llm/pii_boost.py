@@ -36,7 +36,7 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
     "number": r"(?<![0-9A-Za-z.,/-])\(?[0-9]{2,4}+(?:\)?[ ./-][0-9]{2,7}+){1,4}+",
-    "handle": rf"(?<!{_LOCAL})[A-Za-z0-9._%+-]{{1,64}}+ ?[(\[]?(?<![A-Za-z])at(?![A-Za-z])[)\]]? ?[A-Za-z0-9-]{{1,64}}+ ?[(\[]?(?<![A-Za-z])dot(?![A-Za-z])[)\]]? ?[A-Za-z]{{2,24}}",
+    "handle": rf"(?<!{_LOCAL})[A-Za-z0-9._%+-]++ ?[(\[]?(?<![A-Za-z])at(?![A-Za-z])[)\]]? ?[A-Za-z0-9-]++ ?[(\[]?(?<![A-Za-z])dot(?![A-Za-z])[)\]]? ?[A-Za-z]{{2,}}+",
 }
 #: Cheap conditions without which there is no match.
 _MAY = {

@@ -69,3 +69,10 @@ def test_long_keys_are_found_whole(spark):
     rows = P.find_personal_data(docs)
     assert [[(s.kind, s.start, s.end) for s in r.spans] for r in rows.orderBy("doc_id").collect()] == [[("secret", 13, 13 + len(k))] for k in (key, late)]
     assert {r.text for r in P.redact(rows).collect()} == {'say token = "[secret]" and'}
+
+
+def test_written_addresses_of_any_length(spark):
+    text = "n" * 300 + " (at) " + "d" * 200 + " (dot) " + "c" * 40
+    df = spark.createDataFrame([("mail " + text + " now",)], "_t string")
+    found = P._located(df, ["handle"]).first()["_s_handle"]
+    assert [(m.start, m.match) for m in found] == [(5, text)]
