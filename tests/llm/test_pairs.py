@@ -57,9 +57,9 @@ def near_texts(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("bits, heavy", [(24, 256), (14, 256), (24, 3)])
+@pytest.mark.parametrize("bits, heavy", [(24, 256), (14, 256), (24, 30)])
 def test_join_is_complete(spark, bits, heavy):
-    """With 2 ** 14 cells nearly all tokens count as frequent, so pairs of tokens are what finds the links. With ``heavy`` 3
+    """With 2 ** 14 cells nearly all tokens count as frequent, so pairs of tokens are what finds the links. With ``heavy`` 30
     tokens are found to be frequent by key, round after round."""
     texts = near_texts()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
