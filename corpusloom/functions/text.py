@@ -64,3 +64,10 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 def contained(answer: Column, expected: Column) -> Column:
     """Is the expected answer in the answer? No expectation: null; an empty one: true; no answer counts as empty."""
     return F.contains(F.coalesce(answer, F.lit("")), expected)
+
+
+def id_parts(name: Column) -> tuple[Column, Column]:
+    """What is in front of and behind the last hyphen; the whole name and null where there is none."""
+    at = F.length(F.substring_index(name, "-", -1))
+    has = F.contains(name, F.lit("-"))
+    return F.when(has, F.left(name, F.length(name) - at - 1)).otherwise(name), F.when(has, F.right(name, at))

@@ -93,6 +93,22 @@ def drift(claims: DataFrame, value: Column, text: Column, digits: int = 4) -> Da
     return claims.withColumn("shown", shown).withColumn("ok", F.array_contains(F.regexp_extract_all(text, F.lit(r"-?[0-9]+\.[0-9]+"), F.lit(0)), F.col("shown")))
 
 
+def line_drifts(claims: DataFrame, docs: DataFrame, doc: str = "doc", digits: int = 4) -> DataFrame:
+    """artifact, doc, line_no (from 1), fault of lines that give an artifact's value and contradict it: another step right
+    behind it (``@ N``), or a cell of 0.0 although the artifact's change is not 0.
+
+    claims: artifact, doc, value, step, change, one row for each artifact and document. Lines that have the value more than
+    once are summaries of several runs and are passed over, as are documents that are not there.
+    """
+    lines = docs.select(doc, F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
+    both = claims.withColumn("_v", F.format_string(f"%.{digits}f", "value")).join(lines, doc)
+    times = (F.char_length("line") - F.char_length(F.replace("line", F.col("_v")))) / F.char_length("_v")
+    stated = F.regexp_extract(F.expr("substring_index(line, _v, -1)"), r"^\s*@\s*([0-9]+)", 1)
+    step = F.when((stated != "") & (stated.cast("long") != F.col("step")), "step")
+    change = F.when((F.col("change") != 0) & F.col("line").rlike(r"\|\s*0\.0\s*\|"), "change")
+    return both.where(times == 1).select("artifact", doc, (F.col("line_no") + 1).cast("long").alias("line_no"), F.explode(F.array_compact(F.array(step, change))).alias("fault"))
+
+
 def plain_path(path: Column) -> Column:
     """Without quotes, line-end marks and backslashes."""
     return F.regexp_replace(F.regexp_replace(F.trim(path), r"^[\"']|[\"']$|\\r$", ""), r"\\", "/")

@@ -73,3 +73,41 @@ def loss_totals(losses: DataFrame, keys: list[str], loss: str, encoded_bytes: Co
     fine = ~F.isnan(loss) & (F.abs(loss) != float("inf"))
     sums = losses.groupBy(*keys).agg(F.count(F.when(fine, 1)).alias("n_tokens"), F.sum(F.when(fine, F.col(loss))).alias("total"), F.count(F.when(~fine, 1)).alias("n_bad"))
     return sums.withColumns({"mean_loss": F.try_divide("total", F.col("n_tokens").cast("double")), "perplexity": F.exp(F.try_divide("total", F.col("n_tokens").cast("double"))), "nats_per_byte": F.try_divide(F.col("total"), encoded_bytes.cast("double"))})
+
+
+def first_batches(losses: DataFrame, keys: list[str], batch: str, loss: str, n: int) -> DataFrame:
+    """keys, n_batches, mean loss of the batches numbered 0 to n - 1; an error if there is none at all."""
+    first = losses.where(F.col(batch) < n)
+    if first.isEmpty():
+        raise ValueError("no batch to take a mean of")
+    return first.groupBy(*keys).agg(F.count("*").alias("n_batches"), F.avg(loss).alias("mean_loss"))
+
+
+def histogram_shares(counts: DataFrame, totals: DataFrame, keys: list[str], name: str, n: str, total: str) -> DataFrame:
+    """keys, name, n summed over files, and its share of all files' totals, as those without a count of that name are in it."""
+    sums = counts.groupBy(*keys, name).agg(F.sum(n).alias("n"))
+    whole = totals.groupBy(*keys).agg(F.sum(total).alias("_t"))
+    both = sums.join(whole, keys) if keys else sums.crossJoin(F.broadcast(whole))  # one row
+    return both.withColumn("share", F.try_divide(F.col("n").cast("double"), F.col("_t").cast("double"))).drop("_t")
+
+
+def named_like(rows: DataFrame, name: str, parts: list[str] | None) -> DataFrame:
+    """The rows whose name holds any of the parts; all rows if none is given."""
+    if not parts:
+        return rows
+    return rows.where(F.exists(F.array(*map(F.lit, parts)), lambda x: F.contains(F.col(name), x)))
+
+
+def resolved_names(models: DataFrame, short: str, full: str, names: list[str] | None) -> DataFrame:
+    """The models asked for by their short or, failing that, full name, numbered as asked (pos); all, unnumbered, if none is
+    asked for. An unknown name is an error."""
+    if not names:
+        return models.withColumn("pos", F.lit(None).cast("long"))
+    asked = models.sparkSession.createDataFrame(list(enumerate(names)), "pos long, _asked string")
+    by_short = asked.join(models, F.col("_asked") == F.col(short))
+    rest = asked.join(models.select(F.col(short).alias("_asked")), "_asked", "left_anti")
+    by_full = rest.select("pos", "_asked").join(models, F.col("_asked") == F.col(full))
+    unknown = rest.join(models.select(F.col(full).alias("_asked")), "_asked", "left_anti").collect()  # of the names given
+    if unknown:
+        raise ValueError(f"unknown names: {sorted(r['_asked'] for r in unknown)}")
+    return by_short.unionByName(by_full).select(*models.columns, "pos")

@@ -114,3 +114,12 @@ def guarded(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def finite(values: Column) -> Column:
     return ~F.isnan(values) & (F.abs(values) != float("inf"))
+
+
+def result_differences(expected: DataFrame, ran: DataFrame, sample: str = "sample_id", pos: str = "pos") -> DataFrame:
+    """sample, pos, fault of every call that did not succeed when run again (outcome) or gave another result than the one
+    expected (result). Calls meet by their place; one without a partner, or without an expected result, has none."""
+    both = expected.select(sample, pos, "expected_result").join(ran.select(sample, pos, "outcome", "result"), [sample, pos])
+    other = F.col("expected_result").isNotNull() & ~F.col("expected_result").eqNullSafe(F.col("result"))
+    fault = F.when(~F.col("outcome").eqNullSafe(F.lit("success")), "outcome").when(other, "result")
+    return both.select(sample, pos, fault.alias("fault")).where("fault is not null")

@@ -13,6 +13,14 @@ def last_user_turn(turns: DataFrame) -> DataFrame:
     return said.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
+def last_answer(turns: DataFrame, has_calls: Column | None = None) -> DataFrame:
+    """conv_id, turn, text of the last assistant turn that has no calls and a text that is not empty. A conversation without
+    one has no row."""
+    said = turns.where((F.col("role") == "assistant") & (F.col("text") != "") & ~F.coalesce(has_calls if has_calls is not None else F.lit(False), F.lit(False)))
+    last = said.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("_x"))
+    return last.select("conv_id", "_x.turn", "_x.text")
+
+
 def without_last_answers(turns: DataFrame, has_calls: Column | None = None) -> DataFrame:
     """Drops all assistant turns without calls at the end of each conversation."""
     plain = (F.col("role") == "assistant") & ~F.coalesce(has_calls if has_calls is not None else F.lit(False), F.lit(False))

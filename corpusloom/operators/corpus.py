@@ -21,12 +21,13 @@ def word_table(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """Adjacent pairs of characters: each distinct pair of a word once, weighted by the word's count."""
-    chars = F.filter(F.split("tok", ""), lambda x: x != "")
-    pairs = words.withColumn("c", chars).where(F.size("c") > 1)
-    both = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-    pairs = pairs.select(F.explode(F.array_distinct(both)).alias("p"), "n")
-    return pairs.groupBy(F.col("p.l").alias("left_char"), F.col("p.r").alias("right_char")).agg(F.sum("n").alias("n"))
+    """Adjacent pairs of bytes, as hex digits: each distinct pair of a word once, weighted by the word's count. Hex digits sort
+    as the bytes do."""
+    places = F.sequence(F.lit(0), F.octet_length("tok") - 2)
+    both = F.transform(places, lambda i: F.substr(F.col("x"), 2 * i + 1, F.lit(4)))
+    pairs = words.where(F.octet_length("tok") > 1).withColumn("x", F.hex("tok")).select(F.explode(F.array_distinct(both)).alias("p"), "n")
+    sums = pairs.groupBy("p").agg(F.sum("n").alias("n"))
+    return sums.select(F.left("p", F.lit(2)).alias("left_byte"), F.right("p", F.lit(2)).alias("right_byte"), "n")
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, block: int = 1024) -> DataFrame:
@@ -48,6 +49,11 @@ def byte_prefix(docs: DataFrame, max_bytes: int) -> DataFrame:
     return running_total(sized, "doc_id", "n_bytes", "cum_bytes").where(F.col("cum_bytes") <= max_bytes)
 
 
+def prefix_bytes(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """n_docs, n_bytes of that prefix; zeros where not even the first document fits."""
+    return byte_prefix(docs, max_bytes).agg(F.count("*").alias("n_docs"), F.coalesce(F.max("cum_bytes"), F.lit(0)).alias("n_bytes"))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """sha, first_id, n of every text that comes more than once."""
     return docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")

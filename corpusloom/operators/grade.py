@@ -70,3 +70,12 @@ def require_overlap(both: DataFrame) -> DataFrame:
     if both.isEmpty():
         raise ValueError("no transcript belongs to a sample")
     return both
+
+
+def as_transcripts(rows: DataFrame) -> DataFrame:
+    """rows with tool_calls and final_answer, taken from extracted_calls and generated. A column that is not there counts as
+    no calls or an empty answer; a null stays null, which does not parse."""
+    calls = F.col("extracted_calls") if "extracted_calls" in rows.columns else F.array().cast("array<string>")
+    answer = F.col("generated") if "generated" in rows.columns else F.lit("")
+    out = rows.withColumns({"tool_calls": calls, "final_answer": answer})
+    return out.drop("extracted_calls", "generated")

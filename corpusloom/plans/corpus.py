@@ -35,8 +35,8 @@ def pretoken_top_words(spark, sf_dir):
 
 
 _PAIRS = f"""WITH {_WORDS},
-p AS (SELECT DISTINCT tok, n, substr(tok, i, 1) AS l, substr(tok, i + 1, 1) AS r FROM (SELECT tok, n, unnest(range(1, length(tok))) AS i FROM words WHERE length(tok) > 1))
-SELECT l AS left_char, r AS right_char, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY l, r"""
+p AS (SELECT DISTINCT tok, n, substr(hex(tok), 2 * i - 1, 2) AS l, substr(hex(tok), 2 * i + 1, 2) AS r FROM (SELECT tok, n, unnest(range(1, strlen(tok))) AS i FROM words WHERE strlen(tok) > 1))
+SELECT l AS left_byte, r AS right_byte, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY l, r"""
 
 
 @query(_PAIRS)
@@ -47,7 +47,7 @@ def byte_pair_counts_round0(spark, sf_dir):
 @query(_PAIRS + " ORDER BY n DESC, l DESC, r DESC LIMIT 1")
 def best_pair(spark, sf_dir):
     pairs = corpus.pair_counts(corpus.word_table(table(spark, sf_dir, "documents")))
-    return pairs.orderBy(F.desc("n"), F.desc("left_char"), F.desc("right_char")).limit(1)
+    return pairs.orderBy(F.desc("n"), F.desc("left_byte"), F.desc("right_byte")).limit(1)
 
 
 @query("SELECT doc_id, n_bytes, CAST(cum AS BIGINT) AS cum_bytes FROM (SELECT doc_id, strlen(text) AS n_bytes, sum(strlen(text)) OVER (ORDER BY doc_id) AS cum FROM documents) WHERE cum <= 1000000")
@@ -55,6 +55,11 @@ def byte_budget_prefix(spark, sf_dir):
     return corpus.byte_prefix(table(spark, sf_dir, "documents").select("doc_id", "text"), 1_000_000).select("doc_id", "n_bytes", "cum_bytes")
 
 
+@query("SELECT count(*) AS n_docs, CAST(coalesce(max(cum), 0) AS BIGINT) AS n_bytes FROM (SELECT sum(strlen(text)) OVER (ORDER BY doc_id) AS cum FROM documents) WHERE cum <= 500000")
+def training_prefix_bytes(spark, sf_dir):
+    return corpus.prefix_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 500_000)
+
+
 @query(r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, strlen(l[i]) AS n_bytes FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, unnest(range(1, len(l) + 1)) AS i FROM documents)")
 def line_table(spark, sf_dir):
     return corpus.line_table(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "n_bytes")

@@ -16,6 +16,18 @@ def last_user_turn(spark, sf_dir):
     return conversation.last_user_turn(table(spark, sf_dir, "conversations"))
 
 
+@query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND text <> '' AND turn % 5 <> 1 GROUP BY conv_id")
+def last_terminal_answer(spark, sf_dir):
+    """Every fifth turn counts as one with calls."""
+    return conversation.last_answer(table(spark, sf_dir, "conversations"), F.col("turn") % 5 == 1)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 > 0 THEN event_type END AS tool_calls, CASE WHEN event_id % 5 > 0 THEN props END AS final_answer FROM events")
+def rollout_transcripts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 > 0, F.array("event_type")).alias("extracted_calls"), F.when(F.col("event_id") % 5 > 0, F.col("props")).alias("generated"))
+    return grade.as_transcripts(rows).select("event_id", F.array_join("tool_calls", ",").alias("tool_calls"), "final_answer")
+
+
 _JOIN = "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM ({}) WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id"
 
 

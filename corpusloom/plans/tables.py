@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions import text as X
-from ..operators import audit, compare, rules
+from ..operators import audit, compare, contracts, rules
 from . import query, table
 
 
@@ -140,3 +140,56 @@ def drift_check(spark, sf_dir):
 def category_coverage(spark, sf_dir):
     n = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("segment", "n", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 6).alias("percent"))  # one row
+
+
+@query("SELECT l_orderkey, count(*) AS n_batches, round(avg(l_quantity), 6) AS mean_loss FROM lineitem WHERE l_linenumber - 1 < 3 GROUP BY 1")
+def first_batches_mean(spark, sf_dir):
+    """Lines of an order as batches: the mean of the first three."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("batch"), "l_quantity")
+    return compare.first_batches(rows, ["l_orderkey"], "batch", "l_quantity", 3).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("SELECT segment, status, n, round(n / sum(t) OVER (PARTITION BY segment), 9) AS share FROM (SELECT 's' || o_custkey % 4 AS segment, o_orderstatus AS status, count(*) FILTER (o_orderkey % 3 > 0) AS n, count(*) AS t FROM orders GROUP BY ALL) QUALIFY n > 0")
+def histogram_over_files(spark, sf_dir):
+    """Statuses of orders as failures, priorities as files, all orders as totals."""
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") % 4).alias("segment"), "o_orderpriority", F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3 > 0).alias("failed"))
+    counts = rows.where("failed").groupBy("segment", "o_orderpriority", "status").agg(F.count("*").alias("n"))
+    totals = rows.groupBy("segment", "o_orderpriority").agg(F.count("*").alias("total"))
+    return compare.histogram_shares(counts, totals, ["segment"], "status", "n", "total").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE contains(p_brand, '1') OR contains(p_brand, '#4')")
+def name_filter(spark, sf_dir):
+    return compare.named_like(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", ["1", "#4"])
+
+
+@query("SELECT n_nationkey, pos FROM nation JOIN (SELECT unnest(['n-3', 'n-11', 'n-7']) AS a, CAST(unnest([0, 1, 2]) AS BIGINT) AS pos) ON a = 'n-' || n_nationkey")
+def resolved_names(spark, sf_dir):
+    """Two nations by a short name and one by its full name."""
+    models = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("n-"), "n_nationkey").alias("short"), F.col("n_name").alias("full"))
+    full = models.where("n_nationkey = 11").first()["full"]
+    return compare.resolved_names(models, "short", "full", ["n-3", full, "n-7"]).select("n_nationkey", "pos")
+
+
+@query("SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'outcome' ELSE 'result' END AS fault FROM events WHERE event_type = 'purchase' OR (user_id % 4 > 0 AND event_id % 3 <> user_id % 3)")
+def result_differences(spark, sf_dir):
+    """Events as calls of a user, by their unique place: purchases failed; every fourth user's have no expected result."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3).alias("expected_result"), F.when(F.col("event_type") == "purchase", "error").otherwise("success").alias("outcome"), (F.col("event_id") % 3).alias("result"))
+    return contracts.result_differences(rows, rows, "user_id", "event_id")
+
+
+@query("""SELECT o_orderkey AS artifact, o_orderkey AS doc, CAST(1 AS BIGINT) AS line_no, 'step' AS fault FROM orders WHERE o_orderkey % 5 <> 2
+UNION ALL SELECT o_orderkey, o_orderkey, 2, 'change' FROM orders WHERE o_orderkey % 3 > 0""")
+def line_drifts(spark, sf_dir):
+    """Texts with a step after the value, a row of cells, a line with the value twice, and one with another value's step."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("artifact"), F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") / 8).alias("value"), (F.col("o_orderkey") % 5).cast("long").alias("step"), (F.col("o_orderkey") % 3).cast("double").alias("change"))
+    shown = F.format_string("%.4f", "value")
+    text = F.concat(F.lit("least "), shown, F.lit(" @ 2 steps\r\n| "), shown, F.lit(" | 0.0 |\n"), shown, F.lit(" and "), shown, F.lit(" @ 9\nother xx @ 7 | 0.0 |"))
+    return audit.line_drifts(rows, rows.select("doc", text.alias("text")))
+
+
+@query("SELECT p_partkey, 'part-' || p_brand AS head, lpad(CAST(p_size AS VARCHAR), 4, '0') AS tail FROM part")
+def id_parts(spark, sf_dir):
+    name = F.concat(F.lit("part-"), "p_brand", F.lit("-"), F.format_string("%04d", F.col("p_size").cast("int")))
+    head, tail = X.id_parts(name)
+    return table(spark, sf_dir, "part").select("p_partkey", head.alias("head"), tail.alias("tail"))

@@ -136,6 +136,15 @@ def new_only(df: DataFrame, spark: SparkSession, path: str, key: str) -> DataFra
     return df.join(done, key, "left_anti")
 
 
+def seed_files(spark: SparkSession, pattern: str, root: str = "") -> DataFrame:
+    """One row for each JSON file of a seed, with its path. The pattern is absolute or below root; none found is an error."""
+    full = pattern if pattern.startswith("/") or "://" in pattern else f"{root.rstrip('/')}/{pattern}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(full)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        raise ValueError(f"no file matches {full}")
+    return spark.read.json(full, multiLine=True).withColumn("path", F.input_file_name())
+
+
 def settings(supplied: dict, configured: dict, defaults: dict) -> dict:
     """What was given on the command line, else what the configuration has, else the default."""
     return defaults | configured | {k: v for k, v in supplied.items() if v is not None}

@@ -334,3 +334,43 @@ def test_split_sizes_round_half_to_even(spark):
 
     out = splits.stratified_split(spark.range(30).withColumn("c", F.lit("x")), "id", "c", 1).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in out} == {"test": 4, "dev": 4, "train": 22}
+
+
+def test_first_merge_is_the_best_byte_pair(spark):
+    from corpusloom.operators import bpe, corpus
+
+    docs = spark.createDataFrame([(1, "\u00e9\u00e9\u00e9 \u00e9\u00e9 ab"), (2, "abab \u00e8\u00e8"), (3, None), (4, "")], "doc_id long, text string")
+    pairs = corpus.pair_counts(corpus.word_table(docs)).collect()
+    best = max((r.n, r.left_byte, r.right_byte) for r in pairs)
+    left, right = bpe.train(docs, 257).merges[0]
+    assert (best[1].lower(), best[2].lower()) == (left.hex(), right.hex())
+
+
+def test_names_and_batches_that_are_not_there(spark):
+    from corpusloom.operators import compare
+
+    models = spark.createDataFrame([("a", "x/a"), ("b", "a")], "short string, full string")
+    assert [(r.short, r.pos) for r in compare.resolved_names(models, "short", "full", ["a", "x/a"]).orderBy("pos").collect()] == [("a", 0), ("a", 1)]
+    with pytest.raises(ValueError):
+        compare.resolved_names(models, "short", "full", ["a", "c"])
+    assert compare.named_like(models, "short", None).count() == 2
+    with pytest.raises(ValueError):
+        compare.first_batches(spark.createDataFrame([], "k int, batch int, loss double"), ["k"], "batch", "loss", 3)
+
+
+def test_transcripts_keep_nulls_and_fill_absent_columns(spark):
+    from corpusloom.operators import grade
+
+    rows = spark.createDataFrame([(1, None)], "id int, generated string")
+    assert grade.as_transcripts(rows).first().asDict() == {"id": 1, "tool_calls": [], "final_answer": None}
+
+
+def test_seed_files(spark, tmp_path):
+    from corpusloom.sources import files
+
+    (tmp_path / "eval-1.json").write_text('{"total": 2}')
+    (tmp_path / "eval-2.json").write_text('{"total": 3}')
+    got = files.seed_files(spark, "eval-*.json", str(tmp_path))
+    assert sorted(r.total for r in got.collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        files.seed_files(spark, str(tmp_path / "none-*.json"))
