@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_verify, fm_decontam, hash_tree, langid, license_scan, line_dedup, lm_diff, ngram_join, pii_boost, quality_bands
+from . import best_two_fit, bpe_verify, fim_units, fm_decontam, hash_tree, langid, license_scan, line_dedup, lm_diff, merkle_pregel, ngram_join, pii_boost, quality_bands
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_fm_decontamination": fm_decontam.op9_fm_decontamination,
     "op10_bpe_encode": bpe_verify.op10_bpe_encode,
+    "op11_best_two_fit": best_two_fit.op11_best_two_fit,
+    "op12_merkle_pregel": merkle_pregel.op12_merkle_pregel,
+    "op13_fim_units": fim_units.op13_fim_units,
+}
+SQL = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
+    "op2_line_dedup": line_dedup.SQL,
+    "op7_hash_tree": hash_tree.SQL,
+    "op9_fm_decontamination": fm_decontam.SQL,
+    "op12_merkle_pregel": merkle_pregel.SQL,
+    "op13_fim_units": fim_units.SQL,
 }
-SQL = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_line_dedup": line_dedup.SQL, "op7_hash_tree": hash_tree.SQL, "op9_fm_decontamination": fm_decontam.SQL}
