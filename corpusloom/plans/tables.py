@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions import text as X
-from ..operators import audit, compare, contracts, rules
+from ..operators import audit, compare, contracts, reconcile, rules
 from . import query, table
 
 
@@ -193,3 +193,61 @@ def id_parts(spark, sf_dir):
     name = F.concat(F.lit("part-"), "p_brand", F.lit("-"), F.format_string("%04d", F.col("p_size").cast("int")))
     head, tail = X.id_parts(name)
     return table(spark, sf_dir, "part").select("p_partkey", head.alias("head"), tail.alias("tail"))
+
+
+# A page's address as a path, and a text that refers to it and others in a way that depends on page_id.
+_TREE = r"""
+page AS (SELECT page_id, regexp_extract(url, '//([a-z0-9.]+)/([a-z]+)/([0-9]+)', 1) AS host, regexp_extract(url, '//([a-z0-9.]+)/([a-z]+)/([0-9]+)', 2) AS lang, regexp_extract(url, '//([a-z0-9.]+)/([a-z]+)/([0-9]+)', 3) AS num FROM pages WHERE regexp_matches(url, '//([a-z0-9.]+)/([a-z]+)/([0-9]+)')),
+files AS (SELECT DISTINCT 'artifacts/' || host || '/' || lang || '/' || num || CASE page_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.png' ELSE '' END AS path FROM page UNION SELECT DISTINCT 'scripts/build_' || (page_id % 4) || '.py' FROM page),
+dirs AS (SELECT DISTINCT 'artifacts' AS path FROM page UNION SELECT 'artifacts/' || host FROM page UNION SELECT 'artifacts/' || host || '/' || lang FROM page UNION SELECT 'scripts' FROM page),
+said AS (SELECT page_id, 'artifacts/' || host || '/' || lang || '/' || num || '.json' AS ref, 'exact_file' AS kind, ['artifacts/' || host || '/' || lang || '/' || num || '.json'] AS c FROM page WHERE page_id % 8 = 0
+  UNION ALL SELECT page_id, 'artifacts/' || host || '/' || lang || '/' || num, 'exact_file', ['artifacts/' || host || '/' || lang || '/' || num] FROM page WHERE page_id % 8 = 1
+  UNION ALL SELECT page_id, 'artifacts/' || host || '/' || lang || '/', 'directory', ['artifacts/' || host || '/' || lang] FROM page WHERE page_id % 8 = 2
+  UNION ALL SELECT page_id, 'artifacts/' || host || '/' || lang || '/*.json', 'glob_pattern', ['artifacts/' || host || '/' || lang || '/*.json'] FROM page WHERE page_id % 8 = 3
+  UNION ALL SELECT page_id, 'artifacts/' || host || '/{en,fr}/*', 'glob_pattern', ['artifacts/' || host || '/en/*', 'artifacts/' || host || '/fr/*'] FROM page WHERE page_id % 8 = 4
+  UNION ALL SELECT page_id, unnest(['artifacts/run-', 'artifacts/<name>.json']), 'placeholder', [] FROM page WHERE page_id % 8 = 5
+  UNION ALL SELECT page_id, 'artifacts/none/x' || page_id || '.json', 'exact_file', ['artifacts/none/x' || page_id || '.json'] FROM page WHERE page_id % 8 = 6
+  UNION ALL SELECT page_id, 'artifacts/*/' || lang || '/{' || num || ',zz}*', 'glob_pattern', ['artifacts/*/' || lang || '/' || num || '*', 'artifacts/*/' || lang || '/zz*'] FROM page WHERE page_id % 8 = 7
+  UNION ALL SELECT page_id, 'artifacts/{a,b{c,d}}/m-*/', 'directory', ['artifacts/a/m-*', 'artifacts/bc/m-*', 'artifacts/bd/m-*'] FROM page WHERE page_id % 10 = 0),
+hit AS (SELECT DISTINCT page_id, ref, p.path FROM (SELECT page_id, ref, kind, unnest(c) AS c FROM said) s JOIN (SELECT path, false AS d FROM files UNION ALL SELECT path, true FROM dirs) p ON p.d = (s.kind = 'directory')
+  AND regexp_full_match(p.path, replace(replace(s.c, '.', '\.'), '*', '[^/]*'))),
+more AS (SELECT page_id, ref, ref || x AS path FROM said, (SELECT unnest(['.json', '.png']) AS x) WHERE kind = 'exact_file' AND ref || x IN (SELECT path FROM files)),
+out AS (SELECT s.page_id, s.ref, s.kind, CASE WHEN s.page_id % 8 = 6 AND s.kind = 'exact_file' THEN 'scripts/build_' || (s.page_id % 5) || '.py' END AS script,
+  CASE WHEN n IS NOT NULL THEN n WHEN m.first IS NOT NULL THEN 1 ELSE 0 END AS n_matches, coalesce(h.least, m.first) AS match FROM said s
+  LEFT JOIN (SELECT page_id, ref, count(*) AS n, min(path) AS least FROM hit GROUP BY ALL) h ON h.page_id = s.page_id AND h.ref = s.ref
+  LEFT JOIN (SELECT page_id, ref, min(path) AS first FROM more GROUP BY ALL) m ON m.page_id = s.page_id AND m.ref = s.ref),
+done AS (SELECT *, CASE WHEN kind = 'placeholder' THEN 'PLACEHOLDER' WHEN n_matches > 0 THEN 'FOUND' WHEN script IN (SELECT path FROM files) THEN 'MISSING_RESOLVABLE' ELSE 'MISSING_UNRESOLVABLE' END AS status FROM out)"""
+
+
+def _reconciled(spark, sf_dir):
+    part = lambda i: F.regexp_extract("url", r"//([a-z0-9.]+)/([a-z]+)/([0-9]+)", i)
+    pages = table(spark, sf_dir, "pages").select("page_id", part(1).alias("host"), part(2).alias("lang"), part(3).alias("num")).where("host <> ''")
+    folder = F.concat(F.lit("artifacts/"), "host", F.lit("/"), "lang", F.lit("/"))
+    number = F.col("page_id") % 8
+    files = pages.select(F.concat(folder, "num", F.when(F.col("page_id") % 3 == 0, ".json").when(F.col("page_id") % 3 == 1, ".png").otherwise("")).alias("path"))
+    files = files.union(pages.select(F.concat(F.lit("scripts/build_"), (F.col("page_id") % 4).cast("string"), F.lit(".py"))))
+    gone = F.concat(F.lit("artifacts/none/x"), F.col("page_id").cast("string"), F.lit(".json"))
+    text = (
+        F.when(number == 0, F.concat(F.lit("see "), folder, "num", F.lit(".json\n")))
+        .when(number == 1, F.concat(F.lit("see "), folder, "num", F.lit(" and more")))
+        .when(number == 2, F.concat(F.lit("in "), folder, F.lit(" twice "), folder, F.lit(" ")))
+        .when(number == 3, F.concat(folder, F.lit("*.json\n")))
+        .when(number == 4, F.concat(F.lit("`artifacts/"), "host", F.lit("/{en,fr}/*`")))
+        .when(number == 5, F.lit("artifacts/run- (one of artifacts/<name>.json)"))
+        .when(number == 6, F.concat(F.lit("missing\npython scripts/build_"), (F.col("page_id") % 5).cast("string"), F.lit(".py --out \\\n  "), gone, F.lit("\n")))
+        .otherwise(F.concat(F.lit("artifacts/*/"), "lang", F.lit("/{"), "num", F.lit(",zz}*")))
+    )
+    docs = pages.select("page_id", F.concat(text, F.when(F.col("page_id") % 10 == 0, "\nartifacts/{a,b{c,d}}/m-*/").otherwise("")).alias("text"))
+    return reconcile.reconciled(reconcile.references(docs, "page_id"), files)
+
+
+@query(f"WITH {_TREE} SELECT DISTINCT page_id, ref, kind, script, n_matches, match, status FROM done")
+def reconcile_pages(spark, sf_dir):
+    """References of pages against a tree made of all pages' addresses."""
+    return _reconciled(spark, sf_dir).select("page_id", "ref", "kind", "script", "n_matches", "match", "status")
+
+
+@query(f"WITH {_TREE} SELECT kind, count(*) AS total, count(*) FILTER (status = 'PLACEHOLDER') AS placeholder, count(*) FILTER (status = 'FOUND') AS found, count(*) FILTER (status = 'MISSING_RESOLVABLE') AS missing_resolvable, count(*) FILTER (status = 'MISSING_UNRESOLVABLE') AS missing_unresolvable FROM done GROUP BY kind")
+def reconcile_pivot(spark, sf_dir):
+    """Kinds by status."""
+    return reconcile.status_pivot(_reconciled(spark, sf_dir))
