@@ -33,12 +33,15 @@ def pair_counts(words: DataFrame) -> DataFrame:
 def running_total(df: DataFrame, order: str, value: str, name: str, block: int = 1024) -> DataFrame:
     """df with the running total of value in the order of an integer column.
 
-    Sums of blocks of the order column give each block's offset, from a table with a row for each block; only rows of one
-    block meet in a task. So no task sees all rows.
+    Sums of blocks of the order column give each block's offset; they are summed up within wider blocks, and those within the
+    whole, in a table with a row for each ``block`` squared numbers. So no task sees all rows, or a row for each block.
     """
     df = df.withColumn("_b", F.floor(F.col(order) / block))
-    sums = df.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = sums.withColumn("_o", F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).select("_b", "_o")
+    sums = df.groupBy("_b").agg(F.sum(value).alias("_s")).withColumn("_c", F.floor(F.col("_b") / block))
+    wide = sums.groupBy("_c").agg(F.sum("_s").alias("_t"))
+    wide = wide.select("_c", (F.sum("_t").over(W.orderBy("_c")) - F.col("_t")).alias("_w"))
+    near = sums.withColumn("_o", F.sum("_s").over(W.partitionBy("_c").orderBy("_b")) - F.col("_s"))
+    before = near.join(wide, "_c").select("_b", (F.col("_o") + F.col("_w")).alias("_o"))
     inner = F.sum(value).over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn("_i", inner).join(before, "_b").withColumn(name, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
 

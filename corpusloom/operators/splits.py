@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.numeric import seeded
+from .ranks import _null_safe, seeded_ranks
+
+
+def _share(n: str) -> Column:
+    """15 percent, rounded half to even."""
+    return F.expr(f"{n} * 15 div 100 + if({n} * 15 % 100 > 50 or ({n} * 15 % 100 = 50 and {n} * 15 div 100 % 2 = 1), 1, 0)")
+
+
+def _split_of(rank: Column, share: Column) -> Column:
+    return F.when(rank <= share, "test").when(rank <= 2 * share, "dev").otherwise("train")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
-    """df with split: of each stratum, in seeded order, 15 percent test, 15 percent dev (rounded half to even), the rest train."""
-    w = W.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), key)
+    """df with split: of each stratum, in seeded order, 15 percent test, 15 percent dev (rounded half to even), the rest train.
+    Rows without a stratum are a stratum. No task sees a whole stratum."""
+    rows = seeded_ranks(df, [stratum], key, seed, "_r", "_n")
+    return rows.withColumn("split", _split_of(F.col("_r"), _share("_n"))).drop("_r", "_n")
+
+
+def split_positions(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
+    """df with split and pos: the position from 1 in its split, by stratum (nulls first) and then in seeded order. A row's
+    position is its rank in its stratum, less those of other splits, and the sizes of the strata before."""
+    rows = seeded_ranks(df, [stratum], key, seed, "_r", "_n").withColumn("split", _split_of(F.col("_r"), _share("_n")))
+    share = _share("_n")
+    inside = F.when(F.col("split") == "test", F.col("_r")).when(F.col("split") == "dev", F.col("_r") - share).otherwise(F.col("_r") - 2 * share)
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(w)).join(sizes, stratum)
-    share = F.expr("_n * 15 div 100 + if(_n * 15 % 100 > 50 or (_n * 15 % 100 = 50 and _n * 15 div 100 % 2 = 1), 1, 0)")
-    return ranked.withColumn("split", F.when(F.col("_r") <= share, "test").when(F.col("_r") <= 2 * share, "dev").otherwise("train")).drop("_r", "_n")
+    parts = sizes.withColumn("_p", F.explode(F.array(F.struct(F.lit("test").alias("split"), share.alias("n")), F.struct(F.lit("dev").alias("split"), share.alias("n")), F.struct(F.lit("train").alias("split"), (F.col("_n") - 2 * share).alias("n")))))
+    # a row for each stratum and split
+    before = parts.select(stratum, "_p.split", (F.sum("_p.n").over(W.partitionBy("_p.split").orderBy(stratum)) - F.col("_p.n")).alias("_before"))
+    return _null_safe(rows, before, [stratum, "split"]).withColumn("pos", (F.col("_before") + inside).cast("long")).drop("_r", "_n", "_before")
 
 
 def contiguous_split(rank: Column, n: Column) -> Column:
@@ -47,24 +71,34 @@ def manifest(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(key, F.sha2(text, 256).alias("sha256"), *more)
 
 
-def _blocks(df: DataFrame, part: Column, order: str, name: str) -> DataFrame:
-    """The digest of all parts joined in order. The parts meet in one row: a manifest has 64 bytes for each entry."""
-    return df.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), part.alias("v")))), lambda x: x["v"]), ""), 256).alias(name))
+def _stream(df: DataFrame, part: Column, order: str, name: str) -> DataFrame:
+    """The digest of all parts joined in order. It is sequential by its definition: one task takes the sorted parts as a stream
+    of batches and keeps only the digest's state, so a manifest of any length fits. A Merkle tree of digests has no such task."""
+
+    def run(batches):
+        digest = hashlib.sha256()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                digest.update((x or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], [name])
+
+    parts = df.select(F.col(order).alias("_k"), part.alias("_v")).repartition(1).sortWithinPartitions("_k", "_v")
+    return parts.select("_v").mapInArrow(run, f"{name} string")
 
 
 def digest_contents(entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of the concatenated digests."""
-    return _blocks(entries, F.col("sha256"), key, "digest")
+    return _stream(entries, F.col("sha256"), key, "digest")
 
 
 def digest_sources(entries: DataFrame, source: str, key: str = "doc_id") -> DataFrame:
     """Of digest NUL source NUL for each entry."""
-    return _blocks(entries, F.concat("sha256", F.char(F.lit(0)), source, F.char(F.lit(0))), key, "digest")
+    return _stream(entries, F.concat("sha256", F.char(F.lit(0)), source, F.char(F.lit(0))), key, "digest")
 
 
 def digest_ids(entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of the ids only, each with a line end."""
-    return _blocks(entries, F.concat(F.col(key).cast("string"), F.lit("\n")), key, "digest")
+    return _stream(entries, F.concat(F.col(key).cast("string"), F.lit("\n")), key, "digest")
 
 
 def counts_with_zeros(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .ranks import ranked
 
 
 def check_shape(batch: int, length: int, tokens: int) -> None:
@@ -37,9 +38,11 @@ def scored_tokens(n: Column, length: int) -> Column:
     return n - F.ceil((n - 1) / F.lit(length))
 
 
-def route(tokens: DataFrame, expert: str, token: str, cap: Column) -> DataFrame:
-    """tokens with kept: is it among the first ``cap`` tokens of its expert?"""
-    return tokens.withColumn("kept", F.row_number().over(W.partitionBy(expert).orderBy(token)) <= cap)
+def route(tokens: DataFrame, expert: str, token: str, cap: Column, block: int = 4096) -> DataFrame:
+    """tokens with kept: is it among the first ``cap`` tokens of its expert? Tokens are counted by expert and block of their
+    numbers first, so that no task sorts all tokens of an expert; within blocks they are ranked."""
+    rows = ranked(tokens, [expert], F.floor(F.col(token) / block), [token], "_rank")
+    return rows.withColumn("kept", F.col("_rank") <= cap).drop("_rank")
 
 
 def load_balance(df: DataFrame, expert: str, prob: str, experts: int) -> DataFrame:

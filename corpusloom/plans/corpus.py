@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions import numeric, text
-from ..operators import corpus, splits
+from ..functions import text
+from ..operators import corpus, ranks, splits
 from . import query, table
 
 # RE2 has no look-ahead: the place inside white space where a word takes its space is marked first.
@@ -95,9 +94,13 @@ def stratified_split_by_lang(spark, sf_dir):
 
 @query(f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY lang, {_SEED.format('doc_id')}, doc_id) AS pos FROM ({_STRATIFIED})")
 def split_positions(spark, sf_dir):
-    docs = splits.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 42)
-    w = W.partitionBy("split").orderBy("lang", numeric.seeded(42, F.col("doc_id")), "doc_id")
-    return docs.select("doc_id", "split", F.row_number().over(w).cast("long").alias("pos"))
+    return splits.split_positions(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 42).select("doc_id", "split", "pos")
+
+
+@query(f"SELECT doc_id, lang, v AS variant, v % 4 AS part_0, v // 4 % 7 AS part_1, v // 28 % 3 AS part_2 FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format('doc_id')}, doc_id) - 1 AS v FROM documents)")
+def class_variants(spark, sf_dir):
+    """Languages as classes of samples: each row's position in its class, and the variant's digits."""
+    return ranks.class_variants(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 42, [4, 7, 3])
 
 
 @query("SELECT doc_id, CASE WHEN r <= n * 8 // 10 THEN 'train' WHEN r <= n * 9 // 10 THEN 'dev' ELSE 'test' END AS split, r > n - greatest(1, n * 5 // 100) AS tail FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, (SELECT count(*) FROM documents) AS n FROM documents)")
