@@ -45,6 +45,25 @@ def reward_summary(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
+def signal_summary(df: DataFrame, layers: tuple[str, ...] = LAYERS, task: str = "task_type") -> DataFrame:
+    """of, value, n, binary_mean, binary_std, layered_mean, layered_std, applied_mean: all rows (of = all), those of each
+    first failure ('none' where nothing failed) and of each task type ('unknown' for an empty or null one), in one scan by
+    grouping sets. applied_mean is the mean number of layers that apply, the denominator of the layered reward. No rows give
+    one row with n = 0 and nulls."""
+    applied = F.size(F.filter(F.array(*layers), lambda x: x.isNotNull()))
+    rows = df.select("reward_binary", "reward_layered", applied.alias("_applied"), F.coalesce("first_failure", F.lit("none")).alias("first_failure"), F.coalesce(F.nullif(F.col(task), F.lit("")), F.lit("unknown")).alias("task_type"))
+    sums = [F.count("*").alias("n")]
+    for r in ("binary", "layered"):
+        sums += [F.avg(f"reward_{r}").alias(f"{r}_mean"), F.stddev_pop(f"reward_{r}").alias(f"{r}_std")]
+    sums += [F.avg("_applied").alias("applied_mean"), F.grouping_id("first_failure", "task_type").alias("_g")]
+    sets = rows.groupingSets([[], ["first_failure"], ["task_type"]], "first_failure", "task_type").agg(*sums)
+    of = F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "first_failure").otherwise("task_type")
+    sets = sets.select(of.alias("of"), F.coalesce("first_failure", "task_type").alias("value"), "n", "binary_mean", "binary_std", "layered_mean", "layered_std", "applied_mean")
+    # grouping sets of no rows are no rows: one row stands for all of them
+    whole = df.sparkSession.range(1).select(F.lit("all").alias("of")).join(sets.where("of = 'all'"), "of", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return whole.unionByName(sets.where("of <> 'all'"))
+
+
 def failure_histogram(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, F.coalesce("first_failure", F.lit("none")).alias("first_failure")).agg(F.count("*").alias("n"))
 
