@@ -1,8 +1,8 @@
 """Byte-pair vocabularies: training on a word table, artifacts, encoding and decoding of frames.
 
-Spark counts words (one shuffle of each task's distinct words). The merge loop is sequential by nature and runs on the
-driver over distinct words, with pair counts and a heap that are kept up to date instead of counted anew. Encoding splits
-distinct pretokens only, in Arrow batches, and joins them back.
+Spark counts words (one shuffle of each task's distinct words). The order of merges is sequential by nature: it is found on the
+driver over distinct words, as flat arrays of token ids, with an index from pairs to words and a heap of counts, and only
+words that a merge changes are looked at. Encoding merges the distinct pretokens of a batch all at once.
 """
 
 from __future__ import annotations
@@ -10,38 +10,103 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.merging import MergeTable, merge_words
 from ..functions.text import special_pretokens
 from .rules import canonical_json
 
+KEPT_WORDS = 200_000
+SHIFT = 32  # a pair as one number: left id, right id
 
-class _Greatest:
+
+class _Candidate:
     """Orders a heap by count, then by the greatest pair of byte strings."""
 
-    __slots__ = ("n", "pair")
+    __slots__ = ("key", "n", "pair")
 
-    def __init__(self, n: int, pair: tuple[bytes, bytes]):
-        self.n, self.pair = n, pair
+    def __init__(self, n: int, key: int, pair: tuple[bytes, bytes]):
+        self.n, self.key, self.pair = n, key, pair
 
     def __lt__(self, other):
         return (self.n, self.pair) > (other.n, other.pair)
 
 
-def merge_word(parts: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
-    out, i = [], 0
-    while i < len(parts):
-        if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-            out.append(parts[i] + parts[i + 1])
-            i += 2
-        else:
-            out.append(parts[i])
-            i += 1
-    return out
+class _Corpus:
+    """Distinct words as token ids in one flat array, each in a slot of its own, with the words that have each pair."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.tokens = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        self.counts = counts.astype(np.int64)
+        key, word = self.pairs(*self.gathered(np.arange(len(words))))
+        self.keys, first = np.unique(key, return_index=True)
+        self.of_key = np.split(word, first[1:]) if len(first) else []
+        self.later: dict[int, list[np.ndarray]] = {}
+
+    def gathered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of some words, and each one's word."""
+        size = self.size[words]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.tokens[np.repeat(self.begin[words], size) + place], np.repeat(words, size)
+
+    @staticmethod
+    def pairs(tokens: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair of each word once, by pair."""
+        inner = word[1:] == word[:-1]
+        key, word = ((tokens[:-1] << SHIFT) | tokens[1:])[inner], word[1:][inner]
+        order = np.lexsort((word, key))
+        key, word = key[order], word[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (word[1:] != word[:-1])
+        return key[new], word[new]
+
+    def sums(self, key: np.ndarray, word: np.ndarray) -> dict[int, int]:
+        """How often each pair comes, a word that has it counting with all its occurrences in the corpus."""
+        if not len(key):
+            return {}
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return dict(zip(key[first].tolist(), np.add.reduceat(self.counts[word], first).tolist(), strict=True))
+
+    def words_with(self, key: int) -> np.ndarray:
+        """Words that have, or once had, a pair."""
+        at = np.searchsorted(self.keys, key)
+        found = [self.of_key[at]] if at < len(self.keys) and self.keys[at] == key else []
+        return np.unique(np.concatenate([*found, *self.later.get(key, [])]))
+
+    def merge(self, key: int, whole: int) -> dict[int, int]:
+        """Makes a merge in all words that have it; gives the changes of counts."""
+        tokens, word = self.gathered(self.words_with(key))
+        hit = np.flatnonzero((((tokens[:-1] << SHIFT) | tokens[1:]) == key) & (word[1:] == word[:-1]))
+        if key >> SHIFT == key & ((1 << SHIFT) - 1):  # of a run of one token every second pair
+            run = np.append(True, hit[1:] != hit[:-1] + 1)
+            nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[nth % 2 == 0]
+        changed = np.isin(word, word[hit])
+        before = self.sums(*self.pairs(tokens[changed], word[changed]))
+        tokens[hit] = whole
+        stay = changed
+        stay[hit + 1] = False
+        tokens, word = tokens[stay], word[stay]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        own, size = word[first], np.diff(np.append(first, len(word)))
+        self.tokens[np.repeat(self.begin[own], size) + np.arange(len(word)) - np.repeat(first, size)] = tokens
+        self.size[own] = size
+        key_, word_ = self.pairs(tokens, word)
+        after = self.sums(key_, word_)
+        made = ((key_ >> SHIFT) == whole) | ((key_ & ((1 << SHIFT) - 1)) == whole)
+        key_, word_ = key_[made], word_[made]
+        first = np.flatnonzero(np.append(True, key_[1:] != key_[:-1])) if len(key_) else []
+        for k, words in zip(key_[first].tolist(), np.split(word_, first[1:]), strict=True) if len(key_) else ():
+            self.later.setdefault(k, []).append(words)
+        return {k: n for k in before.keys() | after.keys() if (n := after.get(k, 0) - before.get(k, 0))}
 
 
 def learn_merges(words: dict[bytes, int], vocab_size: int, n_specials: int = 0) -> list[tuple[bytes, bytes]]:
@@ -49,37 +114,30 @@ def learn_merges(words: dict[bytes, int], vocab_size: int, n_specials: int = 0)
     greatest pair in byte order is merged first."""
     if vocab_size < 256 + n_specials:
         raise ValueError("a vocabulary has all bytes and all special tokens")
-    split = {w: [bytes([b]) for b in w] for w in words}
-    counts: dict[tuple[bytes, bytes], int] = defaultdict(int)
-    where: dict[tuple[bytes, bytes], set[bytes]] = defaultdict(set)
-    for w, parts in split.items():
-        for p in set(zip(parts, parts[1:], strict=False)):
-            counts[p] += words[w]
-            where[p].add(w)
-    heap = [_Greatest(n, p) for p, n in counts.items()]
+    corpus = _Corpus(list(words), np.array(list(words.values()), np.int64))
+    strings = [bytes([b]) for b in range(256)]
+    ids = {x: i for i, x in enumerate(strings)}
+    pair = lambda k: (strings[k >> SHIFT], strings[k & ((1 << SHIFT) - 1)])
+    every = np.concatenate([np.full(len(w), i) for i, w in enumerate(corpus.of_key)]) if corpus.of_key else np.zeros(0, np.int64)
+    counts = corpus.sums(corpus.keys[every], np.concatenate(corpus.of_key)) if corpus.of_key else {}
+    heap = [_Candidate(n, k, pair(k)) for k, n in counts.items()]
     heapq.heapify(heap)
     merges: list[tuple[bytes, bytes]] = []
     while heap and len(merges) < vocab_size - 256 - n_specials:
-        top = heapq.heappop(heap)
-        if counts.get(top.pair, 0) != top.n or top.n <= 0:
+        best = heapq.heappop(heap)
+        if counts.get(best.key) != best.n:
             continue
-        merges.append(top.pair)
-        changed = set()
-        for w in list(where[top.pair]):
-            old = split[w]
-            new = split[w] = merge_word(old, top.pair)
-            before, after = set(zip(old, old[1:], strict=False)), set(zip(new, new[1:], strict=False))
-            for p in before - after:
-                counts[p] -= words[w]
-                where[p].discard(w)
-                changed.add(p)
-            for p in after - before:
-                counts[p] += words[w]
-                where[p].add(w)
-                changed.add(p)
-        for p in changed:
-            if counts[p] > 0:
-                heapq.heappush(heap, _Greatest(counts[p], p))
+        merges.append(best.pair)
+        text = b"".join(best.pair)
+        if text not in ids:
+            ids[text] = len(strings)
+            strings.append(text)
+        for k, n in corpus.merge(best.key, ids[text]).items():
+            counts[k] = counts.get(k, 0) + n
+            if counts[k] > 0:
+                heapq.heappush(heap, _Candidate(counts[k], k, pair(k)))
+            else:
+                del counts[k]
     return merges
 
 
@@ -99,18 +157,22 @@ class Tokenizer:
                 tokens.append(a + b)
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens) if i >= len(self.specials)}
-        self.rank = {p: i for i, p in reversed(list(enumerate(merges)))}
+        sides = np.array([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        self.table = MergeTable(*sides.T, len(tokens))
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of many words, merged together; a special token is its own."""
+        special = {x: i for i, x in enumerate(self.specials)}
+        raws = [b"" if w in special else w.encode() for w in words]
+        word = np.repeat(np.arange(len(words)), [len(x) for x in raws])
+        token = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64) + len(self.specials)
+        ids, word = merge_words(token, word, self.table)
+        bounds = np.searchsorted(word, np.arange(len(words) + 1))
+        flat = ids.tolist()
+        return [[special[w]] if w in special else flat[a:b] for w, a, b in zip(words, bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
     def encode_word(self, word: str) -> list[int]:
-        if word in self.specials:
-            return [self.specials.index(word)]
-        parts = [bytes([b]) for b in word.encode()]
-        while len(parts) > 1:
-            pair = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if pair not in self.rank:
-                break
-            parts = merge_word(parts, pair)
-        return [self.ids[p] for p in parts]
+        return self.encode_words([word])[0]
 
     def decode(self, ids) -> str:
         if any(not 0 <= i < len(self.tokens) for i in ids):
@@ -139,24 +201,31 @@ class Tokenizer:
 
 
 def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, text: str = "text") -> Tokenizer:
-    """Learns a vocabulary of the column ``text``. The driver gets a row for each distinct pretoken, as a stream."""
+    """Learns a vocabulary of the column ``text``. The driver gets each distinct pretoken and its count, in columns."""
     specials = list(specials or [])
     if vocab_size < 256 + len(specials):
         raise ValueError("a vocabulary has all bytes and all special tokens")
     words = docs.select(F.explode(special_pretokens(F.col(text), specials, keep=False)).alias("tok")).groupBy("tok").count()
-    table = {r[0].encode(): r[1] for r in words.toLocalIterator(prefetchPartitions=True)}
-    return Tokenizer(learn_merges(table, vocab_size, len(specials)), specials)
+    table = words.where("tok is not null").toArrow()
+    words = {w.encode(): n for w, n in zip(table["tok"].to_numpy(), table["count"].to_numpy(), strict=True)}
+    return Tokenizer(learn_merges(words, vocab_size, len(specials)), specials)
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids. Pretokens are made on the JVM; each Arrow batch codes its distinct ones once. No shuffle."""
+    """key, ids. Pretokens are made on the JVM; a task merges distinct ones once, and keeps up to KEPT_WORDS of them. No
+    shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("array<int>")
-    def code(words: pd.Series) -> pd.Series:
-        seen = {w for ws in words if ws is not None for w in ws}
-        known = {w: model.value.encode_word(w) for w in seen}
-        return words.map(lambda ws: None if ws is None else [i for w in ws for i in known[w]])
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[int]] = {}
+        for words in batches:
+            seen = {w for ws in words if ws is not None for w in ws}
+            if len(known) + len(seen - known.keys()) > KEPT_WORDS:
+                known.clear()
+            new = sorted(seen - known.keys())
+            known.update(zip(new, model.value.encode_words(new), strict=True))
+            yield words.map(lambda ws: None if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))))
 
     return docs.select(key, code(special_pretokens(F.col(text), tokenizer.specials)).alias("ids"))
 

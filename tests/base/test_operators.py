@@ -74,10 +74,21 @@ def brute_merges(words, n):
             break
         best = max(counts, key=lambda p: (counts[p], p))
         out.append(best)
-        split = {w: bpe.merge_word(p, best) for w, p in split.items()}
+        split = {w: joined(p, best) for w, p in split.items()}
     return out
 
 
+def joined(parts, pair):
+    """Every occurrence of a pair as one part, from left to right, by way of a stack."""
+    out = []
+    for x in parts:
+        if out and (out[-1], x) == (pair[0], pair[1]) and not isinstance(out[-1], bytearray):
+            out[-1] = bytearray(out[-1] + x)  # made just now, so that it takes no part in this merge
+        else:
+            out.append(x)
+    return [bytes(x) for x in out]
+
+
 def test_bpe_agrees_with_brute_force():
     rng = random.Random(4)
     words = {bytes(rng.choices(b"abcd", k=rng.randrange(1, 9))): rng.randrange(1, 9) for _ in range(200)}
@@ -86,6 +97,21 @@ def test_bpe_agrees_with_brute_force():
         bpe.learn_merges({}, 256, 1)
 
 
+def test_bpe_encodes_by_least_rank():
+    rng = random.Random(6)
+    words = {bytes(rng.choices(b"aabc", k=rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(150)}
+    model = bpe.Tokenizer(bpe.learn_merges(words, 256 + 70), ["<|x|>"])
+    rank = {p: i for i, p in reversed(list(enumerate(model.merges)))}
+    texts = ["".join(rng.choices("aabcé", k=rng.randrange(0, 30))) for _ in range(300)] + ["<|x|>", "a" * 200]
+    for text, ids in zip(texts, model.encode_words(texts), strict=True):
+        parts = [bytes([b]) for b in text.encode()]
+        while pairs := [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]:
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert ids == ([0] if text == "<|x|>" else [model.ids[p] for p in parts])
+    assert model.encode_words([]) == []
+
+
 def test_bpe_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Once upon a time, a small model learned. Once upon a time, a tool was called. <|end|>"), (2, "βeta \r\n"), (3, None)], "doc_id long, text string")
     model = bpe.train(docs, 280, ["<|end|>"])
