@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public GPT-2 pretoken pattern. (?U) makes \s the Unicode class.
 PRETOKEN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MARK = "\u0002"
 
 
 def pretokens(text: Column) -> Column:
@@ -22,8 +21,8 @@ def split_specials(text: Column, specials: list[str]) -> Column:
     if not specials:
         return F.array(text)
     quoted = "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))
-    marked = F.regexp_replace(text, F.lit(f"(?:{quoted})"), F.lit(f"{_MARK}$0{_MARK}"))
-    return F.filter(F.split(marked, _MARK), lambda x: x != "")
+    # a special token, or all up to the next one; the possessive loop does not recurse, however long the text
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?:{quoted})|(?:(?!{quoted}).)++"), F.lit(0))
 
 
 def special_pretokens(text: Column, specials: list[str], keep: bool = True) -> Column:
@@ -46,14 +45,21 @@ def crlf_insensitive_digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, "\r?\n", "\r\n"), 256)
 
 
+def strict_json(text: Column) -> Column:
+    """A JSON text as a variant; null if it is none, also where something stands behind a value, which Spark's parser passes
+    over. An array that a text is put into has as many items as were put there only if the text is one value."""
+    alone = [F.json_array_length(F.concat(F.lit("["), text, F.lit(more + "]"))) == n for more, n in ((",0", 2), (",0,0", 3))]
+    return F.when(alone[0] & alone[1], F.try_parse_json(text))
+
+
 def last_json_object(text: Column) -> Column:
     """The variant between the first { and the last }, null if that is no JSON."""
-    return F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    return strict_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
 
 
 def arguments(raw: Column) -> Column:
     """Call arguments as JSON text: an object as it is; anything else, also broken JSON, as {}."""
-    parsed = F.try_parse_json(raw)
+    parsed = strict_json(raw)
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(parsed)).otherwise("{}")
 
 

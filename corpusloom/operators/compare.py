@@ -75,6 +75,25 @@ def loss_totals(losses: DataFrame, keys: list[str], loss: str, encoded_bytes: Co
     return sums.withColumns({"mean_loss": F.try_divide("total", F.col("n_tokens").cast("double")), "perplexity": F.exp(F.try_divide("total", F.col("n_tokens").cast("double"))), "nats_per_byte": F.try_divide(F.col("total"), encoded_bytes.cast("double"))})
 
 
+#: The fields of a record of losses, in their groups.
+MODEL_FIELDS = ("model_id", "model_short", "model_local_dir", "source_hub", "hf_revision", "tokenizer_revision", "local_snapshot_revision", "dtype", "device", "seq_len", "elapsed_seconds", "key_file_sha256")
+CACHE_FIELDS = ("cache_sha256", "source_sha256", "source_bytes", "evaluated_bytes", "encoded_tokens")
+LOSS_FIELDS = ("revision_verified", "evaluated_tokens", "sum_loss_nats", "mean_loss_nats", "perplexity", "loss_nats_per_source_byte", "loss_nats_per_evaluated_byte", "owt_sha256")
+
+
+def loss_records(models: DataFrame, caches: DataFrame, losses: DataFrame, loss: str, source_sha256: str) -> DataFrame:
+    """A record of 25 fields for each model: what it is (MODEL_FIELDS), the cache that it was run on (CACHE_FIELDS, by
+    model_short), and its losses (by model_short; those that are not finite are left out), with the digest that the source
+    should have. A model without losses has zero tokens and a null mean. revision_verified: is the local snapshot's
+    revision the one that was asked for?"""
+    sums = loss_totals(losses, ["model_short"], loss, F.lit(1)).select("model_short", F.col("n_tokens").alias("evaluated_tokens"), F.col("total").alias("sum_loss_nats"), F.col("mean_loss").alias("mean_loss_nats"), "perplexity")
+    rows = models.select(*MODEL_FIELDS).join(caches.select("model_short", *CACHE_FIELDS), "model_short", "left").join(sums, "model_short", "left")
+    rows = rows.withColumns({"evaluated_tokens": F.coalesce("evaluated_tokens", F.lit(0)), "revision_verified": F.coalesce(F.col("hf_revision") == F.col("local_snapshot_revision"), F.lit(False)), "owt_sha256": F.lit(source_sha256)})
+    per = F.try_divide(F.col("sum_loss_nats"), F.greatest(F.lit(1), F.col("evaluated_bytes")).cast("double"))
+    rows = rows.withColumns({"loss_nats_per_source_byte": F.try_divide(F.col("sum_loss_nats"), F.greatest(F.lit(1), F.col("source_bytes")).cast("double")), "loss_nats_per_evaluated_byte": per})
+    return rows.select(*MODEL_FIELDS, *CACHE_FIELDS, *LOSS_FIELDS)
+
+
 def first_batches(losses: DataFrame, keys: list[str], batch: str, loss: str, n: int) -> DataFrame:
     """keys, n_batches, mean loss of the batches numbered 0 to n - 1; an error if there is none at all."""
     first = losses.where(F.col(batch) < n)

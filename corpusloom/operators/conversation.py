@@ -28,10 +28,11 @@ def without_last_answers(turns: DataFrame, has_calls: Column | None = None) -> D
     return turns.join(last, "conv_id").where("turn <= _l").drop("_l")
 
 
-def without_last_answer(turns: DataFrame) -> DataFrame:
-    """Drops one assistant turn at the end of each conversation, calls or not."""
+def without_last_answer(turns: DataFrame, has_calls: Column | None = None) -> DataFrame:
+    """Drops one assistant turn at the end of each conversation, calls or not; with ``has_calls`` only one without calls."""
+    plain = (F.col("role") == "assistant") & ~F.coalesce(has_calls if has_calls is not None else F.lit(False), F.lit(False))
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("_l"))
-    return turns.join(last, "conv_id").where("not (turn = _l and role = 'assistant')").drop("_l")
+    return turns.join(last, "conv_id").where(~((F.col("turn") == F.col("_l")) & plain)).drop("_l")
 
 
 def joined(turns: DataFrame, line: Column, sep: str, tail: str = "") -> DataFrame:
@@ -44,9 +45,9 @@ def joined(turns: DataFrame, line: Column, sep: str, tail: str = "") -> DataFram
 HEADS = {"user": "### User", "assistant": "### Assistant", "tool": "### Result"}
 
 
-def render_prompt(turns: DataFrame) -> DataFrame:
-    """System turns and a last assistant turn go; each turn has a header; a header for the assistant's answer is last."""
-    kept = without_last_answer(turns.where("role <> 'system'"))
+def render_prompt(turns: DataFrame, has_calls: Column | None = None) -> DataFrame:
+    """System turns and a last assistant turn without calls go; each turn has a header; one for the assistant's answer is last."""
+    kept = without_last_answer(turns.where("role <> 'system'"), has_calls)
     head = F.coalesce(*[F.when(F.col("role") == r, F.lit(h)) for r, h in HEADS.items()])
     return joined(kept.where(F.col("role").isin(*HEADS)), F.concat(head, F.lit("\n"), "text"), "\n\n", "\n\n### Assistant\n")
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.text import strict_json
 from .rules import _IGNORED, _KNOWN
 
 _MOMENT = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.,]\d+)?)?(Z|[+-]\d\d:?\d\d(:?\d\d)?)$"
@@ -126,7 +127,7 @@ def compiled(schema: dict | bool) -> Callable[[Column], Column]:
     """A function from a JSON text column to its errors, an array of ``place: keyword``; ['$: json'] for what is no JSON."""
 
     def run(text: Column) -> Column:
-        v = F.try_parse_json(text)
+        v = strict_json(text)
         root = schema if isinstance(schema, dict) else {}
         return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_errors(schema, v, F.lit("$"), root, ()))
 
@@ -163,7 +164,7 @@ def gated_write(df: DataFrame, errors: Column, path: str, most_rejected: int | N
 def with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """calls (sample_id, name, arguments, expected_result, ...) with a missing expected_result filled from a table of what tools
     gave (name, arguments, result, of which arguments are compared as JSON values), and executable: is there a result at all?"""
-    form = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))
+    form = lambda c: F.coalesce(F.to_json(strict_json(F.col(c))), F.col(c))
     known = results.select(F.col("name").alias("_n"), form("arguments").alias("_a"), "result").groupBy("_n", "_a").agg(F.min("result").alias("_result"), F.lit(True).alias("_there"))
     keyed = calls.withColumn("_a", form("arguments"))
     both = keyed.join(known, (keyed["name"] == known["_n"]) & (keyed["_a"] == known["_a"]), "left")

@@ -19,12 +19,17 @@ CALL = "array<struct<call_id: string, name: string, arguments: string, depends_o
 
 
 def generate(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """n samples: sample_id, task_type, question, expected_tool_calls, expected_answer, created_at. Values come from the
-    sample's number in a mixed radix, so any part can be made alone."""
+    """n samples, numbered from 0."""
+    return made_of(spark.range(n), seed)
+
+
+def made_of(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """A sample for each row's id: sample_id, task_type, question, expected_tool_calls, expected_answer, created_at. Values come
+    from the id in a mixed radix, so any part can be made alone."""
     v = F.col("id") + seed
     kind, city, topic, x, y = radix(v, [len(KINDS), len(CITIES), len(TOPICS), 17, 13])
     pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
-    rows = spark.range(n).select("id", pick(KINDS, kind).alias("task_type"), pick(CITIES, city).alias("city"), pick(TOPICS, topic).alias("topic"), (x + 2).alias("x"), (y + 3).alias("y"))
+    rows = ids.select("id", pick(KINDS, kind).alias("task_type"), pick(CITIES, city).alias("city"), pick(TOPICS, topic).alias("topic"), (x + 2).alias("x"), (y + 3).alias("y"))
     rows = rows.withColumn("sample_id", F.format_string("made-%06d", "id")).withColumn("expr", F.concat_ws(" + ", "x", "y"))
     call = lambda i, name, args, deps, result: F.struct(F.concat("sample_id", F.lit(f"-{i}")).alias("call_id"), F.lit(name).alias("name"), args.alias("arguments"), deps.alias("depends_on"), result.alias("expected_result"))
     none = F.array().cast("array<string>")

@@ -58,6 +58,14 @@ def class_plan(total: int, classes: list[str]) -> list[tuple[str, int]]:
     return [(c, total // len(classes) + (i < total % len(classes))) for i, c in enumerate(classes)]
 
 
+def class_counts(classes: DataFrame, name: str, total: Column) -> DataFrame:
+    """name, i (its place by name, from 0), n: equal counts of a total, the remainder to the first classes. classes: a row
+    for each class, and the total with it."""
+    w = W.orderBy(name)  # a row for each class
+    rows = classes.select(name, (F.row_number().over(w) - 1).cast("long").alias("i"), total.alias("_t"), F.count("*").over(W.partitionBy()).alias("_k"))
+    return rows.select(name, "i", (F.floor(F.col("_t") / F.col("_k")) + (F.col("i") < F.col("_t") % F.col("_k")).cast("long")).alias("n"))
+
+
 def held_out_tail(rank: Column, n: Column) -> Column:
     return rank > n - F.greatest(F.lit(1), F.floor(n * 5 / 100))
 

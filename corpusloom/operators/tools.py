@@ -123,6 +123,7 @@ def example_tools() -> ToolRegistry:
         .register("calculate", calculate, text("expression"))
         .register("weather", _weather, text("city"))
         .register("search", _search, text("query"))
+        .register("translate", _translate, {"type": "object", "required": ["text", "target"], "properties": {"text": {"type": "string", "minLength": 1}, "target": {"type": "string", "minLength": 1}}})
     )
 
 
@@ -146,6 +147,11 @@ def _search(query):
     return f"one result for {query}"
 
 
+def _translate(text, target):
+    """A service that is never there: the call succeeds, and its result is an error to report."""
+    return f"ERROR: translation is unavailable (text={text!r}, target={target!r})"
+
+
 def extract_calls(text: str | None, legacy_array_first: bool = False) -> list[dict] | None:
     """The calls in a generated text: JSON objects with a name, alone or in an array; None if there are none.
 
@@ -223,7 +229,7 @@ def grade_transcript(sample: dict, transcript: dict) -> dict[str, bool | None]:
         name = c.get("name")
         if not isinstance(name, str) or name not in tools:
             valid = None
-        elif check(tools[name], _arguments(c.get("arguments"))):
+        elif check(tools[name], c.get("arguments", {})):  # as they are: a text or a list is no object
             valid = False if valid else None
             break
     out["schema_valid"] = valid
@@ -275,11 +281,6 @@ def rollout_rewards(samples: DataFrame, rollouts: DataFrame, key: str = "sample_
     return graded(grade_frames(wanted, tagged.select("_id", "transcript"), "_id")).select("_id.*", "*").drop("_id")
 
 
-def as_transcript(row: DataFrame, calls: str = "extracted_calls", answer: str = "generated") -> DataFrame:
-    """Rows of an evaluation with the names that grading reads: tool_calls and final_answer. A null stays null."""
-    return row.withColumnsRenamed({calls: "tool_calls", answer: "final_answer"})
-
-
 def grade_frames(samples: DataFrame, transcripts: DataFrame, key: str = "sample_id") -> DataFrame:
     """key and eight nullable layers. samples: key, sample (JSON); transcripts: key, transcript (JSON)."""
     from .grade import LAYERS

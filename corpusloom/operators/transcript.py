@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strict_json
+
 CALL = "struct<id: string, name: string, arguments: string>"
 FAULT = "struct<position: int, fault: string, id: string>"
 STATE = f"struct<position: int, pending: array<string>, asked: array<string>, answered: array<string>, faults: array<{FAULT}>>"
@@ -65,7 +67,7 @@ def final_position(messages: Column) -> Column:
 
 def canonical(json: Column) -> Column:
     """A JSON text with sorted keys and no spaces; what is no JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(json)), json)
+    return F.coalesce(F.to_json(strict_json(json)), json)
 
 
 def transcript_faults(conversations: DataFrame, key: str = "conv_id") -> DataFrame:

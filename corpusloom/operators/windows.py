@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import seeded
 from .ranks import ranked
 
 
@@ -28,9 +29,22 @@ def causal_windows(stream: DataFrame, keys: list[str], pos: str, token: str, len
     return kept.select(*keys, "window", F.slice(ids, 1, length).alias("inputs"), F.slice(ids, 2, length).alias("targets"))
 
 
-def random_starts(keys: DataFrame, seed: int, tokens: int, length: int, *by: str) -> DataFrame:
-    """A reproducible window start from 0 to tokens - length - 1 for each row."""
-    return keys.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(tokens - length)))
+def random_starts(keys: DataFrame, seed: int, tokens: Column | int, length: int, *by: str) -> DataFrame:
+    """A reproducible window start from 0 to tokens - length - 1 for each row, from a digest that any engine has."""
+    number = F.conv(F.left(seeded(seed, F.concat_ws(":", *by)), F.lit(12)), 16, 10).cast("long")
+    return keys.withColumn("start", number % ((tokens if isinstance(tokens, Column) else F.lit(tokens)) - length))
+
+
+def first_rows(stream: DataFrame, keys: list[str], pos: str, token: str, length: int, batch: int) -> DataFrame:
+    """keys, row (from 0), tokens: the first batch * length tokens of each stream, as batch rows. A stream that has not one token
+    more than that is an error. Only tokens that are needed are shuffled."""
+    need = batch * length
+    short = stream.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") < need + 1)
+    if not short.isEmpty():
+        raise ValueError(f"a stream is shorter than {need + 1} tokens")
+    own = stream.where(F.col(pos) < need).select(*keys, F.floor(F.col(pos) / length).alias("row"), F.struct(F.col(pos).alias("i"), F.col(token).alias("t")).alias("x"))
+    rows = own.groupBy(*keys, "row").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return rows.select(*keys, "row", F.transform("x", lambda x: x["t"]).alias("tokens"))
 
 
 def scored_tokens(n: Column, length: int) -> Column:

@@ -110,10 +110,12 @@ def contiguous_split(spark, sf_dir):
     return ranked.select("doc_id", splits.contiguous_split(F.col("r"), F.col("n")).alias("split"), splits.held_out_tail(F.col("r"), F.col("n")).alias("tail"))
 
 
-@query("SELECT i, c AS class, CAST(103 // 6 + (i < 103 % 6)::INT AS BIGINT) AS n FROM (SELECT unnest(range(6)) AS i) JOIN (SELECT unnest(['no_tool', 'single_tool', 'multi_tool', 'tool_error', 'insufficient_result', 'requirement_change']) AS c, unnest(range(6)) AS j) ON i = j")
+@query("SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i, CAST(t // k + (row_number() OVER (ORDER BY lang) - 1 < t % k)::INT AS BIGINT) AS n FROM (SELECT lang, sum(count(*)) OVER () + 3 AS t, count(*) OVER () AS k FROM documents WHERE lang IS NOT NULL GROUP BY lang)")
 def class_plan(spark, sf_dir):
-    plan = splits.class_plan(103, ["no_tool", "single_tool", "multi_tool", "tool_error", "insufficient_result", "requirement_change"])
-    return spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(plan)], "i long, class string, n long")
+    """As many samples as documents, and three, in equal counts over the languages."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    total = docs.agg((F.count("*") + 3).alias("t"))
+    return splits.class_counts(docs.select("lang").distinct().crossJoin(F.broadcast(total)), "lang", F.col("t"))  # one row
 
 
 @query(f"SELECT sha256(text) AS sha, count(DISTINCT split) AS n_splits, count(*) AS n FROM ({_STRATIFIED}) GROUP BY 1 HAVING count(DISTINCT split) > 1")

@@ -100,6 +100,31 @@ def causal_windows(spark, sf_dir):
     return out.select("user_id", F.col("window").alias("window_no"), F.get("inputs", F.lit(0)).alias("first_input"), F.get("inputs", F.lit(7)).alias("last_input"), F.get("targets", F.lit(7)).alias("last_target"))
 
 
+@query("WITH s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events) SELECT event_type, pos // 16 AS row_no, list_sum(list(event_id ORDER BY pos))::BIGINT AS total, min(event_id) AS first, max(event_id) AS last FROM s WHERE pos < 64 GROUP BY ALL")
+def benchmark_inputs(spark, sf_dir):
+    """The first 4 rows of 16 tokens of each event type's stream."""
+    w = W.partitionBy("event_type").orderBy("event_id")
+    stream = table(spark, sf_dir, "events").select("event_type", "event_id", (F.row_number().over(w) - 1).alias("pos"))
+    rows = windows.first_rows(stream, ["event_type"], "pos", "event_id", 16, 4)
+    return rows.select("event_type", F.col("row").cast("long").alias("row_no"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("tokens", F.lit(0)).alias("first"), F.get("tokens", F.lit(15)).alias("last"))
+
+
+@query("""WITH l AS (SELECT event_type AS m, count(*) AS n, sum(value / 100) AS total, avg(value / 100) AS mean FROM events WHERE event_type <> 'view' GROUP BY 1), m AS (SELECT event_type AS m, count(*) AS bytes FROM events GROUP BY 1)
+SELECT m.m AS model_short, m.m = 'click' AS revision_verified, coalesce(n, 0) AS evaluated_tokens, round(total, 4) AS sum_loss_nats, round(mean, 6) AS mean_loss_nats, round(exp(mean), 6) AS perplexity, bytes AS source_bytes, bytes // 2 AS evaluated_bytes,
+  round(total / bytes, 6) AS loss_nats_per_source_byte, round(total / greatest(1, bytes // 2), 6) AS loss_nats_per_evaluated_byte, 25 AS n_fields FROM m LEFT JOIN l ON l.m = m.m""")
+def loss_records(spark, sf_dir):
+    """Event types as models, values as losses; one type has none that are finite."""
+    e = table(spark, sf_dir, "events")
+    types = e.groupBy(F.col("event_type").alias("model_short")).agg(F.count("*").alias("n"))
+    text = {c: F.lit(c).alias(c) for c in ("model_local_dir", "source_hub", "tokenizer_revision", "dtype", "device")}
+    models = types.select("model_short", F.concat(F.lit("org/"), "model_short").alias("model_id"), F.when(F.col("model_short") == "click", "r1").otherwise("r2").alias("hf_revision"), F.lit("r1").alias("local_snapshot_revision"), F.lit(512).alias("seq_len"), F.lit(1.5).alias("elapsed_seconds"), F.create_map(F.lit("config.json"), F.lit("0")).alias("key_file_sha256"), *text.values())
+    caches = types.select("model_short", F.lit("c").alias("cache_sha256"), F.lit("s").alias("source_sha256"), F.col("n").alias("source_bytes"), F.floor(F.col("n") / 2).alias("evaluated_bytes"), F.col("n").alias("encoded_tokens"))
+    losses = e.select(F.col("event_type").alias("model_short"), F.when(F.col("event_type") == "view", float("nan")).otherwise(F.col("value") / 100).alias("loss"))
+    out = compare.loss_records(models, caches, losses, "loss", "s")
+    rounded = [F.round(c, d).alias(c) for c, d in (("sum_loss_nats", 4), ("mean_loss_nats", 6), ("perplexity", 6), ("loss_nats_per_source_byte", 6), ("loss_nats_per_evaluated_byte", 6))]
+    return out.select("model_short", "revision_verified", "evaluated_tokens", "source_bytes", "evaluated_bytes", *rounded, F.lit(len(out.columns)).alias("n_fields"))
+
+
 @query("SELECT user_id, count(*) AS n, CAST(count(*) - ceil((count(*) - 1) / 16) AS BIGINT) AS scored FROM events GROUP BY user_id")
 def scoring_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("scored", windows.scored_tokens(F.col("n"), 16).cast("long"))

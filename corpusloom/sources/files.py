@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +130,8 @@ def new_only(df: DataFrame, spark: SparkSession, path: str, key: str) -> DataFra
     """Rows whose key is not in the output yet: resuming a job without doing work again."""
     try:
         done = spark.read.parquet(path).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return df
     return df.join(done, key, "left_anti")
@@ -151,8 +152,10 @@ def settings(supplied: dict, configured: dict, defaults: dict) -> dict:
 
 
 def load_settings(path: str) -> dict:
-    """A run's configuration from a YAML or JSON file of one level."""
+    """A run's configuration from a JSON file, or from a YAML file of one level: nested blocks and lists are an error, as are
+    lines without a value."""
     import json
+    import re
 
     with open(path, encoding="utf-8") as f:
         body = f.read()
@@ -161,11 +164,15 @@ def load_settings(path: str) -> dict:
     except ValueError:
         pass
     out = {}
-    for line in body.splitlines():
+    for n, line in enumerate(body.splitlines(), 1):
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() in ("---", "..."):
+            continue
         name, colon, value = line.partition(":")
-        if colon and not line.lstrip().startswith("#"):
-            try:
-                out[name.strip()] = json.loads(value.strip())
-            except ValueError:
-                out[name.strip()] = value.strip().strip("'\"")
+        value = re.sub(r"(^|\s)#.*$", "", value).strip() if not value.strip().startswith(("'", '"')) else value.strip()
+        if line[0].isspace() or line.startswith("-") or not colon or not value or value in ("|", ">"):
+            raise ValueError(f"{path}, line {n}: only names with plain values are read, no blocks or lists: {line.strip()}")
+        try:
+            out[name.strip()] = json.loads(value)
+        except ValueError:
+            out[name.strip()] = {"~": None, "yes": True, "no": False}.get(value, value.strip("'\""))
     return out

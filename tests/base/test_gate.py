@@ -42,7 +42,7 @@ def value(rng, depth=0):
 def test_compiled_equals_the_interpreter(spark):
     rng = random.Random(8)
     docs = [value(rng) for _ in range(700)] + [{"a": 1, "b": "xx"}, {"k": 1}, [2, "a"], {"a": [[1, 2], [3]]}, {"a": [[1, "x"]]}, {"b": {"k": [1, 2]}}]
-    texts = [json.dumps(d) for d in docs] + ["{broken", "", None]
+    texts = [json.dumps(d) for d in docs] + ["{broken", "", None, "{} {}", "1 2", "[1]]", "1,2] x", "1] [", "{}, {}"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
     for schema in SCHEMAS:
         got = {r.i: sorted(r.e) for r in rows.select("i", gate.compiled(schema)(F.col("text")).alias("e")).collect()}
