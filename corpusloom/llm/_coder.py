@@ -12,6 +12,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from ..functions.merging import MergeTable, merge_words
 from .bpe_verify import KEPT_WORDS, LONG_WORD, Model, _Coder
 
 TOP = 0x250
@@ -33,7 +34,8 @@ class SliceCoder:
         self.second = np.zeros(TOP, np.uint8)  # the letter behind an apostrophe that ends the cut, 1 if it is cut at once
         for x, y in SHORT.items():
             self.second[ord(x)] = ord(y) if y else 1
-        self.wholes = np.array([model.merges[k // model.n, k % model.n][1] for k in model.pair_keys.tolist()], np.int64)
+        merges = np.array([(a, b, whole) for (a, b), (_, whole) in model.merges.items()], np.int64)  # by rank
+        self.table = MergeTable(*merges.T, model.n)
         self.clear()
 
     def _class(self, x: str) -> int:
@@ -63,61 +65,25 @@ class SliceCoder:
         return which
 
     def merged(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging of many words at once: token ids of all, and how many each has.
-
-        In each round every word makes its merge of least rank, the leftmost of equals. A word without one leaves.
-        """
-        m, far = self.model, 1 << 60
+        """Exact merging of many words at once: token ids of all, and how many each has. Very long words go one by one."""
+        m = self.model
         size = np.array([len(x) for x in raws])
         body = np.frombuffer(b"".join(raws), np.uint8)
         ends = np.cumsum(size)
         token = m.first[body].astype(np.int64)
         token[ends - 1] = m.last[body[ends - 1]]
         word = np.repeat(np.arange(len(raws)), size)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        long = size > LONG_WORD
-        for i in np.flatnonzero(long):
-            ids = np.array(m.merged(raws[i]), np.int64)
-            done.append((np.full(len(ids), i), ids))
-        if len(done):
-            stay = ~long[word]
-            word, token = word[stay], token[stay]
-        rank, whole = self._ranks(token[:-1], token[1:], word[1:] == word[:-1]) if len(word) else (np.zeros(0, np.int64),) * 2
-        rank, whole = np.append(rank, far), np.append(whole, 0)
-        while len(word):
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, begin)
-            count = np.diff(np.append(begin, len(word)))
-            live = least < far
-            if not live.all():
-                stay = np.repeat(live, count)
-                done.append((word[~stay], token[~stay]))
-                word, token, rank, whole = word[stay], token[stay], rank[stay], whole[stay]
-                if not len(word):
-                    break
-                least, count = least[live], count[live]
-                begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-            hit = np.flatnonzero(rank == np.repeat(least, count))
-            hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])]  # the leftmost in each word
-            token[hit] = whole[hit]
-            stay = np.ones(len(word), bool)
-            stay[hit + 1] = False
-            now = hit - np.arange(len(hit))  # places after the right halves are gone
-            word, token, rank, whole = word[stay], token[stay], rank[stay], whole[stay]
-            for at in (now, now - 1):  # pairs that changed
-                at = at[at >= 0]
-                right = np.minimum(at + 1, len(word) - 1)
-                rank[at], whole[at] = self._ranks(token[at], token[right], (word[at] == word[right]) & (right > at))
-        words, ids = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
-        order = np.argsort(words, kind="stable")
-        return ids[order].astype(np.int32), np.bincount(words, minlength=len(raws))
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and outcome of merging pairs; no rank where there is no such merge."""
-        key = left * self.model.n + right
-        at = np.minimum(np.searchsorted(self.model.pair_keys, key), len(self.model.pair_keys) - 1)
-        known = fits & (self.model.pair_keys[at] == key)
-        return np.where(known, self.model.pair_ranks[at], 1 << 60), self.wholes[at]
+        long = np.flatnonzero(size > LONG_WORD)
+        if not len(long):
+            ids, word = merge_words(token, word, self.table)
+        else:
+            short = ~(size > LONG_WORD)[word]
+            ids, word = merge_words(token[short], word[short], self.table)
+            late = [np.array(m.merged(raws[i]), np.int64) for i in long]
+            word = np.concatenate([word, np.repeat(long, [len(x) for x in late])])
+            order = np.argsort(word, kind="stable")
+            ids, word = np.concatenate([ids, *late])[order], word[order]
+        return ids.astype(np.int32), np.bincount(word, minlength=len(raws))
 
     def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """All words of plain texts, and the number of words up to each text's begin and end."""

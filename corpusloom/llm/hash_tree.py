@@ -3,9 +3,12 @@
 Method. Shards are leaves of a tree of regions, racks and shards. From the root down, each child of the node reached draws
 -ln(u) / weight for the document, u being a hash of the document's id and the child's name in (0, 1), and the least draw wins;
 a child's weight is the sum of its leaves'. Changing a weight changes only this child's draw (and those of its ancestors), so
-documents move only into or out of subtrees whose weights change. A tree is laid out for ``planned`` shards, in regions of
-eight; each shard beyond is a region of its own, so it draws against whole regions and takes documents only into itself, at
-any count. The grown shard is that of the same tree with one more such region.
+documents move only into or out of subtrees whose weights change.
+
+One more shard takes documents only into itself, at any count. A tree is laid out for ``planned`` shards, in regions of eight, and
+each shard beyond is a region of its own, which draws against whole regions. With fewer shards than planned the same tree
+stands, and a document that draws a shard that is not there yet draws again, TRIES times in all; then all shards that are there
+draw at once, as if each were a region. A shard that comes to be thus takes the documents that drew it before the one they had.
 
 All is native: the draws of a node's children are a literal array, one projection for each level, before any shuffle. Only
 ids, sizes and checksums are shuffled, for the slots; these are numbered within (shard, block of ids) and get the block's
@@ -20,6 +23,8 @@ from pyspark.sql.window import Window as W
 
 REGION, RACK = 8, 4  # shards of a region and of a rack
 BLOCKS = 64
+PLANNED = 24
+TRIES = 3
 DIGITS = 12  # hex digits of a draw
 
 
@@ -72,21 +77,34 @@ def placed(df: DataFrame, key: str, name: str, t: Tree, grown: str | None = None
     return df.drop("_region", "_rack")
 
 
-def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", planned: int | None = None, weights: dict[int, float] | None = None) -> DataFrame:
+def laid_out(df: DataFrame, key: str, name: str, shards: int, planned: int, grown: str, weights: dict[int, float] | None = None) -> DataFrame:
+    """df with the shard of each key among ``shards`` ones, and that with one more, whatever the count."""
+    if shards >= planned:
+        return placed(df, key, name, tree(shards, weights, planned), grown)
+    whole, tries = tree(planned, weights), [f"_try{i}" for i in range(TRIES)]
+    for i, c in enumerate(tries):
+        df = df.withColumn("_key", F.concat(key, F.lit(f"/{i}")) if i else F.col(key))
+        df = placed(df, "_key", c, whole)
+    df = placed(df, key, "_any", tree(shards, weights, 0), "_any_more")
+    first = lambda n, rest: F.coalesce(*[F.when(F.col(c) < n, F.col(c)) for c in tries], F.col(rest))
+    return df.withColumn(name, first(shards, "_any")).withColumn(grown, first(shards + 1, "_any_more")).drop("_key", "_any", "_any_more", *tries)
+
+
+def hash_tree_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", planned: int = PLANNED, weights: dict[int, float] | None = None) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 8), text_crc32, law ('key'), shard, slot (gapless from 0 in each shard), grown_shard
     (the shard if there were one more).
 
     Null texts have size 8 and the checksum of no bytes. A null id is hashed as the word null. Repeated rows go to one
     shard and get slots of their own. Other columns are not read. An empty table gives an empty result. ``planned``: the
-    number of shards that the tree was laid out for; with it given, ids and the shard count decide, and growing by one moves
-    rows only into the new shard, again and again.
+    number of shards that the tree is laid out for, the same at every count: ids and the shard count decide, and growing by one
+    moves rows only into the new shard, again and again.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     rows = rows.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = placed(rows, "_k", "shard", tree(shards, weights, planned), "grown_shard")
+    rows = laid_out(rows, "_k", "shard", shards, planned, "grown_shard", weights)
     rows = rows.withColumn("_b", F.expr(f"cast(conv(left(md5(concat(_k, ':b')), 4), 16, 10) as int) % {BLOCKS}")).drop("_k")
     counts = rows.groupBy("shard", "_b").count()
     before = counts.withColumn("_o", F.sum("count").over(W.partitionBy("shard").orderBy("_b")) - F.col("count")).drop("count")

@@ -98,6 +98,21 @@ def test_growth_takes_rows_only_into_the_new_shard(spark, planned):
             assert all(r[f"g{n}"] == r[f"s{n + 1}"] for r in rows)
 
 
+def test_growth_at_every_count_without_a_plan(spark):
+    """The shard count alone decides: the grown shard is that of one more, and rows move only into it."""
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    last = None
+    for n in [*range(1, 41)]:
+        now = {r.doc_id: (r.shard, r.grown_shard) for r in hash_tree.laid_out(docs.withColumn("_k", F.col("doc_id").cast("string")), "_k", "shard", n, hash_tree.PLANNED, "grown_shard").collect()}
+        assert all(g in (s, n) and 0 <= s < n for s, g in now.values())
+        assert sum(g == n for _, g in now.values()) == pytest.approx(700 / (n + 1), abs=6 * (700 / (n + 1)) ** 0.5)
+        if last:
+            assert {k: s for k, (s, _) in now.items()} == last
+        last = {k: g for k, (_, g) in now.items()}
+    rows = hash_tree.hash_tree_shards(docs, 10).collect()
+    assert {r.doc_id: r.grown_shard for r in rows} == {r.doc_id: r.shard for r in hash_tree.hash_tree_shards(docs, 11).collect()}
+
+
 def test_tree_against_sql(spark, tmp_path):
     import duckdb
 
