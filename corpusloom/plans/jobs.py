@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bpe, grade, samples, tools, windows
+from ..operators import bpe, grade, native_grade, samples, tools, windows
 from . import query, table
 
 VOCABULARY = 4096
@@ -68,12 +68,15 @@ def topo_execute(spark, sf_dir):
 _L = ("parse_success", "schema_valid", "tool_name_correct", "argument_value_correct", "call_plan_matches", "execution_success", "result_grounded", "final_answer_correct")
 
 
-@query(f"""WITH e AS (SELECT printf('made-%06d', event_id) AS sample_id, {_TASK} AS task, event_id // 6 % 4 AS turn FROM events), n AS (SELECT *, task = 'no_tool' AS none, task = 'multi_tool' AS two FROM e),
+_GRADES = f"""WITH e AS (SELECT printf('made-%06d', event_id) AS sample_id, {_TASK} AS task, event_id // 6 % 4 AS turn FROM events), n AS (SELECT *, task = 'no_tool' AS none, task = 'multi_tool' AS two FROM e),
 g AS (SELECT sample_id, turn < 2 AS parse_success, CASE WHEN turn < 2 THEN turn = 1 OR none OR NOT (task IN ('multi_tool', 'requirement_change')) END AS schema_valid, CASE turn WHEN 0 THEN true WHEN 1 THEN none END AS tool_name_correct,
   CASE turn WHEN 0 THEN true WHEN 1 THEN none END AS argument_value_correct, CASE turn WHEN 0 THEN true WHEN 1 THEN none END AS call_plan_matches, CASE turn WHEN 0 THEN true WHEN 1 THEN CASE WHEN none THEN true END END AS execution_success,
   CASE turn WHEN 0 THEN true WHEN 1 THEN CASE WHEN none THEN true END END AS result_grounded, CASE WHEN turn = 0 OR none THEN true ELSE false END AS final_answer_correct FROM n),
 f AS (SELECT *, {' + '.join(f'({x} IS NOT NULL)::INT' for x in _L)} AS applied, {' + '.join(f'coalesce({x}::INT, 0)' for x in _L)} AS ok FROM g)
-SELECT * EXCLUDE (applied, ok), CASE {' '.join(f"WHEN NOT {x} THEN '{x}'" for x in _L)} END AS first_failure, CASE WHEN applied = ok AND applied > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward_binary, CASE WHEN applied > 0 THEN ok / applied ELSE 0.0 END AS reward_layered FROM f""")
+SELECT * EXCLUDE (applied, ok), CASE {' '.join(f"WHEN NOT {x} THEN '{x}'" for x in _L)} END AS first_failure, CASE WHEN applied = ok AND applied > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward_binary, CASE WHEN applied > 0 THEN ok / applied ELSE 0.0 END AS reward_layered FROM f"""
+
+
+@query(_GRADES)
 def transcript_grades(spark, sf_dir):
     """Samples made of events, graded against transcripts that are right, have no calls, or are broken in two ways, by turns.
     The tools' schemas want an expression, or take anything; weather's wants numbers, so that its arguments break it."""
@@ -90,6 +93,20 @@ def transcript_grades(spark, sf_dir):
     return grade.graded(tools.grade_frames(sample, said))
 
 
+@query(_GRADES)
+def native_grades(spark, sf_dir):
+    """The same samples and transcripts as columns, graded by built-in functions."""
+    made = _made(spark, sf_dir)
+    turn = F.floor(F.substring("sample_id", 6, 20).cast("long") / 6) % 4
+    done = F.transform("expected_tool_calls", lambda c: F.named_struct(F.lit("call_id"), c["call_id"], F.lit("name"), c["name"], F.lit("arguments"), c["arguments"], F.lit("depends_on"), c["depends_on"], F.lit("result"), c["expected_result"], F.lit("outcome"), F.lit("success")))
+    calls = F.when(turn == 0, done.cast(native_grade.ISSUED)).when(turn == 1, F.array().cast(native_grade.ISSUED))
+    answer = F.when(turn == 0, F.col("expected_answer")).when(turn == 1, "no").when(turn == 3, "x")
+    schema = lambda field, kind: {"type": "object", "required": [field], "properties": {field: {"type": kind}}}
+    rows = made.withColumns({"tool_calls": calls, "final_answer": answer})
+    out = native_grade.graded_layers(rows, {"calculate": schema("expression", "string"), "weather": schema("city", "number"), "search": schema("query", "string")})
+    return grade.graded(out.select("sample_id", *grade.LAYERS))
+
+
 @query()
 def augmented_samples(spark, sf_dir):
     """Samples made of events, and two variants of each that has one call."""
