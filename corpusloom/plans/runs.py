@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grade, runs
-from ..sources import sample_store
+from ..operators import grade, results, runs
+from ..sources import sample_store, token_stream
 from ..sources.shared import shared_folder
 from ..streaming import steps as sink
 from . import query, table
@@ -172,3 +172,38 @@ def step_commits(spark, sf_dir):
         put(e.where(F.floor(F.col("step") / 1000) == k), k)
     rows = spark.read.parquet(path)
     return rows.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count_if(F.col("kind") == "step").alias("n_steps"), F.max("global_step").alias("global_step"), F.max("samples_consumed").alias("samples_consumed"))
+
+
+_RESULT = {
+    "type": "object",
+    "required": ["run", "seed", "curve", "caches", "final_loss"],
+    "properties": {"run": {"enum": ["click", "purchase", "signup", "view"]}, "final_loss": {"type": "number", "maximum": 60}, "curve": {"type": "array", "minItems": 2, "items": {"type": "object", "required": ["step", "loss"], "properties": {"step": {"type": "integer", "minimum": 0}}}}, "caches": {"type": "array", "minItems": 1}},
+}
+
+
+@query("""WITH p AS (SELECT event_type AS run, event_id AS step, value AS loss FROM events WHERE event_id % 100 = 0), r AS (SELECT event_type AS run, count(*) AS n FROM events GROUP BY 1),
+c AS (SELECT run, count(*) AS n_points, round(arg_max(loss, step), 6) AS final_loss FROM p GROUP BY run)
+SELECT r.run, coalesce(n_points, 0) AS n_points, final_loss, CASE WHEN r.run = 'view' THEN 0 ELSE 2 END AS n_caches, array_to_string(list_sort(list_filter([CASE WHEN r.run NOT IN ('click', 'purchase', 'signup', 'view') THEN '$.run: enum' END, CASE WHEN final_loss IS NULL THEN '$.final_loss: type' WHEN final_loss > 60 THEN '$.final_loss: maximum' END,
+  CASE WHEN coalesce(n_points, 0) < 2 THEN '$.curve: minItems' END, CASE WHEN r.run = 'view' THEN '$.caches: minItems' END], lambda x: x IS NOT NULL)), ', ') AS errors FROM r LEFT JOIN c ON c.run = r.run""")
+def assembled_results(spark, sf_dir):
+    """A document for each event type as a run, with every hundredth event as its curve, checked by a schema."""
+    e = table(spark, sf_dir, "events")
+    made = e.groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("seed"))
+    points = e.where("event_id % 100 = 0").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    caches = made.where("run <> 'view'").select("run", F.explode(F.array(F.lit("train"), F.lit("validation"))).alias("split"), F.col("seed").alias("token_count"))
+    out = results.assembled(made, points, caches, _RESULT)
+    v = F.parse_json("body")
+    size = lambda f: F.size(F.try_variant_get(v, f"$.{f}", "array<variant>")).cast("long")
+    return out.select("run", size("curve").alias("n_points"), F.round(F.try_variant_get(v, "$.final_loss", "double"), 6).alias("final_loss"), size("caches").alias("n_caches"), F.array_join(F.array_sort("errors"), ", ").alias("errors"))
+
+
+@query("SELECT lang AS split, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS token_count, CAST(sum(strlen(text)) AS BIGINT) AS encoded_bytes, 's' AS source_sha256, 't' AS tokenizer_sha256 FROM documents WHERE lang IN ('en', 'de') AND text IS NOT NULL GROUP BY lang")
+def cache_records(spark, sf_dir):
+    """Caches of two languages' documents, as results record them."""
+    docs, path = table(spark, sf_dir, "documents").where("text is not null"), shared_folder(spark, "records")
+    for lang in ("en", "de"):
+        own = docs.where(F.col("lang") == lang)
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0]
+        coded = own.select(F.transform(F.split("text", " ", -1), F.char_length).alias("ids"))
+        token_stream.write_stream(coded, path, lang, source={"sha256": "s", "encoded_bytes": size, "size_bytes": size}, tokenizer={"artifact_sha256": "t"})
+    return results.cache_records(spark, path, ["en", "de"])
