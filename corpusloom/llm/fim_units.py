@@ -63,13 +63,15 @@ def _block_of(cut: str) -> Column:
 
 def cut_offsets(blocks: DataFrame) -> DataFrame:
     """key, n, at_low, at_high: code points before the cuts of each document."""
-    heads = blocks.where("block = 0").select("row", "key", "n", "low", "high")
+    # a cut is asked of the block of its last unit, with the text of that block; one before all units of the first block
+    cuts = F.filter(F.array_distinct(F.array("low", "high")), lambda c: F.greatest(F.floor((c - 1) / BLOCK), F.lit(0)) == F.col("block"))
+    requests = blocks.where("units is not null or block = 0").select("row", "block", "key", "n", "low", "high", "units", F.explode(cuts).alias("cut"))
     running = W.partitionBy("row").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    found = blocks.select("row", "block", "units", F.coalesce(F.sum("length").over(running), F.lit(0)).alias("before")).where("units is not null")
-    requests = heads.select("row", "key", "n", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("cut")).withColumn("block", _block_of("cut"))
-    asked = requests.join(found, ["row", "block"], "left")
+    lengths = blocks.select("row", "block", "length", (F.col("units").isNotNull() | (F.col("block") == 0)).alias("asked"))
+    before = lengths.select("row", "block", "asked", F.coalesce(F.sum("length").over(running), F.lit(0)).alias("before")).where("asked").drop("asked")
+    asked = requests.join(before, ["row", "block"])
     # the units before the cut in its block; a cut before all units has none
-    inside = F.when(F.col("units").isNotNull(), F.slice(F.regexp_extract_all("units", F.lit(UNIT), F.lit(0)), 1, ((F.col("cut") - 1) % BLOCK + 1).cast("int")))
+    inside = F.when(F.col("cut") > 0, F.slice(F.regexp_extract_all("units", F.lit(UNIT), F.lit(0)), 1, ((F.col("cut") - 1) % BLOCK + 1).cast("int")))
     units = asked.select("row", "block", "cut", "key", "n", "low", "high", "before", F.posexplode_outer(inside).alias("unit", "text"))
     upto = W.partitionBy("row", "block", "cut").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = units.select("key", "n", "low", "high", "cut", "unit", (F.col("before") + F.sum(F.char_length("text")).over(upto)).alias("at"))
