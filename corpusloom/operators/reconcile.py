@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD = 3
-#: What a reference looks like, what runs a script, suffixes that may be left out, endings of unfinished names.
+#: What a reference looks like, suffixes that may be left out, endings of unfinished names. A script is any path to
+#: a Python file in a folder.
 REFERENCE = r"artifacts/[A-Za-z0-9_./\-*{}<>,=]+"
-INVOCATION = r"((?:scripts|architecture_lab)/[A-Za-z0-9_./-]+\.py)\b[^#\n]*"
+INVOCATION = r"((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.py)\b"
 EXTENSIONS = (".json", ".png", ".md", ".txt", ".csv", ".yaml", ".pt", ".ckpt", ".safetensors", ".bin")
 UNFINISHED = ("-", "_", "...")
 
