@@ -1,20 +1,20 @@
 """Byte-pair vocabularies: training on a word table, artifacts, encoding and decoding of frames.
 
 Spark counts words (one shuffle of each task's distinct words). The order of merges is sequential by nature: it is found on the
-driver over distinct words, as flat arrays of token ids, with an index from pairs to words and a heap of counts, and only
-words that a merge changes are looked at. Encoding merges the distinct pretokens of a batch all at once.
+driver over distinct words, as one flat array of two bytes a token, that is scanned for each merge; counts of pairs are kept
+for pairs that are there only. Encoding merges the distinct pretokens of a batch all at once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,124 +23,136 @@ from ..functions.text import special_pretokens
 from .rules import canonical_json
 
 KEPT_WORDS = 200_000
-SHIFT = 32  # a pair as one number: left id, right id
-
-
-class _Candidate:
-    """Orders a heap by count, then by the greatest pair of byte strings."""
-
-    __slots__ = ("key", "n", "pair")
-
-    def __init__(self, n: int, key: int, pair: tuple[bytes, bytes]):
-        self.n, self.key, self.pair = n, key, pair
-
-    def __lt__(self, other):
-        return (self.n, self.pair) > (other.n, other.pair)
+SHIFT, LOW = 32, (1 << 32) - 1  # a pair as one number: left id, right id
+PART = 1 << 16  # words that array passes take at once
+COMPACT = 64  # merges after which slots are closed up
 
 
 class _Corpus:
-    """Distinct words as token ids in one flat array, each in a slot of its own, with the words that have each pair."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.tokens = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        self.counts = counts.astype(np.int64)
-        key, word = self.pairs(*self.gathered(np.arange(len(words))))
-        self.keys, first = np.unique(key, return_index=True)
-        self.of_key = np.split(word, first[1:]) if len(first) else []
-        self.later: dict[int, list[np.ndarray]] = {}
+    """Distinct words as token ids in one flat array, each in a slot of its own; behind a word its slot is filled with a number
+    that is no token, at least one, so that no pair reaches over two words."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray, counts: np.ndarray, most_ids: int):
+        kind = np.uint16 if most_ids < 1 << 16 else np.uint32
+        self.end = np.iinfo(kind).max
+        self.size = size.astype(np.int32)
+        self.counts = counts.astype(np.int64 if len(counts) and counts.max() >= 1 << 31 else np.int32)
+        self.tokens = np.full(len(data) + len(size), self.end, kind)
+        for part in _parts(np.arange(len(size))):
+            a, b = (int(self.size[:n].sum(dtype=np.int64)) for n in (part[0], part[-1] + 1)) if len(part) else (0, 0)
+            self.tokens[a + part[0] + np.arange(b - a) + np.repeat(np.arange(len(part)), self.size[part])] = data[a:b]
+        place = np.int32 if len(self.tokens) < 1 << 31 else np.int64
+        self.begin = np.cumsum(self.size + 1, dtype=place) - self.size - 1
 
     def gathered(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of some words, and each one's word."""
         size = self.size[words]
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.tokens[np.repeat(self.begin[words], size) + place], np.repeat(words, size)
+        return self.tokens[np.repeat(self.begin[words], size) + place].astype(np.int64), np.repeat(words, size)
 
-    @staticmethod
-    def pairs(tokens: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each pair of each word once, by pair."""
+    def sums(self, tokens: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of some words and how often they come, a word that has one counting with all its occurrences in the corpus."""
         inner = word[1:] == word[:-1]
         key, word = ((tokens[:-1] << SHIFT) | tokens[1:])[inner], word[1:][inner]
         order = np.lexsort((word, key))
         key, word = key[order], word[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (word[1:] != word[:-1])
-        return key[new], word[new]
-
-    def sums(self, key: np.ndarray, word: np.ndarray) -> dict[int, int]:
-        """How often each pair comes, a word that has it counting with all its occurrences in the corpus."""
-        if not len(key):
-            return {}
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return dict(zip(key[first].tolist(), np.add.reduceat(self.counts[word], first).tolist(), strict=True))
-
-    def words_with(self, key: int) -> np.ndarray:
-        """Words that have, or once had, a pair."""
-        at = np.searchsorted(self.keys, key)
-        found = [self.of_key[at]] if at < len(self.keys) and self.keys[at] == key else []
-        return np.unique(np.concatenate([*found, *self.later.get(key, [])]))
-
-    def merge(self, key: int, whole: int) -> dict[int, int]:
-        """Makes a merge in all words that have it; gives the changes of counts."""
-        tokens, word = self.gathered(self.words_with(key))
+        return _summed(key[new], self.counts[word[new]])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.sums(*self.gathered(words)) for words in _parts(np.arange(len(self.size)))]
+        return _summed(*map(np.concatenate, zip(*found, strict=True))) if found else _NOTHING
+
+    def merge(self, key: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+        """Makes a merge in all words that have it; gives the pairs whose counts change, and by how much."""
+        at = np.flatnonzero(self.tokens == key >> SHIFT)  # never the last place
+        at = at[self.tokens[at + 1] == key & LOW]
+        words = np.searchsorted(self.begin, at, "right") - 1
+        found = [x for part in _parts(words[np.append(True, words[1:] != words[:-1])] if len(words) else words) for x in self.merged(part, key, whole)]
+        key_, change = _summed(*map(np.concatenate, zip(*found, strict=True))) if found else _NOTHING
+        return key_[change != 0], change[change != 0]
+
+    def merged(self, words: np.ndarray, key: int, whole: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        tokens, word = self.gathered(words)
+        gone = self.sums(tokens, word)
         hit = np.flatnonzero((((tokens[:-1] << SHIFT) | tokens[1:]) == key) & (word[1:] == word[:-1]))
-        if key >> SHIFT == key & ((1 << SHIFT) - 1):  # of a run of one token every second pair
+        if key >> SHIFT == key & LOW:  # of a run of one token every second pair
             run = np.append(True, hit[1:] != hit[:-1] + 1)
             nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
             hit = hit[nth % 2 == 0]
-        changed = np.isin(word, word[hit])
-        before = self.sums(*self.pairs(tokens[changed], word[changed]))
         tokens[hit] = whole
-        stay = changed
+        stay = np.ones(len(tokens), bool)
         stay[hit + 1] = False
         tokens, word = tokens[stay], word[stay]
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        own, size = word[first], np.diff(np.append(first, len(word)))
-        self.tokens[np.repeat(self.begin[own], size) + np.arange(len(word)) - np.repeat(first, size)] = tokens
-        self.size[own] = size
-        key_, word_ = self.pairs(tokens, word)
-        after = self.sums(key_, word_)
-        made = ((key_ >> SHIFT) == whole) | ((key_ & ((1 << SHIFT) - 1)) == whole)
-        key_, word_ = key_[made], word_[made]
-        first = np.flatnonzero(np.append(True, key_[1:] != key_[:-1])) if len(key_) else []
-        for k, words in zip(key_[first].tolist(), np.split(word_, first[1:]), strict=True) if len(key_) else ():
-            self.later.setdefault(k, []).append(words)
-        return {k: n for k in before.keys() | after.keys() if (n := after.get(k, 0) - before.get(k, 0))}
+        old, size = self.size[words], np.diff(np.append(first, len(word)))
+        place = lambda n, start: np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.tokens[place(old, self.begin[words])] = self.end
+        self.tokens[place(size, self.begin[words])] = tokens
+        self.size[words] = size
+        return [(gone[0], -gone[1]), self.sums(tokens, word)]
+
+    def compact(self) -> None:
+        """Leaves out words of one token, which have no pairs, and what is free in slots."""
+        words = np.flatnonzero(self.size > 1)
+        kept = [self.gathered(part)[0].astype(self.tokens.dtype) for part in _parts(words)]
+        size = self.size[words]
+        self.__init__(np.concatenate(kept) if kept else self.tokens[:0], size, self.counts[words], self.end - 1)
 
 
-def learn_merges(words: dict[bytes, int], vocab_size: int, n_specials: int = 0) -> list[tuple[bytes, bytes]]:
-    """Merges in order. A pair counts once for each distinct word that has it, times the word's count; of equal counts the
-    greatest pair in byte order is merged first."""
-    if vocab_size < 256 + n_specials:
-        raise ValueError("a vocabulary has all bytes and all special tokens")
-    corpus = _Corpus(list(words), np.array(list(words.values()), np.int64))
+_NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, in the order of keys."""
+    if not len(key):
+        return _NOTHING
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first, dtype=np.int64)
+
+
+def _parts(words: np.ndarray) -> list[np.ndarray]:
+    return [words[i : i + PART] for i in range(0, len(words), PART)]
+
+
+def _learned(corpus: _Corpus, n_merges: int) -> list[tuple[bytes, bytes]]:
     strings = [bytes([b]) for b in range(256)]
     ids = {x: i for i, x in enumerate(strings)}
-    pair = lambda k: (strings[k >> SHIFT], strings[k & ((1 << SHIFT) - 1)])
-    every = np.concatenate([np.full(len(w), i) for i, w in enumerate(corpus.of_key)]) if corpus.of_key else np.zeros(0, np.int64)
-    counts = corpus.sums(corpus.keys[every], np.concatenate(corpus.of_key)) if corpus.of_key else {}
-    heap = [_Candidate(n, k, pair(k)) for k, n in counts.items()]
-    heapq.heapify(heap)
+    pair = lambda k: (strings[k >> SHIFT], strings[k & LOW])
+    keys, counts = corpus.pairs()
     merges: list[tuple[bytes, bytes]] = []
-    while heap and len(merges) < vocab_size - 256 - n_specials:
-        best = heapq.heappop(heap)
-        if counts.get(best.key) != best.n:
-            continue
-        merges.append(best.pair)
-        text = b"".join(best.pair)
+    while len(merges) < n_merges and len(keys):
+        best = max(keys[counts == counts.max()].tolist(), key=pair)
+        merges.append(pair(best))
+        text = b"".join(pair(best))
         if text not in ids:
             ids[text] = len(strings)
             strings.append(text)
-        for k, n in corpus.merge(best.key, ids[text]).items():
-            counts[k] = counts.get(k, 0) + n
-            if counts[k] > 0:
-                heapq.heappush(heap, _Candidate(counts[k], k, pair(k)))
-            else:
-                del counts[k]
+        key, change = corpus.merge(best, ids[text])
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = keys[at] == key
+        counts[at[there]] += change[there]
+        at = np.searchsorted(keys, key[~there])
+        stay = np.insert(counts > 0, at, True)
+        keys, counts = np.insert(keys, at, key[~there])[stay], np.insert(counts, at, change[~there])[stay]
+        if len(merges) % COMPACT == 0:
+            corpus.compact()
     return merges
 
 
+def learn_merges(words: dict[bytes, int], vocab_size: int, n_specials: int = 0) -> list[tuple[bytes, bytes]]:
+    """Merges in order. A pair counts once for each distinct word that has it, times the word's count; of equal counts the
+    greatest pair in byte order is merged first."""
+    if vocab_size < 256 + n_specials:
+        raise ValueError("a vocabulary has all bytes and all special tokens")
+    size = np.array([len(w) for w in words], np.int64)
+    corpus = _Corpus(np.frombuffer(b"".join(words), np.uint8), size, np.array(list(words.values()), np.int64), vocab_size)
+    return _learned(corpus, vocab_size - 256 - n_specials)
+
+
 class Tokenizer:
     """A vocabulary: special tokens first, then bytes, then merges."""
 
@@ -201,14 +213,25 @@ class Tokenizer:
 
 
 def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, text: str = "text") -> Tokenizer:
-    """Learns a vocabulary of the column ``text``. The driver gets each distinct pretoken and its count, in columns."""
+    """Learns a vocabulary of the column ``text``. The driver gets each distinct pretoken and its count, in columns, and makes no
+    object of a word: it holds two bytes for each byte and some 14 for each word."""
     specials = list(specials or [])
     if vocab_size < 256 + len(specials):
         raise ValueError("a vocabulary has all bytes and all special tokens")
     words = docs.select(F.explode(special_pretokens(F.col(text), specials, keep=False)).alias("tok")).groupBy("tok").count()
-    table = words.where("tok is not null").toArrow()
-    words = {w.encode(): n for w, n in zip(table["tok"].to_numpy(), table["count"].to_numpy(), strict=True)}
-    return Tokenizer(learn_merges(words, vocab_size, len(specials)), specials)
+    parts = [_columns(batch) for batch in words.where("tok is not null").toArrow().to_batches()]
+    data, size, counts = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate((np.uint8, np.int32, np.int64)))
+    del parts
+    corpus = _Corpus(data, size, counts, vocab_size)
+    del data, size, counts
+    return Tokenizer(_learned(corpus, vocab_size - 256 - len(specials)), specials)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, sizes and counts of a batch of words."""
+    words = batch.column(0).cast(pa.large_binary())
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], np.diff(bounds).astype(np.int32), batch.column(1).to_numpy()
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:

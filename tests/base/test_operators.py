@@ -97,6 +97,20 @@ def test_bpe_agrees_with_brute_force():
         bpe.learn_merges({}, 256, 1)
 
 
+def test_bpe_training_holds_little_beside_the_words():
+    import tracemalloc
+
+    words = {f"{i * 7919 % 1000003:x}{i:x}".encode(): 1 + i % 5 for i in range(300_000)}
+    tracemalloc.start()
+    try:
+        merges = bpe.learn_merges(words, 256 + 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(merges) == 3
+    assert peak < 40 * sum(map(len, words))
+
+
 def test_bpe_encodes_by_least_rank():
     rng = random.Random(6)
     words = {bytes(rng.choices(b"aabc", k=rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(150)}
