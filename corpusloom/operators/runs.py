@@ -48,8 +48,9 @@ def _broken(checks: list[tuple[str, Column]]) -> Column:
 
 def step_figures(artifacts: DataFrame, run: str = "run") -> DataFrame:
     """run, step, n_rollouts, reward_min, reward_max, n_rewards (different ones), advantage_mean, advantage_std, n_calls,
-    n_chars of each step. artifacts: run, step, rollouts (array of reward, advantage, n_calls, generated)."""
-    r = artifacts.select(run, "step", F.explode("rollouts").alias("r"))
+    n_chars of each step. artifacts: run, step, rollouts (array of reward, advantage, n_calls, generated). The shuffle comes
+    before the rollouts are rows, so that no task holds the steps of a whole file."""
+    r = artifacts.select(run, "step", "rollouts").repartition(run, "step").select(run, "step", F.explode("rollouts").alias("r"))
     return r.groupBy(run, "step").agg(
         F.count("*").alias("n_rollouts"),
         F.min("r.reward").alias("reward_min"),
@@ -70,7 +71,7 @@ def reward_violations(artifacts: DataFrame, natural: list[str], run: str = "run"
     mine = F.col(run).isin(natural) if natural else F.lit(False)
     checks = [
         ("reward_bounds", (F.col("reward_min") < 0) | (F.col("reward_max") > 1)),
-        ("advantage_mean", (F.col("n_rewards") > 1) & (F.abs("advantage_mean") > tolerance)),
+        ("advantage_mean", (F.col("reward_min") < F.col("reward_max")) & (F.abs("advantage_mean") > tolerance)),
         ("skipped", mine & F.col("skipped")),
         ("tokens", mine & ~(F.col("tokens_seen") > 0)),
         ("loss", mine & (F.coalesce("loss", F.lit(0.0)) == 0)),
