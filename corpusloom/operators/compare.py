@@ -63,9 +63,14 @@ def routing_totals(layers: DataFrame, keys: list[str], assigned: str, dropped: s
     return both.withColumns({"dropped_of_layer": F.col("dropped") / tokens, "dropped_of_all": F.col("dropped") / (F.col("n_layers") * tokens)})
 
 
-def nearest(candidates: DataFrame, keys: list[str], name: str, value: str, target: Column) -> DataFrame:
-    """The candidate whose value is nearest to the target; of equals the least name."""
-    return candidates.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(value) - target), F.col(name).alias("n")))["n"].alias(name))
+def nearest(rows: DataFrame, keys: list[str], name: str, options: list[tuple[str, float]], target: Column) -> DataFrame:
+    """keys, name: of a few options (name, value) the one whose value is nearest to a target of the key's rows; of equals the
+    least name. Rows are not multiplied by options: each option's least distance is a number to aggregate. The shuffle comes first, so
+    that no task holds the keys of a whole file."""
+    far = [F.min(F.abs(F.lit(v) - F.col("_t"))).alias(f"_{i}") for i, (_, v) in enumerate(options)]
+    least = rows.select(*keys, target.alias("_t")).repartition(*keys).groupBy(*keys).agg(*far)
+    best = F.array_min(F.array(*[F.struct(F.col(f"_{i}").alias("d"), F.lit(n).alias("n")) for i, (n, _) in enumerate(options)]))
+    return least.select(*keys, best["n"].alias(name))
 
 
 def loss_totals(losses: DataFrame, keys: list[str], loss: str, encoded_bytes: Column) -> DataFrame:

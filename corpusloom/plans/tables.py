@@ -47,9 +47,8 @@ def timing_summary(spark, sf_dir):
 
 @query("SELECT p_partkey, arg_min(width, (abs(p_size - size), width)) AS width FROM part, (SELECT unnest([8, 16, 24, 32, 48]) AS size, unnest(['a', 'b', 'c', 'd', 'e']) AS width) GROUP BY p_partkey")
 def nearest_width(spark, sf_dir):
-    sizes = spark.createDataFrame(list(zip([8, 16, 24, 32, 48], "abcde", strict=True)), "size int, width string")
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size").crossJoin(F.broadcast(sizes))  # five rows
-    return compare.nearest(rows, ["p_partkey"], "width", "size", F.col("p_size"))
+    widths = list(zip("abcde", [8, 16, 24, 32, 48], strict=True))
+    return compare.nearest(table(spark, sf_dir, "part"), ["p_partkey"], "width", widths, F.col("p_size"))
 
 
 @query("SELECT p_partkey, round(abs(p_retailprice - 1000.0) / greatest(1, 1000.0), 6) AS error FROM part")
