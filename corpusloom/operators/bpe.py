@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from ..functions.merging import MergeTable, merge_words
 from ..functions.text import special_pretokens
 from .rules import canonical_json
 
-KEPT_WORDS = 200_000
+KEPT_WORDS, SLICE = 100_000, 1 << 18  # words that a task keeps, and pretokens or ids that it takes at once
 SHIFT, LOW = 32, (1 << 32) - 1  # a pair as one number: left id, right id
 PART = 1 << 16  # words that array passes take at once
 COMPACT = 64  # merges after which slots are closed up
@@ -235,30 +235,67 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids. Pretokens are made on the JVM; a task merges distinct ones once, and keeps up to KEPT_WORDS of them. No
-    shuffle."""
+    """key, ids. Pretokens are made on the JVM; a task merges the distinct ones of SLICE pretokens at once, and keeps up to
+    KEPT_WORDS of them. Pretokens stay Arrow columns, so no object is made of one but where it is new. No shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("array<int>")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[int]] = {}
-        for words in batches:
-            seen = {w for ws in words if ws is not None for w in ws}
-            if len(known) + len(seen - known.keys()) > KEPT_WORDS:
-                known.clear()
-            new = sorted(seen - known.keys())
-            known.update(zip(new, model.value.encode_words(new), strict=True))
-            yield words.map(lambda ws: None if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))))
+    @F.arrow_udf("array<int>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _Known(model.value)
+        for rows in batches:
+            parts = [known.coded(rows.slice(a, b - a)) for a, b in _slices(rows)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.select(key, code(special_pretokens(F.col(text), tokenizer.specials)).alias("ids"))
 
 
+def _slices(rows: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of rows with SLICE items at most, or of one row."""
+    ends = np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        yield a, b
+        a = b
+
+
+class _Known:
+    """The words that a task has met, by number, and their ids in one flat array."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def coded(self, rows: pa.ListArray) -> pa.ListArray:
+        words = rows.flatten().dictionary_encode()
+        seen = words.dictionary.to_pylist()
+        new = [w for w in seen if w not in self.number]
+        if len(self.number) + len(new) > KEPT_WORDS:
+            self.clear()
+            new = seen
+        coded = self.tokenizer.encode_words(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in coded], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32)])
+        word = np.array([self.number[w] for w in seen], np.int64)[words.indices.to_numpy()] if seen else np.zeros(0, np.int64)
+        size = self.begin[word + 1] - self.begin[word]
+        ends = np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(self.begin[word] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = np.append(0, np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids), mask=rows.is_null())
+
+
 def decode(coded: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, text; bytes that are no UTF-8 become replacement characters."""
     model = coded.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("string")
-    def back(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: None if x is None else model.value.decode(x))
+    @F.arrow_udf("string")
+    def back(rows: pa.Array) -> pa.Array:
+        parts = [pa.array([None if x is None else model.value.decode(x) for x in rows.slice(a, b - a).to_pylist()], pa.string()) for a, b in _slices(rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return coded.select(key, back(ids).alias("text"))

@@ -29,3 +29,19 @@ def test_figures_of_steps_are_made_behind_the_shuffle(spark):
     above, below = plan(found).split("Generate explode(rollouts", 1)
     assert "Exchange hashpartitioning(run" in below
     assert above.count("HashAggregate") == 2  # no step more for different rewards
+
+
+def test_batches_of_pretokens_are_coded_by_slices(monkeypatch):
+    import pyarrow as pa
+
+    from corpusloom.operators import bpe
+
+    model = bpe.Tokenizer(bpe.learn_merges({b"abab": 3, b"abc": 2, b"xyz": 1}, 262))
+    monkeypatch.setattr(bpe, "SLICE", 4)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    rows = pa.array([["abab", "abc"], None, [], ["x"] * 9, ["abc", "xyz", "é"], ["abab"]], pa.list_(pa.string())).slice(1)
+    assert list(bpe._slices(rows)) == [(0, 2), (2, 3), (3, 5)]
+    known = bpe._Known(model)
+    got = [x for a, b in bpe._slices(rows) for x in known.coded(rows.slice(a, b - a)).to_pylist()]
+    assert got == [None if ws is None else [i for w in ws for i in model.encode_word(w)] for ws in rows.to_pylist()]
+    assert len(known.number) <= 4  # those of the last slice
