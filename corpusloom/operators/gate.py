@@ -126,10 +126,12 @@ def _errors(schema: dict | bool, v: Column, at: Column, root: dict, open_: tuple
 def compiled(schema: dict | bool) -> Callable[[Column], Column]:
     """A function from a JSON text column to its errors, an array of ``place: keyword``; ['$: json'] for what is no JSON."""
 
+    root = schema if isinstance(schema, dict) else {}
+
     def run(text: Column) -> Column:
-        v = strict_json(text)
-        root = schema if isinstance(schema, dict) else {}
-        return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_errors(schema, v, F.lit("$"), root, ()))
+        # as the variable of a function the value is parsed once, however often the checks name it
+        checked = F.transform(F.array(strict_json(text)), lambda v: F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_errors(schema, v, F.lit("$"), root, ())))
+        return F.get(checked, F.lit(0))
 
     return run
 

@@ -45,3 +45,16 @@ def test_batches_of_pretokens_are_coded_by_slices(monkeypatch):
     got = [x for a, b in bpe._slices(rows) for x in known.coded(rows.slice(a, b - a)).to_pylist()]
     assert got == [None if ws is None else [i for w in ws for i in model.encode_word(w)] for ws in rows.to_pylist()]
     assert len(known.number) <= 4  # those of the last slice
+
+
+def test_the_gate_parses_a_text_once(spark):
+    from corpusloom.operators import gate
+    from corpusloom.plans.gates import SCHEMA
+
+    rows = spark.createDataFrame([('{"k": 12, "who": "view"}',), ('{"k": 1}',), ("{",), (None,)], "body string").select(gate.compiled(SCHEMA)(F.col("body")).alias("e"))
+    assert [r.e for r in rows.collect()] == [[], ["$.who: required", "$.k: minimum"], ["$: json"], ["$: json"]]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
