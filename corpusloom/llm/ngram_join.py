@@ -17,8 +17,10 @@ until no document indexes one, so that every document knows the class of each to
 complete results; they set the cost. Equal sets are one node. In a list of documents with a common signature, every document is first compared with one
 of them (that with the fewest tokens below the frequent class: of near copies, the one that is most like the others), and the
 links found make components; only documents of the same list that are then in different components are compared pair by
-pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost. Links
-inside a component are not all made, so links are not counted. Hot keys (a set that many rows have, a list or a document
+pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost. Lists
+of single tokens (HEAVY documents at most) that hold the same documents are one list with a weight, so a pair is made once
+for all of them. Pairs of a list of frequent pairs, which has no bound, are made only where the parities of two sets leave
+them similar. Links inside a component are not all made, so links are not counted. Hot keys (a set that many rows have, a list or a document
 with many pairs) are found by their counts and dealt out over several tasks.
 """
 
@@ -100,12 +102,23 @@ def sketch(often: np.ndarray) -> tuple[int, ...]:
     return tuple(sum(c << LANE * i for i, c in enumerate(counts[j : j + 3])) for j in (0, 3, 6))
 
 
-ROW = "doc_id long, n long, h1 long, h2 long, meta long, s1 long, s2 long, s3 long, rare array<long>, often array<long>"
+PARITY = 16  # words of 64 bits
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY cells, whether an odd number of tokens fall into it. Two sets differ in at least as many tokens
+    as their parities do in bits."""
+    cells = 64 * PARITY
+    counts = np.bincount((tokens >> K.U64(30) & K.U64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
+ROW = "doc_id long, n long, h1 long, h2 long, meta long, s1 long, s2 long, s3 long, par array<long>, rare array<long>, often array<long>"
 
 
 def _index(k: int, percent: int, cells: int, bits):
     """Sizes, sums of hashes, classes and signatures of texts. A third column: tokens known to be frequent by key."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "meta", "s1", "s2", "s3")), *((c, pa.list_(pa.int64())) for c in ("rare", "often"))])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "meta", "s1", "s2", "s3")), *((c, pa.list_(pa.int64())) for c in ("par", "rare", "often"))])
 
     def run(batches):
         level = np.unpackbits(bits.value[0])
@@ -113,7 +126,7 @@ def _index(k: int, percent: int, cells: int, bits):
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
                 heavy = batch.column(2).slice(a, b - a).to_pylist() if batch.num_columns > 2 else [None] * (b - a)
-                fixed, rare, often = [], [], []
+                fixed, par, rare, often = [], [], [], []
                 for tokens, known in zip(K.shingle_sets(data, offsets, k), heavy, strict=True):
                     of = level[_cell(tokens, cells)]
                     if known:
@@ -124,9 +137,10 @@ def _index(k: int, percent: int, cells: int, bits):
                     whole = len(tokens) > 0 and len(r) == _need(len(tokens), percent)
                     meta = len(tokens) << 32 | int((of == 2).sum()) << 1 | int(whole)
                     fixed.append((len(tokens), *map(int, sums), meta, *sketch(tokens[of == 2])))
+                    par.append(parity(tokens))
                     rare.append(r.view(np.int64))
                     often.append(o.view(np.int64))
-                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v))) for v in (rare, often)]
+                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v))) for v in (par, rare, often)]
                 numbers = np.array(fixed, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(np.ascontiguousarray(numbers[:, j])) for j in range(7)), *lists], schema=schema)
 
@@ -188,8 +202,25 @@ def _sharing(percent: int) -> str:
     return f"{100 + percent} * ({_F.format('meta_a')} - ({lanes})) >= {percent} * ({n[0]} + {n[1]}) or greatest({n[0]}, {n[1]}) > {MOST}"
 
 
+def _differing(percent: int) -> str:
+    """SQL on rows a and b: may two sets be similar, as their parities show in how many tokens they differ at least?"""
+    n = " + ".join(_N.format(f"meta_{c}") for c in "ab")
+    bits = " + ".join(f"bit_count(par_a[{i}] ^ par_b[{i}])" for i in range(PARITY))
+    return f"{100 + percent} * (({n}) - ({bits})) >= {2 * percent} * ({n})"
+
+
+def _in_short_lists(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, ma, b, mb) of documents that share single tokens and are in different components, with the number w of lists
+    that hold just the same documents. Lists have HEAVY documents at most."""
+    members = posts.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("doc_id", "meta", "label"))).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
+    lists = members.where("x <> y").groupBy("m").agg(F.count("*").alias("w"))
+    others = f"filter(m, q -> q.doc_id > p.doc_id and q.label <> p.label and {_near('p.meta', 'q.meta', percent, 'false')})"
+    pairs = f"flatten(transform(m, p -> transform({others}, q -> named_struct('a', p.doc_id, 'ma', p.meta, 'b', q.doc_id, 'mb', q.meta))))"
+    return lists.select(F.explode(F.expr(pairs)).alias("p"), "w").select("p.*", "w")
+
+
 def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
-    """The distinct pairs (a, b) that can be similar, from a row for each signature that they share.
+    """The distinct pairs (a, b) that can be similar, from rows with the number w of single tokens that they share.
 
     A prefix below the frequent class shows all of what it shares with another prefix that does not end before it; so what
     two sets share is at most that and the tokens behind the prefix. Where both go on into the frequent class, they show
@@ -201,7 +232,7 @@ def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
     need = f"ceil({percent} * ({_N.format(x)} + {_N.format(y)}) / {100 + percent})"
     return (
         pairs.groupBy("a", "b", "ma", "mb")
-        .agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("shared"))
+        .agg(F.sum("w").alias("shared"))
         .where(f"shared >= {share}D * ({need} - {rest})")
         .select("a", "b")
         .distinct()
@@ -280,19 +311,21 @@ def _join(docs: DataFrame, k: int, percent: int, cell_bits: int, heavy: int) ->
     rows, posts = _settled(scratch, docs, rows, sets, index, heavy)
     stars = posts.where("doc_id <> pivot").where(_near("meta", "pm", percent, "often"))
     least = F.expr("doc_id < pivot")
-    stars = stars.select(*[F.when(least if first else ~least, F.col(one)).otherwise(F.col(other)).alias(name) for name, one, other, first in (("a", "doc_id", "pivot", True), ("ma", "meta", "pm", True), ("b", "doc_id", "pivot", False), ("mb", "meta", "pm", False))], "often")
+    stars = stars.select(*[F.when(least if first else ~least, F.col(one)).otherwise(F.col(other)).alias(name) for name, one, other, first in (("a", "doc_id", "pivot", True), ("ma", "meta", "pm", True), ("b", "doc_id", "pivot", False), ("mb", "meta", "pm", False))], F.when(F.col("often"), 0).otherwise(1).alias("w"))
     # a star sees some of what two documents share, so half of what they have to share is asked for; the rest is for later
     stars = scratch.keep(_possible(stars, percent, 0.5))
     links = scratch.keep(_links(stars, docs, k, percent))
     label = scratch.keep(components(scratch, links, "a", "b"))
     # lists whose documents are not all in one component yet
-    about = rows.where("n > 0 and doc_id is not null").select("doc_id", "meta", "s1", "s2", "s3").distinct().join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    left = posts.join(about, ["doc_id", "meta"]).select("sig", "often", "doc_id", "meta", "s1", "s2", "s3", F.coalesce("label", "doc_id").alias("label"))
+    about = rows.where("n > 0 and doc_id is not null").select("doc_id", "meta", "s1", "s2", "s3", "par").distinct().join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    about = about.withColumn("label", F.coalesce("label", "doc_id"))
+    short = _in_short_lists(posts.where("not often").join(about.select("doc_id", "meta", "label").distinct(), ["doc_id", "meta"]), percent)
+    left = posts.where("often").join(about, ["doc_id", "meta"]).select("sig", "doc_id", "meta", "s1", "s2", "s3", "par", "label")
     open_ = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
     left = scratch.keep(left.join(open_, "sig", "left_semi"))
-    x, y = (left.select("sig", "often", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label", "s1", "s2", "s3")]) for s in "ab")
-    more = x.join(y.drop("often"), "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "often")).where(f"not often or ({_sharing(percent)})")
-    more = more.select(F.col("doc_id_a").alias("a"), F.col("meta_a").alias("ma"), F.col("doc_id_b").alias("b"), F.col("meta_b").alias("mb"), "often")
+    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label", "s1", "s2", "s3", "par")]) for s in "ab")
+    more = x.join(y, "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "true")).where(f"({_sharing(percent)}) and {_differing(percent)}")
+    more = more.select(F.col("doc_id_a").alias("a"), F.col("meta_a").alias("ma"), F.col("doc_id_b").alias("b"), F.col("meta_b").alias("mb"), F.lit(0).alias("w")).union(short.select("a", "ma", "b", "mb", "w"))
     more = scratch.keep(_possible(more, percent, 1.0).join(stars, ["a", "b"], "left_anti"))
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +295,28 @@ def test_repeated_passages_of_short_lines(spark):
     assert got[1].n_removed_lines == 2 and got[1].n_removed_chunks == 1 and got[902].n_removed_lines == 4
     same = spark.createDataFrame([(1, "\n".join(["q w"] * 3000))], "doc_id long, text string")
     assert line_dedup.dedup_lines(same, passages=True).first().n_lines == 3000
+
+
+def test_parities_bound_the_difference_and_tell_unlike_sets_apart(spark):
+    rng = random.Random(11)
+    rows, similar = [], {}
+    for i in range(300):
+        n, both = rng.choice((3, 40, 256, 900)), rng.random()
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(list(a)[: int(both * n)]) | {rng.getrandbits(64) for _ in range(n - int(both * n))}
+        similar[i] = len(a & b) / len(a | b)
+        x, y = (ngram_join.parity(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+        rows.append((i, len(a) << 32, len(b) << 32, x.tolist(), y.tolist()))
+    made = spark.createDataFrame(rows, "i long, meta_a long, meta_b long, par_a array<long>, par_b array<long>")
+    kept = {r.i for r in made.where(ngram_join._differing(75)).collect()}
+    assert kept >= {i for i, s in similar.items() if s >= 0.75} and not any(similar[i] < 0.5 for i in kept)
+
+
+def test_a_pair_of_two_components_is_made_once_for_lists_of_the_same_documents(spark):
+    lists = {s: (1, 2, 3) for s in range(50)} | {50: (1, 2), 51: (3, 4), 52: (5, 6)}
+    label = {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
+    meta = {d: (400 if d == 4 else 100) << 32 for d in label}  # 4 is too large for 3
+    rows = [(s, d, meta[d], label[d]) for s, docs in lists.items() for d in docs]
+    got = ngram_join._in_short_lists(spark.createDataFrame(rows, "sig long, doc_id long, meta long, label long"), 75).collect()
+    assert sorted((r.a, r.b, r.w) for r in got) == [(1, 2, 1), (1, 2, 50), (1, 3, 50)]
