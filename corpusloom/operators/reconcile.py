@@ -54,31 +54,39 @@ def _descended(at: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every directory at or below each reached one, and if it is the last segment every file: the step of a segment **."""
     above = F.transform(F.sequence(F.lit(0), F.size("p")), lambda k: F.array_join(F.slice(F.col("p"), F.lit(1), k), "/"))
     inside = nodes.select("path", "is_dir", F.split("path", "/").alias("p")).select("path", "is_dir", F.explode(above).alias("node")).where("is_dir or node <> path")
-    to = [F.col("pattern"), F.col("s")]
-    moved = at.join(inside, "node").where("is_dir or i + 1 = size(s)").select(*to, F.col("path").alias("node"), (F.col("i") + 1).alias("i"), "is_dir")
-    return moved.union(at.where("node = ''").select(*to, "node", (F.col("i") + 1).alias("i"), F.lit(True).alias("is_dir")))
+    moved = at.join(inside, "node").where("is_dir or last").select("to", "last", F.col("path").alias("node"), "is_dir")
+    return moved.union(at.where("node = ''").select("to", "last", "node", F.lit(True).alias("is_dir")))
 
 
 def globbed(patterns: DataFrame, nodes: DataFrame) -> DataFrame:
     """pattern, path, is_dir: the nodes that each pattern (a column ``pattern``) matches. A segment ** is any number of
-    directories. The number of steps is that of segments in the longest pattern."""
+    directories. The number of steps is that of segments in the longest pattern. What patterns begin with is walked once for
+    all patterns that begin alike, so what is kept of a step is a row for each beginning and directory, not for each pattern."""
     parts = F.split("pattern", "/")
     plain = F.regexp_extract("pattern", r"^((?:[^*/]+/)*)", 1)
-    at = patterns.select("pattern").distinct().select("pattern", parts.alias("s"), F.rtrim(plain, F.lit("/")).alias("node"), (F.size(F.split(plain, "/")) - 1).alias("i"))
-    steps, deep = at.agg(F.coalesce(F.max(F.size("s") - F.col("i")), F.lit(0)), F.coalesce(F.max(F.array_contains("s", "**")), F.lit(False))).first()
+    known = patterns.select("pattern").distinct().select("pattern", parts.alias("s"), F.rtrim(plain, F.lit("/")).alias("node"), (F.size(F.split(plain, "/")) - 1).alias("i"))
+    first, end, deep = known.agg(F.coalesce(F.min("i"), F.lit(0)), F.coalesce(F.max(F.size("s")), F.lit(0)), F.coalesce(F.max(F.array_contains("s", "**")), F.lit(False))).first()
+    begins = known.select(F.col("node").alias("prefix"), "node", "i")
+    head = lambda n: F.array_join(F.slice("s", F.lit(1), n), "/")
+    steps = known.select("s", F.explode(F.sequence("i", F.size("s") - 1)).alias("i"))
+    steps = steps.select("i", head(F.col("i")).alias("prefix"), head(F.col("i") + 1).alias("to"), F.get("s", "i").alias("want"), (F.col("i") + 1 == F.size("s")).alias("last"))
+    steps = steps.groupBy("i", "prefix", "to", "want").agg(F.max("last").alias("last"))
+    begin_of_want = F.left(F.regexp_extract("want", r"^[^*]*", 0), F.lit(HEAD))
+    steps = steps.withColumn("head", F.when(F.char_length(begin_of_want) == HEAD, begin_of_want).otherwise(""))
     below = nodes.select(F.col("parent").alias("node"), F.col("path").alias("found"), "segment", "is_dir", F.explode(F.array_distinct(F.array(F.lit(""), F.left("segment", F.lit(HEAD))))).alias("head"))
-    done = None
-    for _ in range(steps):
-        at = at.withColumn("want", F.element_at("s", F.col("i") + 1)).withColumn("head", F.left(F.regexp_extract("want", r"^[^*]*", 0), F.lit(HEAD)))
-        hits = at.where("want <> '**'").withColumn("head", F.when(F.char_length("head") == HEAD, F.col("head")).otherwise("")).join(below, ["node", "head"])
+    done = moved = None
+    for i in range(first, end):
+        at = begins.where(F.col("i") == i).drop("i")
+        if moved is not None:
+            at = at.union(moved.where("is_dir").select(F.col("to").alias("prefix"), "node"))
+        at = at.distinct().join(steps.where(F.col("i") == i), "prefix")
+        hits = at.where("want <> '**'").join(below, ["node", "head"]).where("is_dir or last")
         hits = hits.where(F.when(F.col("want").contains("*"), F.regexp_like(F.col("segment"), segment_pattern(F.col("want")))).otherwise(F.col("segment") == F.col("want")))
-        moved = hits.select("pattern", "s", F.col("found").alias("node"), (F.col("i") + 1).alias("i"), "is_dir")
+        moved = hits.select("to", "last", F.col("found").alias("node"), "is_dir")
         if deep:
             moved = moved.union(_descended(at.where("want = '**'"), nodes))
-        moved = moved.distinct()
-        ended = moved.where("i = size(s)").select("pattern", F.col("node").alias("path"), "is_dir").where("path <> ''")
+        ended = moved.where("last and node <> ''").select(F.col("to").alias("pattern"), F.col("node").alias("path"), "is_dir")
         done = ended if done is None else done.union(ended)
-        at = moved.where("i < size(s) and is_dir").drop("is_dir")
     empty = patterns.select("pattern", F.lit("").alias("path"), F.lit(False).alias("is_dir")).where("false")
     return empty if done is None else done.distinct()
 
@@ -112,11 +120,11 @@ def reconciled(refs: DataFrame, paths: DataFrame, extensions: tuple[str, ...] =
     by_glob = tries.where(wild).join(globbed(tries.where(wild).select(F.col("cand").alias("pattern")), nodes).withColumnRenamed("pattern", "cand"), "cand").select("ref", "path", "is_dir", F.lit(False).alias("plain"))
     longer = known.where(~unfinished & ~F.col("ref").rlike("[*{]")).select("ref", F.posexplode(F.array(*[F.concat("ref", F.lit(x)) for x in extensions])).alias("i", "path"))
     by_end = longer.join(nodes.where("not is_dir").select("path"), "path").groupBy("ref").agg(F.min_by("path", "i").alias("longer"))
-    found = literal.union(by_glob).distinct().groupBy("ref").agg(
+    found = literal.union(by_glob).groupBy("ref", "path", "is_dir").agg(F.max("plain").alias("plain")).groupBy("ref").agg(
         F.max(F.col("plain") & F.col("is_dir")).alias("dir_there"),
-        F.count_distinct(F.when(F.col("is_dir"), F.col("path"))).alias("n_dirs"),
+        F.count_if("is_dir").alias("n_dirs"),
         F.min(F.when(F.col("is_dir"), F.col("path"))).alias("dir"),
-        F.count_distinct(F.when(~F.col("is_dir"), F.col("path"))).alias("n_files"),
+        F.count_if(~F.col("is_dir")).alias("n_files"),
         F.min(F.when(~F.col("is_dir"), F.col("path"))).alias("file"),
     )
     both = known.join(found, "ref", "left").join(by_end, "ref", "left")

@@ -56,3 +56,11 @@ artifacts/run-*/ artifacts/{a,zz}/*.json artifacts/zz/*.json artifacts/bare"""
     }
     pivot = {r.kind: r for r in R.status_pivot(found).collect()}
     assert pivot["directory"].found == 3 and pivot["directory"].missing_resolvable == 1 and pivot["exact_file"].total == 6
+
+
+def test_patterns_that_begin_alike_are_walked_once(spark):
+    nodes = R.tree(spark.createDataFrame([(f"artifacts/{h}/en/{n}.json",) for h in "abc" for n in range(30)], "path string"))
+    found = R.globbed(spark.createDataFrame([(f"artifacts/*/en/{n}.j*",) for n in range(40)], "pattern string"), nodes)
+    assert {r.n for r in found.groupBy("pattern").agg(F.count("*").alias("n")).collect()} == {3} and found.count() == 90
+    keys = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate(keys=" in x and "prefix" in x]
+    assert keys and not any("pattern#" in x or " s#" in x or "[s#" in x for x in keys)  # what is kept of a step is no row for each pattern
