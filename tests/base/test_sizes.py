@@ -58,3 +58,20 @@ def test_the_gate_parses_a_text_once(spark):
         assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_the_member_that_samples_begin_with_is_parsed_once(monkeypatch):
+    import json
+
+    from corpusloom.operators import tools
+
+    many = [f'{{"tools": [{{"name": "f"}}], "expected_answer": {i}}}' for i in range(50)]
+    odd = ['{"tools": [{"name": "f"}]}', '{"tools": [{"name": "f"}], }', '{"tools": [{"name": "f"}],, "a": 1}', '{"tools": [{"name": "f"}] "a": 1}', '{"tools": [{"name": "f"}], "tools": 2}', '{"tools": [{"name": "f"}], "a": 1} x', '{"tools": [{"name": "f"}], "a": [1]',
+           '{"a": 1, "b": 2}', '{"a": 12, "b": 2}', '{"a": {"x": 1}, "b": 2}', ' {"a":{"x": 1} , "b": 3}\n', '{"a": {"x": 1}x', "[1]", "", None, "null", '{"a\\u0062": [1], "c": 2}', '{"b": [1', '{"b": [1], "c": 2}', '{"b": [1],\x0c"c": 2}', '{"b": [1]\xa0, "c": 2}']
+    known = tools._Objects()
+    texts = [*many, *(x for o in odd for x in (o, o, many[0]))]
+    assert [known.of(x) for x in texts] == [tools._object(x) for x in texts]
+    sizes, loads = [], json.loads
+    monkeypatch.setattr(tools.json, "loads", lambda t: sizes.append(len(t)) or loads(t))
+    known = tools._Objects()
+    assert [known.of(x)["expected_answer"] for x in many] == list(range(50)) and max(sizes[1:]) < 30
