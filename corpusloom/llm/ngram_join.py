@@ -19,8 +19,8 @@ of them (that with the fewest tokens below the frequent class: of near copies, t
 links found make components; only documents of the same list that are then in different components are compared pair by
 pair. So a group of n near copies costs about n comparisons and not n squared, and no link between components is lost. Lists
 of single tokens (HEAVY documents at most) that hold the same documents are one list with a weight, so a pair is made once
-for all of them. Pairs of a list of frequent pairs, which has no bound, are made only where the parities of two sets leave
-them similar. Links inside a component are not all made, so links are not counted. Hot keys (a set that many rows have, a list or a document
+for all of them. A list of a frequent pair has no bound: it is dealt into blocks of bounded size, which are looked at on
+arrays, and pairs are made only where the parities of two sets leave them similar. Links inside a component are not all made, so links are not counted. Hot keys (a set that many rows have, a list or a document
 with many pairs) are found by their counts and dealt out over several tasks.
 """
 
@@ -209,14 +209,94 @@ def _differing(percent: int) -> str:
     return f"{100 + percent} * (({n}) - ({bits})) >= {2 * percent} * ({n})"
 
 
+BLOCK = 1024  # documents of a part of a long list
+LOOK = 1 << 17  # pairs looked at at once
+_COLS = ("sig", "i", "j", "part", "doc_id", "meta", "label", "s1", "s2", "s3")
+
+
+def _alike(rows: dict[str, np.ndarray], percent: int):
+    """Pairs (a, ma, b, mb) of rows of one block that may be similar: what ``_near``, ``_sharing`` and ``_differing`` say, on
+    arrays. A block (sig, i, j) is a run of rows; of two different parts, pairs are made between these only."""
+    sig, i, j, part, ids, meta, label = (rows[c] for c in _COLS[:7])
+    n, f = meta >> 32, meta >> 1 & 0x7FFFFFFF
+    lanes = np.stack([rows[c] >> LANE * x & (1 << LANE) - 1 for c in ("s1", "s2", "s3") for x in range(3)], 1)
+    heads = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    follow = np.repeat(np.append(heads[1:], len(sig)), np.diff(np.append(heads, len(sig)))) - np.arange(len(sig)) - 1
+    upto, low = np.cumsum(follow), 0
+    while low < len(sig):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] - follow[low] + LOOK, side="right")))
+        many = follow[low:high]
+        x = np.repeat(np.arange(low, high), many)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+        low = high
+
+        on = (label[x] != label[y]) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+        x, y = x[on], y[on]
+        on = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        on &= (100 + percent) * np.minimum(f[x], f[y]) >= percent * (n[x] + n[y])
+        x, y = x[on], y[on]
+        bits = np.bitwise_count(rows["par"][x] ^ rows["par"][y]).sum(1, dtype=np.int64)
+        on = (100 + percent) * (n[x] + n[y] - bits) >= 2 * percent * (n[x] + n[y])
+        x, y = x[on], y[on]
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        more = np.maximum(lanes[x] - lanes[y], 0).sum(1)
+        on = ((100 + percent) * (f[x] - more) >= percent * (n[x] + n[y])) | (np.maximum(n[x], n[y]) > MOST)
+        x, y = x[on], y[on]
+        if len(x):
+            yield np.unique(np.stack([ids[x], meta[x], ids[y], meta[y]], 1), axis=0)
+
+
+def _look(percent: int):
+    """``_alike`` over sorted rows. A block, of some 2 * BLOCK rows, may begin in one batch and end in another."""
+
+    def run(batches):
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {x.name: batch.column(k) for k, x in enumerate(batch.schema)}
+            rows = {c: col[c].to_numpy(zero_copy_only=False) for c in _COLS}
+            rows["par"] = col["par"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, PARITY)
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            other = np.flatnonzero((rows["sig"] != rows["sig"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            held = {c: v[cut:].copy() for c, v in rows.items()}
+            if cut:
+                yield from found({c: v[:cut] for c, v in rows.items()})
+        if held is not None:
+            yield from found(held)
+
+    def found(rows):
+        for pairs in _alike(rows, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "ma", "b", "mb"])
+
+    return K.tidy(run)
+
+
+def _in_long_lists(left: DataFrame, open_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, ma, b, mb, w = 0) of documents of one list of a frequent pair that are in different components and may be
+    similar. left: a row for each document and list; open_: sig and docs, the number of documents in the list.
+
+    A list is dealt into parts of about ``block`` documents by hash, and every two parts, and every one, are a block of their
+    own, so no task has a whole long list, and the work for a row is bounded.
+    """
+    parts = F.ceil(F.col("docs") / block).cast("int")
+    rows = left.join(open_.select("sig", parts.alias("parts")), "sig").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
+    rows = rows.withColumn("x", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x"))
+    rows = rows.select(*_COLS, "par").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return rows.mapInArrow(_look(percent), "a long, ma long, b long, mb long").withColumn("w", F.lit(0))
+
+
 def _in_short_lists(posts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, ma, b, mb) of documents that share single tokens and are in different components, with the number w of lists
     that hold just the same documents. Lists have HEAVY documents at most."""
     members = posts.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("doc_id", "meta", "label"))).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
     lists = members.where("x <> y").groupBy("m").agg(F.count("*").alias("w"))
-    others = f"filter(m, q -> q.doc_id > p.doc_id and q.label <> p.label and {_near('p.meta', 'q.meta', percent, 'false')})"
-    pairs = f"flatten(transform(m, p -> transform({others}, q -> named_struct('a', p.doc_id, 'ma', p.meta, 'b', q.doc_id, 'mb', q.meta))))"
-    return lists.select(F.explode(F.expr(pairs)).alias("p"), "w").select("p.*", "w")
+    # two explodes run as generated code; nested lambdas are interpreted
+    pairs = lists.select("m", "w", F.explode("m").alias("p")).select("p", "w", F.explode("m").alias("q"))
+    pairs = pairs.where(f"q.doc_id > p.doc_id and q.label <> p.label and {_near('p.meta', 'q.meta', percent, 'false')}")
+    return pairs.select(F.col("p.doc_id").alias("a"), F.col("p.meta").alias("ma"), F.col("q.doc_id").alias("b"), F.col("q.meta").alias("mb"), "w")
 
 
 def _possible(pairs: DataFrame, percent: int, share: float) -> DataFrame:
@@ -321,11 +401,8 @@ def _join(docs: DataFrame, k: int, percent: int, cell_bits: int, heavy: int) ->
     about = about.withColumn("label", F.coalesce("label", "doc_id"))
     short = _in_short_lists(posts.where("not often").join(about.select("doc_id", "meta", "label").distinct(), ["doc_id", "meta"]), percent)
     left = posts.where("often").join(about, ["doc_id", "meta"]).select("sig", "doc_id", "meta", "s1", "s2", "s3", "par", "label")
-    open_ = left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    left = scratch.keep(left.join(open_, "sig", "left_semi"))
-    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "meta", "label", "s1", "s2", "s3", "par")]) for s in "ab")
-    more = x.join(y, "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(_near("meta_a", "meta_b", percent, "true")).where(f"({_sharing(percent)}) and {_differing(percent)}")
-    more = more.select(F.col("doc_id_a").alias("a"), F.col("meta_a").alias("ma"), F.col("doc_id_b").alias("b"), F.col("meta_b").alias("mb"), F.lit(0).alias("w")).union(short.select("a", "ma", "b", "mb", "w"))
+    open_ = scratch.keep(left.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("docs")).where("x <> y").select("sig", "docs"))
+    more = _in_long_lists(left, open_, percent).union(short.select("a", "ma", "b", "mb", "w"))
     more = scratch.keep(_possible(more, percent, 1.0).join(stars, ["a", "b"], "left_anti"))
     again = scratch.keep(_links(more, docs, k, percent))
     label = scratch.keep(components(scratch, links.union(again), "a", "b"))
@@ -333,7 +410,7 @@ def _join(docs: DataFrame, k: int, percent: int, cell_bits: int, heavy: int) ->
     out = spread_join(rows.select("doc_id", "n", "h1", "h2"), found, ["h1", "h2", "n"], "h1", hot_counts(found, "h1", "n_set_rows"), F.coalesce(F.col("doc_id"), F.lit(0)), "left")
     known = F.col("doc_id").isNotNull()
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("label", "node", "doc_id")).alias("component_id"), F.when(known & F.col("n_set_rows").isNotNull(), F.col("n_set_rows")).otherwise(1).alias("n_set_rows")))
-    scratch.drop(rows, sets, posts, stars, links, left, more, again, label, found)
+    scratch.drop(rows, sets, posts, stars, links, open_, more, again, label, found)
     bits.unpersist()
     return out
 

@@ -320,3 +320,26 @@ def test_a_pair_of_two_components_is_made_once_for_lists_of_the_same_documents(s
     rows = [(s, d, meta[d], label[d]) for s, docs in lists.items() for d in docs]
     got = ngram_join._in_short_lists(spark.createDataFrame(rows, "sig long, doc_id long, meta long, label long"), 75).collect()
     assert sorted((r.a, r.b, r.w) for r in got) == [(1, 2, 1), (1, 2, 50), (1, 3, 50)]
+
+
+def test_long_lists_are_dealt_into_blocks_and_make_each_pair_that_may_be_similar_once(spark):
+    """1,500 documents of one list, and short lists: the same pairs as by SQL, whatever the blocks, and none of them large."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    rows = []
+    for d in range(1500):
+        keep = base[:50] if d % 3 else rng.sample(base, 20)
+        s = np.array(sorted({*keep, *(rng.getrandbits(64) for _ in range(d % 25))}), np.uint64)
+        meta = len(s) << 32 | len(s) << 1
+        rows += [(sig, d, meta, *ngram_join.sketch(s), ngram_join.parity(s).tolist(), d % 7) for sig in ([1] if d >= 40 else [1, 2 + d // 4])]
+    left = spark.createDataFrame(rows, "sig long, doc_id long, meta long, s1 long, s2 long, s3 long, par array<long>, label long").cache()
+    open_ = left.groupBy("sig").agg(F.count("*").alias("docs"))
+    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in left.columns[1:]]) for s in "ab")
+    want = x.join(y, "sig").where("doc_id_a < doc_id_b and label_a <> label_b").where(ngram_join._near("meta_a", "meta_b", 75, "true"))
+    want = {tuple(r) for r in want.where(f"({ngram_join._sharing(75)}) and {ngram_join._differing(75)}").select("doc_id_a", "doc_id_b").distinct().collect()}
+    assert len(want) > 1000
+    for block in (100, 5000):
+        found = ngram_join._in_long_lists(left, open_, 75, block)
+        one = found.where("a >= 40 or b >= 40").collect()
+        assert len({(r.a, r.b) for r in one}) == len(one)
+        assert {(r.a, r.b) for r in found.collect()} == want
