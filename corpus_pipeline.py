@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.llm import bpe_verify, fm_decontam, langid, line_dedup, ngram_join
-from corpusloom.llm._scratch import Scratch, flag_keys
+from corpusloom.llm._scratch import Scratch, flag_keys, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least score of a kept language. Sure predictions score 0.9 and more; texts between two languages 0.5.
@@ -26,6 +26,13 @@ def _has_words() -> Column:
     return F.col("text").rlike(r"[^\x20\x09-\x0D]")
 
 
+def _in_small_batches(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """df, written by jobs whose Arrow batches are small: whole batches are outside of the executor's heap, and their buffers
+    are kept for later, beside a heap that is full by then."""
+    with small_batches(spark):
+        return Scratch(spark, name).keep(df)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that was learned, go."""
     found = langid.language_id(docs, carry=COLUMNS)
@@ -53,13 +60,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents of which only white space is left go."""
     found = fm_decontam.fm_decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
-    return _counted(fm_decontam.without_spans(found).where((F.col("n_hit") == 0) | _has_words()))
+    return _in_small_batches(spark, "decontamination", _counted(fm_decontam.without_spans(found).where((F.col("n_hit") == 0) | _has_words())))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and of the decoded text."""
     coded = bpe_verify.bpe_encode(docs, bpe_verify.tokenizer_path())
-    return bpe_verify.digests(coded, "ids")
+    return _in_small_batches(spark, "encoding", bpe_verify.digests(coded, "ids"))
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup_), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]

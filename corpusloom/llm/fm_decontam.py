@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from . import _kernels as K
 
@@ -243,7 +243,9 @@ def _search(blocks: list):
     def run(batches):
         opened = _opened(blocks)
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1), SHARD_BYTES):
+            # a carried text is in the row, and is not sent twice
+            text = batch.column(1) if batch.num_columns > 1 else batch.column(0).field("text")
+            for a, b, data, offsets in K.slices(text, SHARD_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *Shard.of(data, offsets).report(opened)], ["row", *NEW])
 
     return K.tidy(run)
@@ -308,7 +310,9 @@ def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, bloc
     """
     blocks = benchmark_blocks(benchmark, size, block_bytes)
     names = [c for c in carry if c not in NEW]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    inside = "text" in names and docs.schema["text"].dataType == StringType()
+    rows = docs.select(row) if inside else docs.select(row, F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_search(blocks), StructType([rows.schema["row"], *StructType.fromDDL(FOUND).fields]))
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *NEW)
 

@@ -1,12 +1,16 @@
 """The n-gram join, line dedup, decontamination and license scan against brute force."""
 
+import pickle
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import _kernels as K
 from corpusloom.llm import fm_decontam, license_scan, line_dedup, ngram_join
 
@@ -343,3 +347,22 @@ def test_long_lists_are_dealt_into_blocks_and_make_each_pair_that_may_be_similar
         one = found.where("a >= 40 or b >= 40").collect()
         assert len({(r.a, r.b) for r in one}) == len(one)
         assert {(r.a, r.b) for r in found.collect()} == want
+
+
+def test_decontamination_takes_a_carried_text_from_its_row(spark):
+    """The text is sent to Python once, and the result is that of a text beside the row."""
+    block = pickle.dumps(fm_decontam.Windows([("q", "a b c d e f g h i j")], 10))
+    blocks = [type("Block", (), {"value": zstandard.ZstdCompressor().compress(block)})]
+    texts = ["x a b c d e f g h i j y", None, "k"]
+    row = pa.StructArray.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    one = list(fm_decontam._search(blocks)([pa.RecordBatch.from_arrays([row.slice(1)], ["row"]), pa.RecordBatch.from_arrays([row], ["row"])]))
+    two = list(fm_decontam._search(blocks)([pa.RecordBatch.from_arrays([row, pa.array(texts)], ["row", "text"])]))
+    assert one[1].equals(two[0]) and two[0].column("n_hit").to_pylist() == [10, 0, 0] and one[0].column("n_words").to_pylist() == [0, 1]
+
+
+def test_stages_of_the_pipeline_send_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert corpus_pipeline._in_small_batches(spark, "test", sizes).agg(F.max("n"), F.sum("n")).first()[:] == (1000 if before == "10000" else min(int(before), 3000), 3000)
+    assert spark.conf.get(name) == before
